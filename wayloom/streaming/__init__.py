@@ -1,0 +1 @@
+"""Reserved: the reference work has no streaming part, so none is built."""
