@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from wayloom.llm import simhash
+from wayloom.llm import bpe, simhash
 
 QUERIES = {
+    "op3_bpe": bpe.query,
     "op6_simhash": simhash.query,
 }
 ORACLES: dict[str, str] = {}
