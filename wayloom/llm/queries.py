@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from wayloom.llm import bpe, fm_quality, line_dedup, simhash
+from wayloom.llm import bpe, decontam, fm_quality, line_dedup, simhash
 
 QUERIES = {
     "op2_line_dedup": line_dedup.query,
     "op3_bpe": bpe.query,
     "op4_fm_quality": fm_quality.query,
     "op6_simhash": simhash.query,
+    "op10_decontam": decontam.query,
 }
 ORACLES = {
     "op2_line_dedup": line_dedup.ORACLE,
