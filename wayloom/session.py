@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +44,10 @@ def cut(df: DataFrame) -> DataFrame:
 def arrow_batches(spark: SparkSession, mb: int = 16) -> None:
     """Bound each Arrow batch by bytes, so that long texts don't pile up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut lineage by a Parquet table in the shared folder; compressed, unlike a checkpoint."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
