@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from wayloom.functions.arrays import let
 from wayloom.session import cut
 
 #: Words from which a repeated run of lines is deleted.
@@ -34,9 +35,6 @@ MIN_WORDS = 30
 _DOC = ("_id", "_th")
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with the value worked out once a row."""
-    return F.transform(F.array(value), use)[0]
 
 
 def line_table(docs: DataFrame, id_col: str, text: str) -> DataFrame:

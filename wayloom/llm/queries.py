@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from wayloom.llm import bpe, decontam, fm_quality, line_dedup, simhash
+from wayloom.llm import bpe, chat, decontam, fm_quality, line_dedup, rules, simhash, warc
 
 QUERIES = {
+    "op1_warc": warc.query,
     "op2_line_dedup": line_dedup.query,
     "op3_bpe": bpe.query,
     "op4_fm_quality": fm_quality.query,
     "op6_simhash": simhash.query,
+    "op7_chat": chat.query,
+    "op8_rules": rules.query,
     "op10_decontam": decontam.query,
 }
 ORACLES = {
+    "op1_warc": warc.ORACLE,
     "op2_line_dedup": line_dedup.ORACLE,
+    "op7_chat": chat.ORACLE,
+    "op8_rules": rules.ORACLE,
 }
