@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayloom.llm import bpe, chat, decontam, fm_quality, line_dedup, rules, simhash, warc
+from wayloom.llm import bpe, chat, decontam, fm_quality, line_dedup, pst, rules, simhash, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_simhash": simhash.query,
     "op7_chat": chat.query,
     "op8_rules": rules.query,
+    "op9_pst": pst.query,
     "op10_decontam": decontam.query,
 }
 ORACLES = {
