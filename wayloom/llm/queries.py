@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from wayloom.llm import bpe, chat, decontam, fm_quality, line_dedup, pst, rules, simhash, warc
+from wayloom.llm import bpe, chat, decontam, fm_quality, line_dedup, pii, pst, rules, simhash, warc
 
 QUERIES = {
     "op1_warc": warc.query,
     "op2_line_dedup": line_dedup.query,
     "op3_bpe": bpe.query,
     "op4_fm_quality": fm_quality.query,
+    "op5_pii": pii.query,
     "op6_simhash": simhash.query,
     "op7_chat": chat.query,
     "op8_rules": rules.query,

@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from wayloom.operators.components import components
 from wayloom.session import arrow_batches, cut
@@ -76,9 +76,9 @@ def ball_masks(half: int) -> list[int]:
     return [_signed(sum(1 << b for b in bits)) for n in range(half + 1) for bits in combinations(range(64), n)]
 
 
-def _shared(rows: DataFrame, key: str) -> DataFrame:
-    """Keys at which different fingerprints meet, with the smallest of them."""
-    return rows.groupBy(key).agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select(key, "lo")
+def _spread(rows: DataFrame) -> DataFrame:
+    """Few small rows that become many: dealt over all tasks first."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
 
 
 def sieve(fps: DataFrame, radius: int = 4) -> DataFrame:
@@ -87,20 +87,21 @@ def sieve(fps: DataFrame, radius: int = 4) -> DataFrame:
         F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(sum(0xFF << (8 * b) for b in some)))))
         for i, some in enumerate(combinations(range(8), 8 - radius))
     ]
-    rows = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    return rows.join(_shared(rows, "key"), "key", "left_semi").select("fp").distinct()
+    rows = _spread(fps.select("fp")).select("fp", F.explode(F.array(*keys)).alias("key"))
+    by = Window.partitionBy("key").orderBy("fp")
+    met = rows.withColumn("other", F.coalesce(F.lag("fp").over(by), F.lead("fp").over(by)))
+    return met.where("other is not null").select("fp").distinct()
 
 
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """Links ``(fp, lo)`` between distinct fingerprints that span all components within ``radius``."""
-    if radius > 7:
-        raise ValueError("the sieve needs a radius of 7 at most")
+    if radius > 7 or radius % 2:
+        raise ValueError("the radius has to be even and 6 at most")
     near = cut(sieve(fps, radius))
     masks = F.array(*[F.lit(m) for m in ball_masks(radius // 2)])
-    ball = near.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
-    if radius % 2:  # one side goes a bit farther
-        raise ValueError("the radius has to be even")
-    met = ball.join(_shared(ball, "variant"), "variant").where("fp <> lo").select("fp", "lo").distinct()
+    ball = _spread(near).select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
+    lowest = F.first("fp").over(Window.partitionBy("variant").orderBy("fp").rowsBetween(Window.unboundedPreceding, 0))
+    met = ball.select("fp", lowest.alias("lo")).where("fp <> lo").distinct()
     return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("lo"))) <= radius)
 
 
