@@ -33,12 +33,12 @@ class AreaGraph:
     def __init__(self, rows: pd.DataFrame):
         nodes = rows[rows.kind == NODE].sort_values("u", kind="stable")
         self.ids = nodes.u.to_numpy(np.int64)
-        self.flags = nodes.flags.to_numpy(np.int64)
+        self.flags = nodes["flags"].to_numpy(np.int64)
         self.n = len(self.ids)
         self.at = {int(x): i for i, x in enumerate(self.ids)}
         arcs = rows[rows.kind == ARC].sort_values(["u", "v", "t", "key"], kind="stable")
         self.au, self.av = ([self.at[x] for x in arcs[c].tolist()] for c in ("u", "v"))
-        self.t = arcs.t.to_numpy(float).tolist()
+        self.t = arcs["t"].to_numpy(float).tolist()
         streets = rows[rows.kind == STREET].sort_values(["key", "u", "v"], kind="stable")
         self.su, self.sv = ([self.at[x] for x in streets[c].tolist()] for c in ("u", "v"))
         self.skey = streets.key.tolist()

@@ -421,7 +421,8 @@ def other_failures(graph: DataFrame, pairs: DataFrame) -> DataFrame:
             f = gr.street_flow(g, set(range(g.n)), False)
             f.run([a], [b])
             cut = {(min(p), max(p)) for p in f.cut()}
-            legs = [(min(x), max(x)) for x in zip(p := gr.route(gr.times(g.out(), a)[1], a, b), p[1:])]
+            way = gr.route(gr.times(g.out(), a)[1], a, b)
+            legs = [(min(x), max(x)) for x in zip(way, way[1:])]
             some_legs = sorted(set(legs) - cut)
             got = gr.reach(g.n, both, [a], {x: 1 << i for i, x in enumerate(some_legs)}, None, max(1, len(some_legs)))
             yield from ((rule, *_pair(g, x)) for i, x in enumerate(some_legs) if not got[b] >> i & 1)
@@ -445,24 +446,32 @@ def resilience(graph: DataFrame, strong: DataFrame) -> DataFrame:
 
     def run(g: AreaGraph, some: pd.DataFrame):
         core, out = g.flagged(CORE), g.out()
-        base = {a: gr.times(out, a)[0] for a in core}
+        base, tree = {}, {}
+        for a in core:
+            base[a], tree[a] = gr.times(out, a)
+        inner = {a: set(prev.values()) for a, prev in tree.items()}
         for what, lo, hi in zip(some.what, some.lo, some.hi):
             a, b = g.at[lo], g.at[hi]
             parted, extra = 0, []
             for s in core:
+                old = base[s]
+                if a == b:
+                    parted += s != a and a in old
+                    if a not in inner[s] or a == s:
+                        continue  # no least-time path goes through it
+                elif tree[s].get(b) != a and tree[s].get(a) != b:
+                    continue  # the tree of least times doesn't use it
                 new = gr.times(out, s, {(a, b)} if a != b else set(), a if a == b else None)[0]
                 for t in core:
-                    old = base[s].get(t)
-                    if s == t or old is None:
+                    if s == t or t not in old or (a == b and t == a):
                         continue
-                    now = None if a == b and t == a else new.get(t)
-                    if now is None:
+                    if t not in new:
                         parted += 1
-                    elif now > old + 1e-9:
-                        extra.append((now - old) / 60)
+                    elif new[t] > old[t] + 1e-9:
+                        extra.append((new[t] - old[t]) / 60)
             yield what, int(lo), int(hi), parted, len(extra), sorted(extra)
 
-    rows = per_scenario(graph, numbered(strong, "what", "lo", "hi"), run, "what string, lo long, hi long, parted long, detours long, extra_min array<double>", chunk=8)
+    rows = per_scenario(graph, numbered(strong, "what", "lo", "hi"), run, "what string, lo long, hi long, parted long, detours long, extra_min array<double>", chunk=48)
     return rows
 
 
@@ -500,7 +509,7 @@ class RingGraph(AreaGraph):
     def __init__(self, rows: pd.DataFrame):
         super().__init__(rows)
         nodes = rows[rows.kind == gr.NODE].sort_values("u", kind="stable")
-        self.dist = nodes.t.to_numpy(float).tolist()
+        self.dist = nodes["t"].to_numpy(float).tolist()
 
 
 def per_ring(graph: DataFrame, scenarios: DataFrame, sources: DataFrame, fn, schema: str, chunk: int = 4) -> DataFrame:
@@ -508,7 +517,7 @@ def per_ring(graph: DataFrame, scenarios: DataFrame, sources: DataFrame, fn, sch
     mark = graph.join(sources.select("area_id", F.col("node_id").alias("u"), F.lit(-1).cast("long").alias("_m")), ["area_id", "u"], "left")
     mark = mark.select("area_id", "kind", "u", "v", "t", F.when(F.col("kind") == gr.NODE, F.col("_m")).otherwise(F.col("key")).alias("key"), "flags")
     cells = scenarios.withColumn("chunk", F.floor(F.col("scenario") / chunk))
-    shipped = mark.join(cells.select("area_id", "chunk").distinct(), "area_id")
+    shipped = mark.join(cells.select("area_id", "chunk").distinct(), "area_id").withColumnsRenamed({"area_id": "g_area", "chunk": "g_chunk"})
     cols = ["area_id", *[c.split()[0] for c in schema.split(",")]]
 
     def run(key: tuple, rows: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
@@ -519,7 +528,7 @@ def per_ring(graph: DataFrame, scenarios: DataFrame, sources: DataFrame, fn, sch
         src = sorted(g.at[int(x)] for x in own)
         return pd.DataFrame([(key[0], *r) for r in fn(g, src, some.sort_values("scenario", kind="stable"))], columns=cols)
 
-    return shipped.groupBy("area_id", "chunk").cogroup(cells.groupBy("area_id", "chunk")).applyInPandas(run, f"area_id long, {schema}")
+    return shipped.groupBy("g_area", "g_chunk").cogroup(cells.groupBy("area_id", "chunk")).applyInPandas(run, f"area_id long, {schema}")
 
 
 def ring_flows(graph: DataFrame, sources: DataFrame, radii: tuple[int, ...]) -> DataFrame:

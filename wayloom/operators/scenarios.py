@@ -36,11 +36,11 @@ def per_scenario(graph: DataFrame, scenarios: DataFrame, fn: Callable[[gr.AreaGr
     """Rows of ``fn`` for each area's graph and a chunk of its scenarios, numbered in ``number``."""
     cols = ["area_id", *[c.split()[0] for c in schema.split(",")]]
     cells = scenarios.withColumn("chunk", F.floor(F.col(number) / chunk))
-    shipped = graph.join(cells.select("area_id", "chunk").distinct(), "area_id")
+    shipped = graph.join(cells.select("area_id", "chunk").distinct(), "area_id").withColumnsRenamed({"area_id": "g_area", "chunk": "g_chunk"})
 
     def run(key: tuple, rows: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(some):
             return pd.DataFrame([], columns=cols)
         return pd.DataFrame([(key[0], *r) for r in fn(gr.AreaGraph(rows), some.sort_values(number, kind="stable"))], columns=cols)
 
-    return shipped.groupBy("area_id", "chunk").cogroup(cells.groupBy("area_id", "chunk")).applyInPandas(run, f"area_id long, {schema}")
+    return shipped.groupBy("g_area", "g_chunk").cogroup(cells.groupBy("area_id", "chunk")).applyInPandas(run, f"area_id long, {schema}")
