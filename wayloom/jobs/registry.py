@@ -133,12 +133,12 @@ def p3(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p4_length")
 def p4(spark: SparkSession, d: str) -> DataFrame:
-    return t.segments(spark, d).select("way_id", "pos", r6("length_m"))
+    return t.segments(spark, d).select("way_id", F.col("pos").cast("long").alias("pos"), r6("length_m"))
 
 
 @query("p5_travel_time")
 def p5(spark: SparkSession, d: str) -> DataFrame:
-    return t.segments(spark, d).select("way_id", "pos", F.round(nw.travel_time(F.col("length_m"), F.col("kmh")), 6).alias("time_s"))
+    return t.segments(spark, d).select("way_id", F.col("pos").cast("long").alias("pos"), F.round(nw.travel_time(F.col("length_m"), F.col("kmh")), 6).alias("time_s"))
 
 
 @query("p6_projection")
@@ -168,7 +168,7 @@ def p10(spark: SparkSession, d: str) -> DataFrame:
     ways = nw.drivable(t.ways(spark, d))
     hit = sp.in_box(t.raw_nodes(spark, d), sp.polygon_boxes(t.boundary(spark, d))).select("area_id", "node_id")
     touching = ways.select("way_id", F.explode("nodes").alias("node_id")).join(hit, "node_id").select("area_id", "way_id").distinct()
-    return touching.join(ways.select("way_id", F.size("nodes").alias("n_points")), "way_id").select("area_id", "way_id", "n_points")
+    return touching.join(ways.select("way_id", F.size("nodes").cast("long").alias("n_points")), "way_id").select("area_id", "way_id", "n_points")
 
 
 @query("p11_window")
@@ -191,7 +191,7 @@ def p12(spark: SparkSession, d: str) -> DataFrame:
 
 @query("n1_segments")
 def n1(spark: SparkSession, d: str) -> DataFrame:
-    return t.segments(spark, d).select("way_id", "pos", "a", "b", r6("length_m"), "kmh", "dir")
+    return t.segments(spark, d).select("way_id", F.col("pos").cast("long").alias("pos"), "a", "b", r6("length_m"), "kmh", "dir")
 
 
 @query("n2_segment_arcs")
@@ -208,14 +208,14 @@ def n3(spark: SparkSession, d: str) -> DataFrame:
 @query("n4_contract_chains")
 def n4(spark: SparkSession, d: str) -> DataFrame:
     c = nw.chains(t.segments(spark, d))
-    return c.select("u", "v", F.size("path").alias("n_points"), r6("length_m"))
+    return c.select("u", "v", F.size("path").cast("long").alias("n_points"), r6("length_m"))
 
 
 @query("n5_chain_aggregates")
 def n5(spark: SparkSession, d: str) -> DataFrame:
     s = t.streets(spark, d)
     g = nw.geometry(s, t.raw_nodes(spark, d)).select("street_id", F.posexplode("geom").alias("rank", "p"))
-    return s.join(g, "street_id").select("street_id", "rank", r6("length_m"), r6("time_s"), "fwd", "bwd", F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"))
+    return s.join(g, "street_id").select("street_id", F.col("rank").cast("long").alias("rank"), r6("length_m"), r6("time_s"), "fwd", "bwd", F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"))
 
 
 @query("n6_arcs")
@@ -985,7 +985,7 @@ def r6_(spark: SparkSession, d: str) -> DataFrame:
     size = t.area_parts(spark, d).groupBy("area_id", "scc").agg(F.count("*").alias("size"))
     trivial = size.groupBy("area_id").agg(F.count_if(F.col("size") == 1).alias("trivial"))
     by = Window.partitionBy("area_id").orderBy(F.desc("size"), "scc")
-    return size.where("size > 1").withColumn("place", F.row_number().over(by)).join(trivial, "area_id").select("area_id", "place", "scc", "size", "trivial")
+    return size.where("size > 1").withColumn("place", F.row_number().over(by).cast("long")).join(trivial, "area_id").select("area_id", "place", "scc", "size", "trivial")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
