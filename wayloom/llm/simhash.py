@@ -107,7 +107,7 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
 def near_groups(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, fp, component)``: each row's fingerprint and the smallest id reachable over links."""
-    rows = cut(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text).alias("_text")), "_text").select("id", "fp"))
+    rows = cut(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text).alias("__text")), "__text").select("id", "fp"))
     fps = rows.groupBy("fp").agg(F.min("id").alias("least"))
     comp = components(links(fps.select("fp"), radius), "fp", "lo")
     labelled = fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select(
@@ -123,8 +123,8 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id
 
     Rows with a null id are kept, as they can't be told apart.
     """
-    gone = near_groups(docs, radius, id_col).where("id <> component").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = near_groups(docs, radius, id_col).where("id <> component").select(F.col("id").alias("__gone")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
