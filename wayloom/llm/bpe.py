@@ -301,7 +301,7 @@ def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     arrow_batches(docs.sparkSession)
-    return docs.withColumn("_d", run(F.col(text))).select(*[c for c in docs.columns], "_d.*")
+    return docs.withColumn("__d", run(F.col(text))).select(*[f"`{c}`" for c in docs.columns], "__d.*")
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:

@@ -144,7 +144,7 @@ def sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame
     """At most ``bound`` labelled rows to learn from: the smallest by a hash of their id."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     picked = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(bound)
-    return docs.join(picked, "doc_id").select("doc_id", "text", "n_chars", "quality")
+    return docs.select("doc_id", "text", "n_chars").join(picked, "doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Machine:
@@ -178,9 +178,9 @@ def score(docs: DataFrame, model: Machine, out: str = "score") -> DataFrame:
     return docs.withColumn(out, run(F.col("text"), F.col("n_chars").cast("double")))
 
 
-def predictions(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted``: 1 from a score of 0.7."""
-    return score(docs, train(docs, labels, bound)).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+def predictions(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, out: str = "score", predicted: str = "predicted") -> DataFrame:
+    """``docs`` with the score and the prediction, 1 from a score of 0.7; columns of these names are replaced."""
+    return score(docs, train(docs, labels, bound), out).withColumn(predicted, (F.col(out) >= 0.7).cast("int"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,16 +118,20 @@ def _without(lines: Column, spans: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.size(spans)), pick))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the lines of later copies, plus ``n_lines`` and ``n_deleted``."""
-    spans = repeats(docs, min_words, id_col, text).withColumnRenamed("_th", "_sth").withColumnRenamed("_id", "_sid")
-    both = docs.join(spans, docs[id_col].eqNullSafe(F.col("_sid")) & (F.xxhash64(docs[text]) == F.col("_sth")), "left")
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text", counts: tuple[str, str] = ("n_lines", "n_deleted")) -> DataFrame:
+    """``docs`` without the lines of later copies, plus the numbers of lines and of those deleted.
+
+    Columns of ``docs`` that have the names in ``counts`` are replaced.
+    """
+    spans = repeats(docs, min_words, id_col, text).select(F.col("_id").alias("__id"), F.col("_th").alias("__th"), F.col("spans").alias("__spans"))
+    both = docs.join(spans, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__th")), "left")
     lines = F.split(F.col(text), "\n", -1)
-    kept = let(lines, lambda x: F.array_join(_without(x, F.col("spans")), "\n"))
-    gone = F.aggregate("spans", F.lit(0), lambda acc, s: acc + s["last"] - s["first"] + 1)
-    new = {text: F.when(F.col("spans").isNull(), F.col(text)).otherwise(kept)}
-    counts = {"n_lines": F.coalesce(F.when(F.col(text).isNotNull(), F.size(lines)), F.lit(0)), "n_deleted": F.coalesce(gone, F.lit(0))}
-    return both.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns], *[v.cast("long").alias(c) for c, v in counts.items()])
+    kept = let(lines, lambda x: F.array_join(_without(x, F.col("__spans")), "\n"))
+    gone = F.aggregate("__spans", F.lit(0), lambda acc, s: acc + s["last"] - s["first"] + 1)
+    new = {text: F.when(F.col("__spans").isNull(), F.col(text)).otherwise(kept)}
+    size = F.when(F.col(text).isNotNull(), F.size(lines))
+    found = zip(counts, (size, gone))
+    return both.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns if c not in counts], *[F.coalesce(v, F.lit(0)).cast("long").alias(c) for c, v in found])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
