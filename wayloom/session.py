@@ -49,5 +49,5 @@ def arrow_batches(spark: SparkSession, mb: int = 16) -> None:
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Cut lineage by a Parquet table in the shared folder; compressed, unlike a checkpoint."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
