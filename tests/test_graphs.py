@@ -142,3 +142,25 @@ def test_pieces_are_connected():
         assert gr.is_connected(adj, set(gr.grow_ball(adj, 0, size)))
         part = gr.grow_random(adj, 0, size, lambda step, v: gr.draw_key(step, v))
         assert len(part) == size and gr.is_connected(adj, set(part))
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_retimed_equals_starting_over(seed):
+    g = _random(seed)
+    out = g.out()
+    into = [[] for _ in range(g.n)]
+    for u, pairs in enumerate(out):
+        for v, t in pairs:
+            into[v].append((u, t))
+    for s in range(g.n):
+        dist, prev = gr.times(out, s)
+        kids = gr.below(prev)
+        for v, u in prev.items():
+            pair = (min(u, v), max(u, v))
+            again = gr.times(out, s, {pair})[0]
+            for t, now in gr.retimed(out, into, dist, kids, v, pair, None).items():
+                assert now == pytest.approx(again.get(t)) if now is not None else t not in again
+            if v in kids:
+                again = gr.times(out, s, set(), v)[0]
+                for t, now in gr.retimed(out, into, dist, kids, v, None, v).items():
+                    assert now == pytest.approx(again.get(t)) if now is not None else t not in again

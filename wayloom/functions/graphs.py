@@ -240,6 +240,46 @@ def times(out: list[list[tuple[int, float]]], source: int, closed: frozenset | s
     return dist, prev
 
 
+def below(prev: dict[int, int]) -> dict[int, list[int]]:
+    """Children in a tree of least times."""
+    kids: dict[int, list[int]] = {}
+    for v, u in prev.items():
+        kids.setdefault(u, []).append(v)
+    return kids
+
+
+def retimed(out: list[list[tuple[int, float]]], into: list[list[tuple[int, float]]], dist: dict[int, float], kids: dict[int, list[int]], top: int, closed: tuple[int, int] | None, shut: int | None) -> dict[int, float | None]:
+    """New least times of what hangs below ``top`` in the tree, after a closure; None where there is no way left.
+
+    Other nodes keep their times, so only the cut-off part is worked out again, from its rim.
+    """
+    part = [top] if shut != top else list(kids.get(top, ()))
+    for u in part:
+        part += kids.get(u, ())
+    members = set(part)
+    if shut is not None:
+        members.discard(shut)
+    shuts = lambda u, v: u == shut or v == shut or (closed is not None and (min(u, v), max(u, v)) == closed)
+    seen: dict[int, float] = {}
+    for v in members:
+        for u, t in into[v]:
+            if u not in members and u in dist and not shuts(u, v):
+                seen[v] = min(seen.get(v, float("inf")), dist[u] + t)
+    heap = [(d, v) for v, d in seen.items()]
+    heapq.heapify(heap)
+    new: dict[int, float | None] = {}
+    while heap:
+        d, u = heapq.heappop(heap)
+        if u in new:
+            continue
+        new[u] = d
+        for v, t in out[u]:
+            if v in members and v not in new and not shuts(u, v) and d + t < seen.get(v, float("inf")):
+                seen[v] = d + t
+                heapq.heappush(heap, (d + t, v))
+    return {v: new.get(v) for v in members}
+
+
 def route(prev: dict[int, int], source: int, target: int) -> list[int]:
     """Nodes from source to target; empty where there is no way."""
     path = [target]
