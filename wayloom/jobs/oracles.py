@@ -227,3 +227,36 @@ ORACLES["w4_strong_articulations"] = _sql(
     "fr AS (SELECT area_id, cut, root AS x FROM ct UNION SELECT fr.area_id, cut, v FROM fr JOIN arc ON arc.area_id = fr.area_id AND u = x AND v <> cut)",
     "br AS (SELECT area_id, cut, root AS x FROM ct UNION SELECT br.area_id, cut, u FROM br JOIN arc ON arc.area_id = br.area_id AND v = x AND u <> cut)",
 )
+
+_K = "k AS (SELECT area_id, greatest(1, CAST(round_even(0.2 * count(*), 0) AS INT)) AS k FROM giant GROUP BY 1)"
+_INNER = "d0 AS (SELECT area_id, node_id, min(hops) AS dist FROM hop GROUP BY 1, 2 HAVING min(hops) > 0)"
+_SOURCE = "src AS (SELECT area_id, node_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY dist DESC, node_id) AS place FROM d0) JOIN k USING (area_id) WHERE place <= k)"
+_REGION = (*_FULL, _HOP.format(seed="gates", most=60), _INNER, _K, _SOURCE)
+ORACLES["f3_split_capacities"] = _sql(
+    "SELECT area_id, 2 * node_id AS a, 2 * node_id + 1 AS b, CASE WHEN EXISTS (SELECT 1 FROM src WHERE src.area_id = giant.area_id AND src.node_id = giant.node_id) "
+    "OR EXISTS (SELECT 1 FROM gates WHERE gates.area_id = giant.area_id AND gates.node_id = giant.node_id) THEN CAST(1000000000 AS BIGINT) ELSE 1 END AS cap FROM giant "
+    "UNION ALL SELECT area_id, 2 * u + 1, 2 * v, 1000000000 FROM (SELECT DISTINCT area_id, u, v FROM aar JOIN giant g USING (area_id) WHERE g.node_id = u AND EXISTS (SELECT 1 FROM giant h WHERE h.area_id = aar.area_id AND h.node_id = v))",
+    *_REGION,
+)
+ORACLES["x4_tie_counts"] = _sql(
+    "SELECT area_id, k, last_dist, count(*) FILTER (WHERE dist = last_dist) AS tied, count(*) FILTER (WHERE dist > last_dist) AS above, k - count(*) FILTER (WHERE dist > last_dist) AS places "
+    "FROM d0 JOIN (SELECT area_id, count(*) AS k, min(dist) AS last_dist FROM src GROUP BY 1) USING (area_id) GROUP BY 1, 2, 3", *_REGION
+)
+ORACLES["w6_single_street_cuts"] = _sql(
+    "SELECT area_id, lo, hi, count(*) AS side, round(100.0 * count(*) / (SELECT count(*) FROM giant WHERE giant.area_id = re.area_id), 1) AS side_pct FROM re "
+    "GROUP BY area_id, lo, hi HAVING count(*) FILTER (WHERE EXISTS (SELECT 1 FROM gates WHERE gates.area_id = re.area_id AND gates.node_id = x)) = 0",
+    *_REGION, _PAIRS,
+    "re AS (SELECT pr.area_id, lo, hi, src.node_id AS x FROM pr JOIN src USING (area_id) WHERE n = 1 AND EXISTS (SELECT 1 FROM giant WHERE giant.area_id = pr.area_id AND giant.node_id = lo) "
+    "UNION SELECT re.area_id, lo, hi, v FROM re JOIN edge ON edge.area_id = re.area_id AND u = x AND NOT (least(u, v) = lo AND greatest(u, v) = hi))",
+)
+
+
+def _points(bridges: str, nodes: str) -> str:
+    return f"(SELECT area_id, 'bridge' AS what, lo, hi FROM ({ORACLES[bridges]}) UNION ALL SELECT area_id, 'articulation', node_id, node_id FROM ({ORACLES[nodes]}))"
+
+
+ORACLES["w5_weak_by_strong"] = (
+    "SELECT area_id, what, CASE WHEN w AND s THEN 'both' WHEN s THEN 'strong_only' ELSE 'weak_only' END AS kind, count(*) AS n "
+    f"FROM (SELECT *, true AS w FROM {_points('w1_bridges', 'w2_articulations')}) FULL JOIN (SELECT *, true AS s FROM {_points('w3_strong_bridges', 'w4_strong_articulations')}) USING (area_id, what, lo, hi) GROUP BY 1, 2, 3"
+)
+ORACLES["r3_cross_table"] = f"SELECT what, kind, coalesce(COLUMNS(* EXCLUDE (what, kind)), 0) FROM (PIVOT ({ORACLES['w5_weak_by_strong']}) ON area_id USING first(n) GROUP BY what, kind)"
