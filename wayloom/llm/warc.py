@@ -39,7 +39,8 @@ def plan_records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     rows = rows.withColumn("digest", F.sha1(F.encode("payload", "utf-8")))
     same = rows.where((F.octet_length("payload") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest")
     groups = same.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("least < refers_to").drop("least")
-    revisits = same.join(groups, "digest").where("page_id < refers_to").distinct()
+    # written, so that its size is known: a small one is broadcast by Spark's own threshold, else pages are shuffled
+    revisits = written(same.join(groups, "digest").where("page_id < refers_to").distinct(), "revisits")
     return rows.join(revisits, ["page_id", "digest"], "left")
 
 
@@ -63,11 +64,14 @@ def record(page_id: Column, url: Column, payload: Column, digest: Column, refers
     )
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date: str = "2000-01-01T00:00:00Z", per_file: int = 50_000) -> None:
-    """Write a record per row of ``pages (page_id, url, html)`` into the files of a new folder."""
+def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date: str = "2000-01-01T00:00:00Z", per_file: int = 50_000, compression: str = "gzip") -> None:
+    """Write a record per row of ``pages (page_id, url, html)`` into the files of a new folder.
+
+    Compressed archives are smaller but each is read by one task; with ``none`` files are read in splits.
+    """
     rows = plan_records(pages, min_bytes)
     cols = [F.col(c) for c in ("page_id", "url", "payload", "digest", "refers_to")]
-    rows.select(record(*cols, date).alias("value")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", per_file).text(path)
+    rows.select(record(*cols, date).alias("value")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
 
 
 def chain(offsets: np.ndarray, successors: np.ndarray) -> np.ndarray:
@@ -89,7 +93,7 @@ def chain(offsets: np.ndarray, successors: np.ndarray) -> np.ndarray:
 
 
 def _owners(segments: pd.DataFrame) -> pd.DataFrame:
-    """Of a file's segments: the one that begins the record which each belongs to."""
+    """Of a file's segments those that are not a whole record: the segment that begins their record, or -1."""
     s = segments.sort_values(["block", "seq"], kind="stable")
     size = s["size"].to_numpy(np.int64) + len(MAGIC)
     start = np.cumsum(size) - size  # of the segment; the first one has no magic before it
@@ -105,9 +109,11 @@ def _owners(segments: pd.DataFrame) -> pd.DataFrame:
     # what lies behind a record's end, as after a broken chain, is nobody's
     kept &= np.where(kept, offset < succ[heads[np.maximum(own, 0)]] if len(heads) else False, False)
     seq = s["seq"].to_numpy(np.int64)
-    owner = seq[heads[own[kept]]] if len(heads) else np.zeros(0, np.int64)
-    parts = pd.Series(owner).map(pd.Series(owner).value_counts()).to_numpy() if len(owner) else owner
-    return pd.DataFrame({"seq": seq[kept], "owner": owner, "parts": parts})
+    owner = np.full(len(s), -1)
+    owner[kept] = seq[heads[own[kept]]] if kept.any() else -1
+    parts = pd.Series(owner).map(pd.Series(owner).value_counts()).to_numpy()
+    odd = (owner != seq) | (parts > 1)
+    return pd.DataFrame({"seq": seq[odd], "owner": owner[odd]})
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -125,11 +131,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
             F.when(whole & (length != ""), length.cast("long")).alias("content"),
         ), "segments",
     )
-    owners = segments.select("file", "block", "seq", "size", "head", "content").groupBy("file").applyInPandas(_owners, "seq long, owner long, parts long")
-    both = segments.join(owners, "seq")
-    single = both.where("parts = 1").select("value", "head", "content")
+    odd = segments.select("file", "block", "seq", "size", "head", "content").groupBy("file").applyInPandas(_owners, "seq long, owner long")
+    odd = written(odd, "parts")  # few: its size is known when the joins are planned
+    single = segments.join(odd, "seq", "left_anti").select("value", "head", "content")
     ordered = F.array_sort(F.collect_list(F.struct("seq", "value", "head", "content")))
-    split = both.where("parts > 1").groupBy("owner").agg(ordered.alias("s"))
+    split = segments.join(odd.where("owner >= 0"), "seq").groupBy("owner").agg(ordered.alias("s"))
     split = split.select(F.array_join(F.col("s.value"), MAGIC).alias("value"), F.col("s")[0]["head"].alias("head"), F.col("s")[0]["content"].alias("content"))
     cut_out = F.expr("substring(cast(value AS binary), CAST(head AS int) + 1, CAST(content AS int))")
     return single.union(split).select(F.substring_index("value", _BLANK, 1).alias("header"), cut_out.alias("block"))
