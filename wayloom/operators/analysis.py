@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from wayloom.functions import graphs as gr
 from wayloom.functions.graphs import CORE, GATEWAY, GIANT, AreaGraph
 from wayloom.operators.scenarios import per_area, per_scenario
+from wayloom.session import find_package
 
 INF = float("inf")
 
@@ -521,6 +522,7 @@ class RingGraph(AreaGraph):
 
 def per_ring(graph: DataFrame, scenarios: DataFrame, sources: DataFrame, fn, schema: str, chunk: int = 4) -> DataFrame:
     """As ``per_scenario`` for surroundings; ``sources`` (area_id, node_id) are marked by a negative key in the graph."""
+    find_package(graph.sparkSession)
     mark = graph.join(sources.select("area_id", F.col("node_id").alias("u"), F.lit(-1).cast("long").alias("_m")), ["area_id", "u"], "left")
     mark = mark.select("area_id", "kind", "u", "v", "t", F.when(F.col("kind") == gr.NODE, F.col("_m")).otherwise(F.col("key")).alias("key"), "flags")
     cells = scenarios.withColumn("chunk", F.floor(F.col("scenario") / chunk))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from wayloom.functions import graphs as gr
+from wayloom.session import find_package
 
 GRAPH = "area_id long, kind int, u long, v long, t double, key long, flags long"
 
@@ -24,6 +25,7 @@ def graph_rows(nodes: DataFrame, arcs: DataFrame, streets: DataFrame, flags: str
 
 def per_area(graph: DataFrame, fn: Callable[[gr.AreaGraph], Iterable[tuple]], schema: str) -> DataFrame:
     """Rows of ``fn`` for each area's graph, under ``area_id``."""
+    find_package(graph.sparkSession)
     cols = ["area_id", *[c.split()[0] for c in schema.split(",")]]
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -34,6 +36,7 @@ def per_area(graph: DataFrame, fn: Callable[[gr.AreaGraph], Iterable[tuple]], sc
 
 def per_scenario(graph: DataFrame, scenarios: DataFrame, fn: Callable[[gr.AreaGraph, pd.DataFrame], Iterable[tuple]], schema: str, chunk: int = 64, number: str = "scenario") -> DataFrame:
     """Rows of ``fn`` for each area's graph and a chunk of its scenarios, numbered in ``number``."""
+    find_package(graph.sparkSession)
     cols = ["area_id", *[c.split()[0] for c in schema.split(",")]]
     cells = scenarios.withColumn("chunk", F.floor(F.col(number) / chunk))
     shipped = graph.join(cells.select("area_id", "chunk").distinct(), "area_id").withColumnsRenamed({"area_id": "g_area", "chunk": "g_chunk"})

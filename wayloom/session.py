@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,11 +26,22 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     )
 
 
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, whatever their folder is.
+
+    Clusters whose executors don't see that path get the package by ``--py-files``.
+    """
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
     Where the session names none, as in tests, a temporary one is set.
     """
+    find_package(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
@@ -43,6 +56,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def arrow_batches(spark: SparkSession, mb: int = 16) -> None:
     """Bound each Arrow batch by bytes, so that long texts don't pile up in a Python worker."""
+    find_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
