@@ -49,7 +49,7 @@ def measurements(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a struct ``m`` of everything that the rules look at."""
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(t, _SPLIT), lambda w: w != "")
-    lines = F.filter(F.split(t, "\n"), lambda x: F.trim(F.lit(SPACES), x) != "")
+    lines = F.filter(F.split(t, "\n"), lambda x: F.trim(x, F.lit(SPACES)) != "")
     windows = lambda w: F.when(F.size(w) > 2, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.array().cast("array<bigint>"))
 
     def of_words(w: Column) -> Column:
