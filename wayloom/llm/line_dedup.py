@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from wayloom.functions.arrays import let
-from wayloom.session import cut
+from wayloom.session import cut, written
 
 #: Words from which a repeated run of lines is deleted.
 MIN_WORDS = 30
@@ -99,7 +99,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
     # null-safe keys: a null id takes part through its struct
     asked = single.select(*cols).union(double.select(*cols)).withColumn("here", F.struct(*_DOC, "pos"))
     interval = asked.groupBy("depth", "left", "right").agg(F.min("here").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = asked.join(interval, ["depth", "left", "right"]).where("here > first")
+    # written, so that the join has plain shuffles on both sides and adaptive execution can split a hot interval
+    copies = asked.join(written(interval, "intervals"), ["depth", "left", "right"]).where("here > first")
     ends = copies.select(*_DOC, "pos", (F.col("pos") + F.col("depth") - 1).alias("end"))
     # covers that touch or overlap become one run
     runs = ends.withColumn("upto", F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)))
