@@ -156,10 +156,15 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Machine:
             yield pd.DataFrame({"id": b["doc_id"], "y": b["quality"], "at": [a.astype(np.int32) for a, _ in both], "x": [x.astype(np.float32) for _, x in both]})
 
     arrow_batches(docs.sparkSession)
-    got = sample(docs, labels, bound).mapInPandas(extract, "id long, y int, at array<int>, x array<float>").toPandas()
-    got = got.sort_values("id", kind="stable")
+    # as Arrow, so that the driver holds flat arrays instead of a Python number a feature
+    got = sample(docs, labels, bound).mapInPandas(extract, "id long, y int, at array<int>, x array<float>").toArrow()
+    at, x = (got[c].combine_chunks() for c in ("at", "x"))
+    ends = np.cumsum(at.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+    at, x = (c.flatten().to_numpy(zero_copy_only=False) for c in (at, x))
+    rows = list(zip(np.split(at, ends[:-1]), np.split(x, ends[:-1]))) if len(ends) else []
+    order = np.argsort(got["id"].to_numpy(), kind="stable")
     model = Machine()
-    model.fit([(np.asarray(a, np.int64), np.asarray(x, np.float32)) for a, x in zip(got["at"], got["x"])], got["y"].to_numpy(np.float32))
+    model.fit([rows[i] for i in order], got["y"].to_numpy().astype(np.float32)[order])
     return model
 
 
