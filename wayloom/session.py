@@ -54,7 +54,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def arrow_batches(spark: SparkSession, mb: int = 16) -> None:
+def arrow_batches(spark: SparkSession, mb: int = 4) -> None:
     """Bound each Arrow batch by bytes, so that long texts don't pile up in a Python worker."""
     find_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
