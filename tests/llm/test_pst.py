@@ -65,3 +65,54 @@ def test_odd_rows(spark, odd, none):
     assert pst.score(none, tree, vocab).count() == 0
     empty, v = pst.fit(none.select("text"))
     assert pst.score(odd, empty, v).count() == odd.count()
+
+
+def plain_tree(train, gain, kappa, depth=2):
+    """Kept contexts of words, by plain counting: the score of a word after a context."""
+    c = Counter(w for t in train for w in [*pst.words_of(t), pst.END])
+    total = sum(c.values()) + 0.1 * (len(c) + 1)
+    after = {}
+    for t in train:
+        own = [*pst.words_of(t), pst.END]
+        for i in range(len(own)):
+            for k in range(1, depth + 1):
+                if i >= k:
+                    after.setdefault(tuple(own[i - k : i]), Counter())[own[i]] += 1
+    kept = {}
+
+    def p(ctx, w):
+        while ctx and ctx not in kept:
+            ctx = ctx[1:]
+        if not ctx:
+            return (c[w] + 0.1) / total
+        return (kept[ctx][w] + kappa * p(ctx[1:], w)) / (kept[ctx].total() + kappa)
+
+    for ctx in sorted(after, key=len):
+        f = after[ctx]
+        if sum(n * math.log((n + kappa * p(ctx[1:], w)) / (f.total() + kappa) / p(ctx[1:], w)) for w, n in f.items()) >= gain:
+            kept[ctx] = f
+    return kept, p
+
+
+@pytest.mark.parametrize("head_grams", [pst.HEAD_GRAMS, 40, 0])
+def test_rare_words_are_contexts(spark, head_grams):
+    rng = random.Random(8)
+    names = [f"name{i}" for i in range(300)]
+
+    def text():
+        i = [rng.randrange(300) for _ in range(8)]
+        return " ".join(f"{names[k]} lives in {names[k][::-1]}" if rng.random() < 0.8 else f"{names[k]} {rng.choice(names)} of" for k in i)
+
+    train, test = [text() for _ in range(600)], [text() for _ in range(20)] + [None, "unknown name3 lives", "name3"]
+    tree, vocab = pst.fit(frame(spark, train), p_min=0.05, gain=8.0, head_grams=head_grams)
+    kept, p = plain_tree(train, 8.0, pst.KAPPA)
+    assert tree.grams.where("w is null").count() == len(kept) > 100
+    got = {r.id: r for r in pst.score(frame(spark, test), tree, vocab).collect()}
+    whole = 0
+    for i, t in enumerate(test):
+        own = [*pst.words_of(t), pst.END]
+        if all(any(tuple(own[max(0, j - k) : j]) in kept for k in (1, 2) if j >= k) for j in range(1, len(own))):
+            whole += 1
+            flat = math.log10(p((), own[0]))
+            assert got[i].score == pytest.approx(flat + sum(math.log10(p(tuple(own[max(0, j - 2) : j]), own[j])) for j in range(1, len(own))), rel=1e-5)
+    assert whole > 3

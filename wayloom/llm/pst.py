@@ -1,38 +1,47 @@
 """Language-model scoring by a probabilistic suffix tree.
 
-Tokens are lower-cased (A-Z) words and one end a text.  The tree's symbols are
+Tokens are lower-cased (A-Z) words and one end a text.  Contexts are strings of
+up to ``DEPTH`` words, whatever the words' counts; one is kept if its next-word
+distribution diverges from that of its longest kept suffix: if coding what
+follows it by its own distribution saves ``GAIN`` nats.  A context that occurs
+``c`` times can't save more than ``c`` times the log of the corpus over ``c``,
+so those below ``least_count`` are left out early, which loses none.  Kept
+distributions are smoothed towards their suffix's, down to the additive unigram
+model over all words.  A text is scored by the longest kept suffix before each
+token.
+
+Where no suffix of words is kept, a small tree over symbols scores the token:
 the words, and the end, that make up ``P_MIN`` of the training tokens at least,
-plus one symbol for all others; there are ``1 / P_MIN`` of them at most.  Its
-contexts are strings of up to ``DEPTH`` symbols that occur as often; one is kept
-if its next-symbol distribution diverges from that of its longest kept suffix:
-if coding what follows it by its own distribution saves ``GAIN`` nats.  Kept
-distributions are smoothed towards their suffix's, down to the root, whose
-probabilities are those of the additive unigram model over all words.  A text is
-scored by the longest kept suffix before each token; a word outside the symbols
-takes its share of the rest by its own exact count.
-
-Everything is counted over the whole training corpus: word counts by a shuffle
-with map-side sums, contexts level by level into dense counters in the tasks,
-whose size is bounded by ``P_MIN``.  The tree has at most
-``DEPTH / P_MIN`` states and is broadcast.  So are the counts of at most
-``HEAD`` words of at most 64 bytes; a text's other words meet their counts in a
-join.
-
-Nulls and empty texts hold the end only.  Rows with a null id are learnt from.
-Repeated rows each count and are each scored.
+plus one symbol for all others.  Its contexts and divergence test are alike, its
+root is the unigram model, and a word outside the symbols takes its share of the
+rest by its own exact count.
+
+Everything is counted over the whole training corpus: word counts and
+``(context, next word)`` by shuffles with map-side sums, level by level, and the
+symbols' contexts in dense counters in the tasks.  The tree of words is a written
+table that grows with the corpus.  Filters of fixed size save rows before they
+are shuffled and decide nothing.  The symbols' tree, the counts of at most
+``HEAD`` words of at most 64 bytes and ``HEAD_GRAMS`` rows of the tree of words
+are broadcast; what a text needs besides, it meets in a join.
+
+Words and contexts go by 64-bit hashes in the tree of words.  Nulls and empty
+texts hold the end only.  Rows with a null id are learnt from.  Repeated rows
+each count and are each scored.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from wayloom.llm.decontam import _bits, bloom_filter
 from wayloom.session import arrow_batches, written
 
 P_MIN = 1 / 2000
@@ -41,6 +50,10 @@ GAIN = 50.0
 #: Weight of the suffix's distribution in smoothing, in tokens.
 KAPPA = 20.0
 HEAD = 1 << 18
+#: Rows of the tree of words that are broadcast, those with the highest counts.
+HEAD_GRAMS = 1 << 21
+#: Bits of each filter of contexts, a power of two; 4 MB.
+FILTER_BITS = 1 << 25
 _ADD = 0.1
 _FLUSH = 400_000
 #: Stands for the end in the table of counts; no word has white space.
@@ -75,7 +88,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Tree:
-    """The model; all of bounded size."""
+    """The model; all of bounded size but the table ``grams``, which is not broadcast."""
 
     n: int  # training tokens
     v: int  # distinct ones
@@ -87,6 +100,11 @@ class Tree:
     root: np.ndarray = field(default=None)  # probabilities of the symbols
     levels: list[np.ndarray] = field(default_factory=list)  # sorted keys of the kept contexts by length
     gains: list[np.ndarray] = field(default_factory=list)  # log10 of their distributions over the root's
+    grams: DataFrame | None = None  # the tree of words: (level, ctx, w, v, c); w is null in a context's own row
+    depth: int = 0  # levels of it
+    near: dict[int, np.ndarray] = field(default_factory=dict)  # sorted keys of its broadcast rows by kind
+    logs: dict[int, np.ndarray] = field(default_factory=dict)  # their values
+    filters: list[np.ndarray] = field(default_factory=list)  # of kept contexts by length; none if all rows are broadcast
 
     @property
     def total(self) -> float:
@@ -134,11 +152,21 @@ class Coder:
         n_words = tree.n_symbols - 1 - (tree.end > 0)
         self.symbol = np.zeros(len(tree.words) + 1, np.int64)  # the last is for words outside the head
         self.symbol[:n_words] = np.arange(1, n_words + 1)
+        self.hash: np.ndarray | None = None
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         get, miss = self.at.get, len(self.tree.words)
         return np.fromiter((get(w, miss) for w in words), np.int64, len(words))
 
+    def hashes(self, words: list[bytes], numbers: np.ndarray) -> np.ndarray:
+        """Hashes of a text's words and the end."""
+        if self.hash is None:
+            self.hash = np.array([_word_hash(w) for w in self.tree.words] + [0], np.uint64)
+        out = np.r_[self.hash[numbers], _END_HASH]
+        for i in np.nonzero(numbers == len(self.tree.words))[0].tolist():
+            out[i] = _word_hash(words[i])
+        return out
+
     def symbols(self, numbers: np.ndarray) -> np.ndarray:
         return np.r_[self.symbol[numbers], self.tree.end]
 
@@ -154,6 +182,50 @@ def contexts(sym: np.ndarray, length: int, base: int) -> np.ndarray:
     return out
 
 
+def _word_hash(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, 42)  # as Spark's xxhash64
+
+
+_END_HASH = np.uint64(_word_hash(END))
+
+
+def word_contexts(h: np.ndarray, length: int) -> np.ndarray:
+    """Keys of the ``length`` words before each position from ``length`` on: each next word is added to the turned key."""
+    key = np.zeros(max(0, len(h) - length), np.uint64)
+    for k in range(length):
+        key = ((key << np.uint64(13)) | (key >> np.uint64(51))) ^ h[k : len(h) - length + k]
+    return key
+
+
+def _longer(ctx: Column, w: Column) -> Column:
+    """The key of a context and the word that follows it."""
+    return F.shiftleft(ctx, 13).bitwiseOR(F.shiftrightunsigned(ctx, 51)).bitwiseXOR(w)
+
+
+def _joint(ctx: np.ndarray, w: np.ndarray) -> np.ndarray:
+    x = ctx * np.uint64(0x9E3779B97F4A7C15) ^ w
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(29)
+
+
+def _passes(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    x, y = _bits(keys, len(packed) * 8)
+    return ((packed[x >> 3] >> (x & 7)) & (packed[y >> 3] >> (y & 7)) & 1).astype(bool)
+
+
+def least_count(total: float, gain: float, kappa: float) -> int:
+    """Occurrences below which no context can save ``gain`` nats.
+
+    A word has at least its occurrences here over ``total`` as its share, so ``c``
+    occurrences save at most ``c log((total + kappa) / (c + kappa))``.
+    """
+    c = 1
+    while c < total and c * np.log((total + kappa) / (c + kappa)) < gain:
+        c += 1
+    return c
+
+
 def _at(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Places in sorted keys, or -1."""
     if not len(keys):
@@ -218,28 +290,150 @@ def grow(texts: DataFrame, tree: Tree, depth: int = DEPTH, p_min: float = P_MIN,
     return tree
 
 
+def gram_counts(texts: DataFrame, shared, length: int, bloom) -> DataFrame:
+    """``(suffix, ctx, w, c)``: how often each word follows each context of ``length`` words that passes the filter."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packed, coder = bloom.value, Coder(shared.value)
+        held: list[tuple] = []
+        n = 0
+
+        def sums() -> pd.DataFrame:
+            suffix, ctx, w = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((w, ctx))
+            suffix, ctx, w = suffix[order], ctx[order], w[order]
+            new = np.nonzero(np.r_[True, (ctx[1:] != ctx[:-1]) | (w[1:] != w[:-1])])[0]
+            signed = [x[new].view(np.int64) for x in (suffix, ctx, w)]
+            return pd.DataFrame({"suffix": signed[0], "ctx": signed[1], "w": signed[2], "c": np.diff(np.r_[new, len(w)])})
+
+        for b in batches:
+            for text in b["text"]:
+                own = words_of(text)
+                h = coder.hashes(own, coder.numbers(own))
+                if len(h) <= length:
+                    continue
+                ctx = word_contexts(h, length)
+                ok = _passes(packed, ctx)
+                suffix = word_contexts(h, length - 1)[1:]
+                held.append((suffix[ok], ctx[ok], h[length:][ok]))
+                n += len(held[-1][0])
+                if n > _FLUSH:
+                    yield sums()
+                    held, n = [], 0
+        if n:
+            yield sums()
+
+    got = texts.select("text").mapInPandas(run, "suffix long, ctx long, w long, c long")
+    return got.groupBy("suffix", "ctx", "w").agg(F.sum("c").alias("c"))
+
+
+def grow_words(texts: DataFrame, vocab: DataFrame, tree: Tree, depth: int = DEPTH, gain: float = GAIN, kappa: float = KAPPA, head_grams: int = HEAD_GRAMS, filter_bits: int = FILTER_BITS) -> Tree:
+    """Add the tree of words: contexts of each length over all words that pass the divergence test."""
+    if not tree.n:
+        return tree
+    shared = texts.sparkSession.sparkContext.broadcast(tree)
+    least = least_count(tree.total, gain, kappa)
+    p0 = vocab.select(F.xxhash64("word").alias("w"), ((F.col("c") + _ADD) / tree.total).alias("up"))
+    cand = vocab.where((F.col("c") >= least) & (F.col("word") != F.lit(END))).select(F.xxhash64("word").alias("hash"))
+    levels: list[DataFrame] = []
+    blooms, below = [], None
+    for length in range(1, depth + 1):
+        rows = gram_counts(texts, shared, length, bloom_filter(cand, filter_bits))
+        totals = rows.groupBy("ctx").agg(F.sum("c").alias("n")).where(F.col("n") >= least)
+        rows = rows.join(totals, "ctx")
+        # what the longest kept suffix says of the word
+        rows = rows.join(p0.withColumn("root", F.col("up")), "w") if below is None else rows.join(below, ["suffix", "w"])
+        rows = written(rows.withColumn("own", (F.col("c") + kappa * F.col("up")) / (F.col("n") + kappa)), "grams")
+        saved = rows.groupBy("ctx").agg(F.first("n").alias("n"), F.sum(F.col("c") * F.log(F.col("own") / F.col("up"))).alias("saved"))
+        kept = written(saved.where(F.col("saved") >= gain).select("ctx", "n"), "kept")
+        blooms.append(bloom_filter(kept.select(F.col("ctx").alias("hash")), filter_bits).value)
+        in_tree = rows.join(kept.select("ctx"), "ctx", "left_semi")
+        grams = in_tree.select("ctx", "w", F.log10(F.col("own") / F.col("root")).alias("v"), "c")
+        # what a kept context says of words that never follow it, over what its suffix says
+        bows = kept.select("ctx", F.lit(None).cast("long").alias("w"), F.log10(kappa / (F.col("n") + kappa)).alias("v"), F.col("n").alias("c"))
+        levels.append(grams.union(bows).select(F.lit(length).alias("level"), "*"))
+        if length < depth:
+            cand = rows.where(F.col("c") >= least).select(_longer(F.col("ctx"), F.col("w")).alias("hash"))
+            marked = rows.join(kept.select("ctx", F.lit(True).alias("in")), "ctx", "left")
+            below = marked.select(F.col("ctx").alias("suffix"), "w", F.when(F.col("in"), F.col("own")).otherwise(F.col("up")).alias("up"), "root")
+    table = levels[0]
+    for more in levels[1:]:
+        table = table.union(more)
+    tree.grams, tree.depth = written(table, "tree"), depth
+    steps = tree.grams.groupBy(F.floor(F.log2("c") * 4).alias("step")).agg(F.count("*").alias("k"), F.min("c").alias("least")).orderBy(F.desc("step")).collect()
+    taken, low = 0, None
+    for x in steps:
+        if taken + x["k"] > head_grams:
+            break
+        taken, low = taken + x["k"], x["least"]
+    top = tree.grams.where(F.col("c") >= low if low is not None else F.lit(False)).select("level", "ctx", F.coalesce("w", F.lit(0)).alias("w"), F.col("w").isNull().alias("bow"), F.col("v").cast("float").alias("v")).toPandas()
+    for level in range(1, depth + 1):
+        for bow in (False, True):
+            own = top[(top["level"] == level) & (top["bow"] == bow)]
+            ctx, w = (own[x].to_numpy(np.int64).view(np.uint64) for x in ("ctx", "w"))
+            keys = ctx if bow else _joint(ctx, w)
+            order = np.argsort(keys)
+            tree.near[2 * level + bow], tree.logs[2 * level + bow] = keys[order], own["v"].to_numpy(np.float32)[order]
+    tree.filters = blooms if taken < sum(x["k"] for x in steps) else []
+    return tree
+
+
 def fit(texts: DataFrame, **params) -> tuple[Tree, DataFrame]:
     """The tree and the table of token counts ``(word, c)``."""
     arrow_batches(texts.sparkSession)
     vocab = written(token_counts(texts), "tokens")
-    return grow(texts, head_of(vocab, params.pop("head", HEAD), params.get("p_min", P_MIN)), **params), vocab
+    own = {k: params.pop(k) for k in ("head_grams", "filter_bits") if k in params}
+    tree = grow(texts, head_of(vocab, params.pop("head", HEAD), params.get("p_min", P_MIN)), **params)
+    return grow_words(texts, vocab, tree, **own, **{k: v for k, v in params.items() if k != "p_min"}), vocab
 
 
-def _gain(tree: Tree, sym: np.ndarray) -> float:
-    """What the longest kept suffixes add to the unigram score of a text."""
+def _symbol_gains(tree: Tree, sym: np.ndarray) -> np.ndarray:
+    """What the longest kept suffixes of symbols add to the unigram score at each position."""
     done = np.zeros(len(sym), bool)
-    out = 0.0
+    out = np.zeros(len(sym))
     for length in range(len(tree.levels), 0, -1):
         p = _at(tree.levels[length - 1], contexts(sym, length, tree.n_symbols))
         new = (p >= 0) & ~done
-        out += float(tree.gains[length - 1][p[new], sym[new]].sum(dtype=np.float64))
+        out[new] = tree.gains[length - 1][p[new], sym[new]]
         done |= new
     return out
 
 
+def _gains(tree: Tree, sym: np.ndarray, h: np.ndarray | None) -> tuple[float, list[tuple]]:
+    """What contexts add to a text's unigram score; what is to be looked up: position, kind, key and the symbols' share."""
+    flat = _symbol_gains(tree, sym)
+    if h is None or not tree.depth:
+        return float(flat.sum()), []
+    n = len(h)
+    got, some, open_ = np.zeros(n), np.zeros(n, bool), np.zeros(n, bool)
+    asks = {}
+    for level in range(1, min(tree.depth, n - 1) + 1):
+        ctx, w = word_contexts(h, level), h[level:]
+        may = _passes(tree.filters[level - 1], ctx) if tree.filters else np.ones(len(ctx), bool)
+        p, q = _at(tree.near[2 * level], _joint(ctx, w)), _at(tree.near[2 * level + 1], ctx)
+        hit = p >= 0
+        miss = (q >= 0) & ~hit if not tree.filters else np.zeros(len(ctx), bool)
+        g, s, o = got[level:], some[level:], open_[level:]
+        g[miss] += tree.logs[2 * level + 1][q[miss]]
+        g[hit] = tree.logs[2 * level][p[hit]]
+        s |= hit | miss
+        o |= may & ~hit & bool(tree.filters)
+        o[hit] = False
+        asks[level] = (ctx, may)
+    total = float(np.where(some, got, flat)[~open_].sum())
+    rows = []
+    for i in np.nonzero(open_)[0].tolist():
+        for level, (ctx, may) in asks.items():
+            if i >= level and may[i - level]:
+                key = ctx[i - level].astype(">u8").tobytes()
+                rows.append((i, 2 * level, b"\t%d" % level + key + h[i].astype(">u8").tobytes(), float(flat[i])))
+                rows.append((i, 2 * level + 1, b"\t%d" % level + key, float(flat[i])))
+    return total, rows
+
+
 def score(docs: DataFrame, tree: Tree, vocab: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, n_tokens, n_known, base_score, score)`` of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    shared = docs.sparkSession.sparkContext.broadcast(replace(tree, grams=None))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree = shared.value
@@ -248,10 +442,7 @@ def score(docs: DataFrame, tree: Tree, vocab: DataFrame, id_col: str = "doc_id",
         end = np.log10((tree.end_count + _ADD) / tree.total)
         row = TaskContext.get().partitionId() << 40
         for b in batches:
-            keys: list[int] = []
-            words: list[bytes] = []
-            counts: list[int] = []
-            info: list = []
+            out: list[tuple] = []
             for key, own in zip(b["id"], b["text"]):
                 row += 1
                 own = words_of(own)
@@ -259,29 +450,37 @@ def score(docs: DataFrame, tree: Tree, vocab: DataFrame, id_col: str = "doc_id",
                 tail = Counter(own[i] for i in np.nonzero(at == miss)[0].tolist())
                 known = int((at != miss).sum()) + (tree.end_count > 0)
                 base = float(logs[at].sum()) + end
+                gain, asks = _gains(tree, coder.symbols(at), coder.hashes(own, at) if tree.depth else None)
                 # a text's own row: a key that no word has, other for each row
-                keys.append(row)
-                words.append(b" %d" % row)
-                counts.append(0)
-                info.append((None if key is None or key != key else int(key), len(own) + 1, known, base, base + _gain(tree, coder.symbols(at))))
-                keys += [row] * len(tail)
-                words += tail
-                counts += tail.values()
-                info += [None] * len(tail)
-            struct = [None if x is None else {"id": x[0], "n_tokens": x[1], "n_known": x[2], "base": x[3], "score": x[4]} for x in info]
-            yield pd.DataFrame({"row": keys, "word": words, "tf": counts, "info": struct})
+                info = {"id": None if key is None or key != key else int(key), "n_tokens": len(own) + 1, "n_known": known, "base": base, "score": base + gain}
+                out.append((row, -1, 0, b" %d" % row, 0, 0.0, info))
+                out += [(row, -1, 0, w, c, 0.0, None) for w, c in tail.items()]
+                out += [(row, i, kind, w, 0, flat, None) for i, kind, w, flat in asks]
+            yield pd.DataFrame(out, columns=["row", "pos", "kind", "word", "tf", "flat", "info"])
 
     arrow_batches(docs.sparkSession)
     parts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInPandas(
-        run, "row long, word binary, tf int, info struct<id: long, n_tokens: long, n_known: long, base: double, score: double>"
+        run, "row long, pos int, kind int, word binary, tf int, flat double, info struct<id: long, n_tokens: long, n_known: long, base: double, score: double>"
     )
-    met = parts.join(vocab, "word", "left")
-    known = F.when(F.col("c") > 0, F.col("tf")).otherwise(0).cast("long")
-    rest = F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + _ADD) / tree.total)
-    sums = met.groupBy("row").agg(F.max("info").alias("i"), F.sum(known).alias("known"), F.sum(rest).alias("rest"))
+    facts = vocab.select("word", "c", F.lit(None).cast("double").alias("v"))
+    if tree.filters:
+        eight = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+        prefix = F.encode(F.concat(F.lit("\t"), F.col("level").cast("string")), "UTF-8")
+        word = F.when(F.col("w").isNull(), F.concat(prefix, eight("ctx"))).otherwise(F.concat(prefix, eight("ctx"), eight("w")))
+        facts = facts.union(tree.grams.select(word.alias("word"), F.lit(None).cast("long").alias("c"), "v"))
+    met = parts.join(facts, "word", "left")
+    known = F.when((F.col("kind") == 0) & (F.col("c") > 0), F.col("tf")).otherwise(0).cast("long")
+    rest = F.when(F.col("kind") == 0, F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + _ADD) / tree.total)).otherwise(0.0)
+    looked = [F.max(F.when(F.col("kind") == k, F.col("v"))).alias(f"k{k}") for k in range(2, 2 * tree.depth + 2)]
+    met = met.groupBy("row", "pos").agg(F.max("info").alias("i"), F.sum(known).alias("known"), F.sum(rest).alias("rest"), F.max("flat").alias("flat"), *looked)
+    step = F.lit(None).cast("double")
+    for level in range(1, tree.depth + 1):
+        step = F.coalesce(F.col(f"k{2 * level}"), F.col(f"k{2 * level + 1}") + F.coalesce(step, F.lit(0.0)), step)
+    gain = F.when(F.col("pos") >= 0, F.coalesce(step, "flat")).otherwise(0.0)
+    sums = met.groupBy("row").agg(F.max("i").alias("i"), F.sum("known").alias("known"), F.sum("rest").alias("rest"), F.sum(gain).alias("gain"))
     return sums.select(
         F.col("i.id").alias("id"), "i.n_tokens", (F.col("i.n_known") + F.col("known")).alias("n_known"),
-        (F.col("i.base") + F.col("rest")).alias("base_score"), (F.col("i.score") + F.col("rest")).alias("score"),
+        (F.col("i.base") + F.col("rest")).alias("base_score"), (F.col("i.score") + F.col("rest") + F.col("gain")).alias("score"),
     )
 
 
