@@ -50,3 +50,30 @@ def test_odd_rows(spark, odd, none):
     kept = {(r.doc_id, r.text) for r in out.collect()}
     assert (9, "same text here") in kept and (10, "") in kept and (0, None) in kept
     assert ld.dedup_lines(none).count() == 0
+
+
+def brute_whole(rows, min_words):
+    """All runs of lines that have the words, against all that begin earlier."""
+    docs = sorted({r for r in rows if r[1] is not None}, key=lambda r: r[0])
+    seen, gone = set(), {}
+    for r in docs:
+        lines = r[1].split("\n")
+        for a in range(len(lines)):
+            runs = [tuple(lines[a : b + 1]) for b in range(a, len(lines))]
+            for w in runs:
+                if w in seen and len(" ".join(w).split()) >= min_words:
+                    gone.setdefault(r, set()).update(range(a, a + len(w)))
+            seen.update(runs)
+    return {r: "\n".join(x for k, x in enumerate(r[1].split("\n")) if k not in gone.get(r, ())) for r in docs}
+
+
+def test_whole_runs_go(spark):
+    rng = random.Random(7)
+    pool = ["a b c", "d e", "f", "", "g h i j k l", "m n"]
+    run = "\n".join([" ".join(f"{c}{i}" for i in range(n)) for c, n in zip("xyz", (40, 10, 10))])
+    some = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 14)))) for i in range(60)]
+    for rows, min_words in ((some, 1), (some, 4), (some, 9), ([(1, run), (2, "new\n" + run + "\nend"), (3, run)], 30)):
+        got = ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_words, whole=True).collect()
+        want = {r[0]: t for r, t in brute_whole(rows, min_words).items()}
+        assert {r.doc_id: r.text for r in got} == want
+    assert want == {1: run, 2: "new\nend", 3: ""}

@@ -12,8 +12,14 @@ number of lines that reach so many words.  Suffixes that share their first
 at least that, are found by the ranks of the two blocks, one from the left and
 one from the right, that cover those lines.  Of an interval the first suffix in
 (id, position) order stays; the lines that the later ones cover are deleted.
-Every maximal repeated run is the union of such intervals' covers, so later
-copies of it go as a whole, whatever its length.
+The end of a repeated run, after its last line with so many words ahead, may be
+in no such block.
+
+With ``whole``, later copies of every maximal repeated run go as a whole,
+whatever its length: the shortest blocks that reach so many words up to each line
+are treated in the same way.  A line of a run has so many words from itself on
+or up to itself within the run, or else it is in the block from the run's first
+line.
 
 Only DataFrame functions are used.  Hot lines are aggregated before they are
 shuffled; joins on line ids or ranks are plain equi-joins that adaptive
@@ -54,11 +60,16 @@ def _again(rows: DataFrame, *cols: str) -> DataFrame:
     return rows.groupBy(*cols).agg(F.count("*").alias("n")).where("n > 1").drop("n")
 
 
-def _depths(rows: DataFrame, min_words: int) -> DataFrame:
-    """``rows`` with ``depth``: lines from here, all repeated and on end, that reach ``min_words``."""
+def _chains(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``chain``, the same for lines on end, and ``upto``, the chain's words up to a line."""
     by = Window.partitionBy(*_DOC).orderBy("pos")
     chain = Window.partitionBy(*_DOC, "chain").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("chain", F.col("pos") - F.row_number().over(by)).withColumn("upto", F.sum("words").over(chain))
+    return rows.withColumn("chain", F.col("pos") - F.row_number().over(by)).withColumn("upto", F.sum("words").over(chain))
+
+
+def _depths(rows: DataFrame, min_words: int) -> DataFrame:
+    """``rows`` with ``depth``: lines from here, all repeated and on end, that reach ``min_words``."""
+    rows = _chains(rows)
     # each line asks for the first line at which the running count reaches its goal
     events = rows.select(
         "*", F.explode(F.array(F.struct(F.col("upto").alias("at"), F.lit(1).alias("kind")), F.struct((F.col("upto") - F.col("words") + min_words).alias("at"), F.lit(0).alias("kind")))).alias("e")
@@ -69,7 +80,21 @@ def _depths(rows: DataFrame, min_words: int) -> DataFrame:
     return events.where("e.kind = 0").withColumn("depth", F.col("reach") - F.col("pos") + 1).drop("e", "upto", "chain", "reach")
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def _tails(rows: DataFrame, min_words: int) -> DataFrame:
+    """Blocks ``(_id, _th, pos, depth)``: the shortest that reach ``min_words`` up to each line, without those of ``_depths``."""
+    begin = F.col("upto") - F.col("words")
+    events = _chains(rows).select(
+        *_DOC, "pos", "chain", begin.alias("begin"),
+        F.explode(F.array(F.struct(begin.alias("at"), F.lit(0).alias("kind")), F.struct((F.col("upto") - min_words).alias("at"), F.lit(1).alias("kind")))).alias("e"),
+    )
+    # each line asks for the last line from which the running count reaches its own
+    upto = Window.partitionBy(*_DOC, "chain").orderBy("e.at", "e.kind", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.last(F.when(F.col("e.kind") == 0, F.struct("pos", "begin")), ignorenulls=True).over(upto)
+    ends = events.withColumn("start", start).where((F.col("e.kind") == 1) & (F.col("begin") - F.col("start.begin") >= min_words))
+    return ends.select(*_DOC, F.col("start.pos").alias("pos"), (F.col("pos") - F.col("start.pos") + 1).alias("depth"))
+
+
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """Spans ``(_id, _th, spans)`` of the lines to delete: maximal runs, first and last position."""
     lines = cut(line_table(docs, id_col, text))
     ids = number(_again(lines, "h", "g"), "h", "g")
@@ -77,6 +102,9 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
     rows = rows.repartition(*_DOC).dropDuplicates([*_DOC, "pos"])
     rows = cut(_depths(rows, min_words))
     most = rows.agg(F.max("depth")).first()[0] or 0
+    if whole:
+        tails = cut(_tails(rows, min_words))
+        most = max(most, tails.agg(F.max("depth")).first()[0] or 0)
     by = Window.partitionBy(*_DOC).orderBy("pos")
     k = 0
     while 2 ** (k + 1) <= most:
@@ -88,8 +116,10 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
         k += 1
     rows = cut(rows.select(*_DOC, "pos", "depth", F.array(*[f"r{i}" for i in range(k + 1)]).alias("ranks"))) if k else rows.select(*_DOC, "pos", "depth", F.array("r0").alias("ranks"))
     level = F.floor(F.log2(F.col("depth").cast("double") + 0.5)).cast("int")
-    asking = rows.where("depth is not null").withColumn("level", level)
-    asking = asking.withColumn("left", F.get("ranks", F.col("level"))).withColumn("back", F.col("depth") - F.pow(F.lit(2), "level").cast("int")).where("left is not null")
+    asking = rows.where("depth is not null")
+    if whole:
+        asking = asking.unionByName(tails.join(rows.drop("depth"), [*_DOC, "pos"]))
+    asking = asking.withColumn("level", level).withColumn("left", F.get("ranks", F.col("level"))).withColumn("back", F.col("depth") - F.pow(F.lit(2), "level").cast("int")).where("left is not null")
     single = asking.where("back = 0").withColumn("right", F.col("left"))
     other = rows.select(*_DOC, F.col("pos").alias("_at"), F.col("ranks").alias("_ranks"))
     double = (
@@ -119,12 +149,12 @@ def _without(lines: Column, spans: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.size(spans)), pick))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text", counts: tuple[str, str] = ("n_lines", "n_deleted")) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text", counts: tuple[str, str] = ("n_lines", "n_deleted"), whole: bool = False) -> DataFrame:
     """``docs`` without the lines of later copies, plus the numbers of lines and of those deleted.
 
     Columns of ``docs`` that have the names in ``counts`` are replaced.
     """
-    spans = repeats(docs, min_words, id_col, text).select(F.col("_id").alias("__id"), F.col("_th").alias("__th"), F.col("spans").alias("__spans"))
+    spans = repeats(docs, min_words, id_col, text, whole).select(F.col("_id").alias("__id"), F.col("_th").alias("__th"), F.col("spans").alias("__spans"))
     both = docs.join(spans, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__th")), "left")
     lines = F.split(F.col(text), "\n", -1)
     kept = let(lines, lambda x: F.array_join(_without(x, F.col("__spans")), "\n"))
