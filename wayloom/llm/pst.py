@@ -334,13 +334,13 @@ def grow_words(texts: DataFrame, vocab: DataFrame, tree: Tree, depth: int = DEPT
     shared = texts.sparkSession.sparkContext.broadcast(tree)
     least = least_count(tree.total, gain, kappa)
     p0 = vocab.select(F.xxhash64("word").alias("w"), ((F.col("c") + _ADD) / tree.total).alias("up"))
-    cand = vocab.where((F.col("c") >= least) & (F.col("word") != F.lit(END))).select(F.xxhash64("word").alias("hash"))
+    # some word or the end follows each occurrence of a context, so its total is its own count, found a level before
+    cand = vocab.where((F.col("c") >= least) & (F.col("word") != F.lit(END))).select(F.xxhash64("word").alias("hash"), F.col("c").alias("n"))
     levels: list[DataFrame] = []
     blooms, below = [], None
     for length in range(1, depth + 1):
         rows = gram_counts(texts, shared, length, bloom_filter(cand, filter_bits))
-        totals = rows.groupBy("ctx").agg(F.sum("c").alias("n")).where(F.col("n") >= least)
-        rows = rows.join(totals, "ctx")
+        rows = rows.join(cand.groupBy(F.col("hash").alias("ctx")).agg(F.sum("n").alias("n")), "ctx")
         # what the longest kept suffix says of the word
         rows = rows.join(p0.withColumn("root", F.col("up")), "w") if below is None else rows.join(below, ["suffix", "w"])
         rows = written(rows.withColumn("own", (F.col("c") + kappa * F.col("up")) / (F.col("n") + kappa)), "grams")
@@ -353,7 +353,7 @@ def grow_words(texts: DataFrame, vocab: DataFrame, tree: Tree, depth: int = DEPT
         bows = kept.select("ctx", F.lit(None).cast("long").alias("w"), F.log10(kappa / (F.col("n") + kappa)).alias("v"), F.col("n").alias("c"))
         levels.append(grams.union(bows).select(F.lit(length).alias("level"), "*"))
         if length < depth:
-            cand = rows.where(F.col("c") >= least).select(_longer(F.col("ctx"), F.col("w")).alias("hash"))
+            cand = rows.where((F.col("c") >= least) & (F.col("w") != F.xxhash64(F.lit(END)))).select(_longer(F.col("ctx"), F.col("w")).alias("hash"), F.col("c").alias("n"))
             marked = rows.join(kept.select("ctx", F.lit(True).alias("in")), "ctx", "left")
             below = marked.select(F.col("ctx").alias("suffix"), "w", F.when(F.col("in"), F.col("own")).otherwise(F.col("up")).alias("up"), "root")
     table = levels[0]
@@ -425,8 +425,8 @@ def _gains(tree: Tree, sym: np.ndarray, h: np.ndarray | None) -> tuple[float, li
     for i in np.nonzero(open_)[0].tolist():
         for level, (ctx, may) in asks.items():
             if i >= level and may[i - level]:
-                key = ctx[i - level].astype(">u8").tobytes()
-                rows.append((i, 2 * level, b"\t%d" % level + key + h[i].astype(">u8").tobytes(), float(flat[i])))
+                key = int(ctx[i - level]).to_bytes(8, "big")
+                rows.append((i, 2 * level, b"\t%d" % level + key + int(h[i]).to_bytes(8, "big"), float(flat[i])))
                 rows.append((i, 2 * level + 1, b"\t%d" % level + key, float(flat[i])))
     return total, rows
 
