@@ -11,108 +11,119 @@ def frame(spark, texts):
     return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
 
 
-def brute(train, text, tree):
-    c = Counter(w for t in train for w in [*pst.words_of(t), pst.END])
-    n, v = sum(c.values()), len(c)
-    own = [*pst.words_of(text), pst.END]
-    p = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
-    return len(own), sum(w in c for w in own), sum(math.log10(p(w)) for w in own)
-
-
-@pytest.mark.parametrize("head", [pst.HEAD, 3])
-def test_counts_and_base_score(spark, head):
-    rng = random.Random(2)
-    train = [" ".join(rng.choice("the Of and cat dog sat far éclair".split()) for _ in range(rng.randint(0, 30))) for _ in range(80)] + [None, ""]
-    test = train[:10] + ["unknown words the cat", None, "", "x" * 5000]
-    tree, vocab = pst.fit(frame(spark, train), head=head)
+def tokens(text):
+    return [*pst.words_of(text), pst.END]
+
+
+class Plain:
+    """The same model by plain counting of all contexts."""
+
+    def __init__(self, train, depth=pst.DEPTH, min_count=pst.MIN_COUNT, listed=pst.LISTED, gain=pst.GAIN, kappa=pst.KAPPA):
+        self.c = Counter(w for t in train for w in tokens(t))
+        self.total = sum(self.c.values()) + 0.1 * (len(self.c) + 1)
+        self.kappa, self.depth, self.kept = kappa, depth, {}
+        after = {}
+        for t in train:
+            own = tokens(t)
+            for i in range(len(own)):
+                for k in range(1, min(depth, i) + 1):
+                    after.setdefault(tuple(own[i - k : i]), Counter())[own[i]] += 1
+        for ctx in sorted(after, key=len):
+            n = after[ctx].total()
+            if n < min_count:
+                continue
+            some = {w: k for w, k in after[ctx].items() if k >= listed}
+            rest = n - sum(some.values())
+            up = {w: self.p(ctx[1:], w) for w in after[ctx]}
+            own = {w: (some.get(w, 0) + (kappa + rest) * up[w]) / (n + kappa) for w in after[ctx]}
+            if sum(k * math.log(own[w] / up[w]) for w, k in after[ctx].items()) >= gain:
+                self.kept[ctx] = (n, some, rest)
+
+    def p(self, ctx, w):
+        while ctx and ctx not in self.kept:
+            ctx = ctx[1:]
+        if not ctx:
+            return (self.c[w] + 0.1) / self.total
+        n, some, rest = self.kept[ctx]
+        return (some.get(w, 0) + (self.kappa + rest) * self.p(ctx[1:], w)) / (n + self.kappa)
+
+    def score(self, text):
+        own = tokens(text)
+        return sum(math.log10(self.p(tuple(own[max(0, i - self.depth) : i]), w)) for i, w in enumerate(own))
+
+    def base(self, text):
+        return sum(math.log10((self.c[w] + 0.1) / self.total) for w in tokens(text))
+
+
+def compare(spark, train, test, head=pst.HEAD, head_grams=pst.HEAD_GRAMS, **params):
+    plain = Plain(train, **params)
+    tree, vocab = pst.fit(frame(spark, train), head=head, head_grams=head_grams, **params)
+    assert tree.grams.where("w is null").count() == len(plain.kept)
+    assert tree.grams.where("w is not null").count() == sum(len(some) for _, some, _ in plain.kept.values())
     got = {r.id: r for r in pst.score(frame(spark, test), tree, vocab).collect()}
     for i, t in enumerate(test):
-        n, known, base = brute(train, t, tree)
-        assert (got[i].n_tokens, got[i].n_known) == (n, known) and got[i].base_score == pytest.approx(base, rel=1e-9)
+        own = tokens(t)
+        assert (got[i].n_tokens, got[i].n_known) == (len(own), sum(w in plain.c for w in own))
+        assert got[i].base_score == pytest.approx(plain.base(t), rel=1e-9)
+        assert got[i].score == pytest.approx(plain.score(t), rel=1e-5), t
+    return plain
 
 
-def test_probabilities_sum_to_one(spark):
-    train = ["a b a b c"] * 300 + ["c a c b"] * 200
-    tree, _ = pst.fit(frame(spark, train), gain=1.0)
-    assert tree.root.sum() == pytest.approx(1)
-    assert tree.levels and any(len(k) for k in tree.levels)
-    for gains in tree.gains:
-        for row in gains:
-            assert (10.0**row * tree.root).sum() == pytest.approx(1, abs=1e-4)
+@pytest.mark.parametrize("head, head_grams", [(pst.HEAD, pst.HEAD_GRAMS), (3, 0), (40, 300)])
+def test_scores_equal_brute_force(spark, head, head_grams):
+    rng = random.Random(8)
+    names = [f"name{i}" for i in range(60)]
 
+    def text():
+        i = [rng.randrange(60) for _ in range(8)]
+        return " ".join(f"{names[k]} lives in the {names[k][::-1]} Street" if rng.random() < 0.8 else f"{names[k]} {rng.choice(names)} of" for k in i)
 
-def test_contexts_help_where_order_matters(spark):
-    rng = random.Random(1)
+    train = [text() for _ in range(400)] + [f"{p} k1 k2 k3 {q}" for p, q in ("xy", "zv") for _ in range(30)] + [f"{p} m1 m2 m3 m4 {q}" for p, q in ("xy", "zv") for _ in range(30)] + [None, "", "a a a a a a a a a"]
+    test = train[:20] + train[-4:] + [text() for _ in range(20)] + ["unknown name3 lives in", "name3", "x" * 5000, "x k1 k2 k3 y", "z m1 m2 m3 m4 y", "a a a a a a a a a a a a"]
+    plain = compare(spark, train, test, head, head_grams, gain=4.0)
+    assert {len(ctx) for ctx in plain.kept} >= {1, 2, 4, 5}
+
+
+@pytest.mark.parametrize("depth", [1, 3])
+def test_random_text_equals_brute_force(spark, depth):
+    rng = random.Random(depth)
     follow = {"a": "b", "b": "c", "c": "a"}
 
     def text():
         w = [rng.choice("abc")]
-        while len(w) < 40:
-            w.append(follow[w[-1]] if rng.random() < 0.9 else rng.choice("abc"))
+        while len(w) < 30:
+            w.append(follow[w[-1]] if rng.random() < 0.6 else rng.choice("abcdé"))
+            w[-1] in follow or w.append("a")
         return " ".join(w)
 
-    train, test = [text() for _ in range(200)], [text() for _ in range(30)]
-    tree, vocab = pst.fit(frame(spark, train))
-    rows = pst.score(frame(spark, test), tree, vocab).collect()
-    assert sum(r.score for r in rows) > 0.6 * sum(r.base_score for r in rows)
-    flat, v2 = pst.fit(frame(spark, [" ".join(rng.choice("abc") for _ in range(40)) for _ in range(200)]))
-    assert sum(len(k) for k in flat.levels) == 0
-
-
-def test_odd_rows(spark, odd, none):
-    tree, vocab = pst.fit(odd.select("text"))
-    assert pst.score(odd, tree, vocab).count() == odd.count()
-    assert pst.score(none, tree, vocab).count() == 0
-    empty, v = pst.fit(none.select("text"))
-    assert pst.score(odd, empty, v).count() == odd.count()
+    train = [text() for _ in range(60)]
+    compare(spark, train, train[:10] + [text() for _ in range(10)], depth=depth, gain=3.0, min_count=5, listed=2)
 
 
-def plain_tree(train, gain, kappa, depth=2):
-    """Kept contexts of words, by plain counting: the score of a word after a context."""
-    c = Counter(w for t in train for w in [*pst.words_of(t), pst.END])
-    total = sum(c.values()) + 0.1 * (len(c) + 1)
-    after = {}
-    for t in train:
-        own = [*pst.words_of(t), pst.END]
-        for i in range(len(own)):
-            for k in range(1, depth + 1):
-                if i >= k:
-                    after.setdefault(tuple(own[i - k : i]), Counter())[own[i]] += 1
-    kept = {}
+def test_probabilities_sum_to_one(spark):
+    train = ["a b a b c"] * 300 + ["c a c b"] * 200
+    plain = Plain(train, gain=1.0)
+    assert plain.kept
+    for ctx in plain.kept:
+        assert sum(plain.p(ctx, w) for w in plain.c) + 0.1 / plain.total == pytest.approx(1, abs=1e-4)
 
-    def p(ctx, w):
-        while ctx and ctx not in kept:
-            ctx = ctx[1:]
-        if not ctx:
-            return (c[w] + 0.1) / total
-        return (kept[ctx][w] + kappa * p(ctx[1:], w)) / (kept[ctx].total() + kappa)
 
-    for ctx in sorted(after, key=len):
-        f = after[ctx]
-        if sum(n * math.log((n + kappa * p(ctx[1:], w)) / (f.total() + kappa) / p(ctx[1:], w)) for w, n in f.items()) >= gain:
-            kept[ctx] = f
-    return kept, p
+def test_contexts_help_where_order_matters(spark):
+    rng = random.Random(1)
+    flat = [" ".join(rng.choice("abc") for _ in range(40)) for _ in range(200)]
+    tree, _ = pst.fit(frame(spark, flat), depth=1, gain=20.0)
+    assert tree.grams.where("w is not null and c > 200").count() <= 3  # the end after 40 words only
 
 
-@pytest.mark.parametrize("head_grams", [pst.HEAD_GRAMS, 40, 0])
-def test_rare_words_are_contexts(spark, head_grams):
-    rng = random.Random(8)
-    names = [f"name{i}" for i in range(300)]
+def test_large_ids_beside_null(spark):
+    rows = spark.createDataFrame([((1 << 60) + 1, "a b"), (None, "a b"), ((1 << 60) + 3, None)], "doc_id long, text string").coalesce(1)
+    tree, vocab = pst.fit(rows.select("text"))
+    assert {r.id for r in pst.score(rows, tree, vocab).collect()} == {(1 << 60) + 1, None, (1 << 60) + 3}
 
-    def text():
-        i = [rng.randrange(300) for _ in range(8)]
-        return " ".join(f"{names[k]} lives in {names[k][::-1]}" if rng.random() < 0.8 else f"{names[k]} {rng.choice(names)} of" for k in i)
 
-    train, test = [text() for _ in range(600)], [text() for _ in range(20)] + [None, "unknown name3 lives", "name3"]
-    tree, vocab = pst.fit(frame(spark, train), p_min=0.05, gain=8.0, head_grams=head_grams)
-    kept, p = plain_tree(train, 8.0, pst.KAPPA)
-    assert tree.grams.where("w is null").count() == len(kept) > 100
-    got = {r.id: r for r in pst.score(frame(spark, test), tree, vocab).collect()}
-    whole = 0
-    for i, t in enumerate(test):
-        own = [*pst.words_of(t), pst.END]
-        if all(any(tuple(own[max(0, j - k) : j]) in kept for k in (1, 2) if j >= k) for j in range(1, len(own))):
-            whole += 1
-            flat = math.log10(p((), own[0]))
-            assert got[i].score == pytest.approx(flat + sum(math.log10(p(tuple(own[max(0, j - 2) : j]), own[j])) for j in range(1, len(own))), rel=1e-5)
-    assert whole > 3
+def test_odd_rows(spark, odd, none):
+    tree, vocab = pst.fit(odd.select("text"))
+    assert pst.score(odd, tree, vocab).count() == odd.count()
+    assert pst.score(none, tree, vocab).count() == 0
+    empty, v = pst.fit(none.select("text"))
+    assert pst.score(odd, empty, v).count() == odd.count()

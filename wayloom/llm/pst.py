@@ -1,32 +1,30 @@
 """Language-model scoring by a probabilistic suffix tree.
 
 Tokens are lower-cased (A-Z) words and one end a text.  Contexts are strings of
-up to ``DEPTH`` words, whatever the words' counts; one is kept if its next-word
-distribution diverges from that of its longest kept suffix: if coding what
-follows it by its own distribution saves ``GAIN`` nats.  A context that occurs
-``c`` times can't save more than ``c`` times the log of the corpus over ``c``,
-so those below ``least_count`` are left out early, which loses none.  Kept
-distributions are smoothed towards their suffix's, down to the additive unigram
-model over all words.  A text is scored by the longest kept suffix before each
-token.
-
-Where no suffix of words is kept, a small tree over symbols scores the token:
-the words, and the end, that make up ``P_MIN`` of the training tokens at least,
-plus one symbol for all others.  Its contexts and divergence test are alike, its
-root is the unigram model, and a word outside the symbols takes its share of the
-rest by its own exact count.
-
-Everything is counted over the whole training corpus: word counts and
-``(context, next word)`` by shuffles with map-side sums, level by level, and the
-symbols' contexts in dense counters in the tasks.  The tree of words is a written
-table that grows with the corpus.  Filters of fixed size save rows before they
-are shuffled and decide nothing.  The symbols' tree, the counts of at most
-``HEAD`` words of at most 64 bytes and ``HEAD_GRAMS`` rows of the tree of words
-are broadcast; what a text needs besides, it meets in a join.
-
-Words and contexts go by 64-bit hashes in the tree of words.  Nulls and empty
-texts hold the end only.  Rows with a null id are learnt from.  Repeated rows
-each count and are each scored.
+one to ``DEPTH`` words.  One that occurs ``MIN_COUNT`` times is a candidate, and
+is kept if its next-word distribution diverges from that of its longest kept
+suffix: if coding all that follows it by its own distribution saves ``GAIN``
+nats.  A context lists the words that follow it ``LISTED`` times or more.  They
+and the rest share its mass: what the listed ones leave, plus ``KAPPA`` tokens,
+is spread as the suffix's distribution, down to the additive unigram model over
+all words.  A text is scored by the longest kept suffix before each token.
+
+Everything is counted over the whole training corpus by shuffles with map-side
+sums: words in one pass of the texts, what follows single words in a second, what
+follows longer contexts in a third, so the tree is a written table that grows
+with the corpus.  A context of several words is counted only where each two of
+them next to each other are frequent, which every candidate's are.  Filters of
+bounded size save rows before they are shuffled and decide nothing.  Counts of at
+most ``HEAD`` words of at most 64 bytes and at most ``HEAD_GRAMS`` rows of the
+tree, those with the highest counts, are broadcast; what a text needs besides, it
+meets in a join.
+
+Words and contexts go by 64-bit hashes.  Nulls and empty texts hold the end only;
+texts of any length are read as a whole.  Rows with a null id are learnt from.
+Repeated rows each count and are each scored; ties of counts at the rim of what
+is broadcast change no result.  An empty table gives no rows, an empty training
+corpus a model of the end alone.  Only the id and the text are read, so further
+columns of any name don't matter.
 """
 
 from __future__ import annotations
@@ -41,21 +39,19 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wayloom.llm.decontam import _bits, bloom_filter
+from wayloom.llm.bloom import bloom_filter, passes
 from wayloom.session import arrow_batches, written
 
-P_MIN = 1 / 2000
-DEPTH = 2
-GAIN = 50.0
+DEPTH = 5
+#: Occurrences from which a context is a candidate, and from which it lists a word.
+MIN_COUNT, LISTED = 16, 3
+GAIN = 10.0
 #: Weight of the suffix's distribution in smoothing, in tokens.
-KAPPA = 20.0
+KAPPA = 2.0
 HEAD = 1 << 18
-#: Rows of the tree of words that are broadcast, those with the highest counts.
-HEAD_GRAMS = 1 << 21
-#: Bits of each filter of contexts, a power of two; 4 MB.
-FILTER_BITS = 1 << 25
+HEAD_GRAMS = 1 << 22
 _ADD = 0.1
-_FLUSH = 400_000
+_FLUSH = 1_000_000
 #: Stands for the end in the table of counts; no word has white space.
 END = b"\n"
 
@@ -68,6 +64,10 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def _word_hash(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, 42)  # as Spark's xxhash64
+
+
 def token_counts(texts: DataFrame) -> DataFrame:
     """``(word, c)`` of all tokens of a table with a column ``text``."""
 
@@ -76,7 +76,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
         for b in batches:
             for text in b["text"]:
                 seen.update(words_of(text))
-                if len(seen) > _FLUSH:
+                if len(seen) > _FLUSH // 2:
                     yield pd.DataFrame({"word": list(seen), "c": list(seen.values())})
                     seen.clear()
             seen[END] += len(b)
@@ -92,343 +92,273 @@ class Tree:
 
     n: int  # training tokens
     v: int  # distinct ones
-    words: list[bytes]  # head words by falling count
+    words: list[bytes]  # head words
     counts: np.ndarray
-    n_symbols: int  # with 0, all other words; 1.. are head words in order, the end in its place
-    end: int  # symbol of the end, 0 if it is not one
     end_count: int
-    root: np.ndarray = field(default=None)  # probabilities of the symbols
-    levels: list[np.ndarray] = field(default_factory=list)  # sorted keys of the kept contexts by length
-    gains: list[np.ndarray] = field(default_factory=list)  # log10 of their distributions over the root's
-    grams: DataFrame | None = None  # the tree of words: (level, ctx, w, v, c); w is null in a context's own row
-    depth: int = 0  # levels of it
-    near: dict[int, np.ndarray] = field(default_factory=dict)  # sorted keys of its broadcast rows by kind
+    depth: int = 0
+    grams: DataFrame | None = None  # the tree: (level, ctx, w, v, c); w is null in a context's own row, which holds the rest's share
+    near: dict[int, np.ndarray] = field(default_factory=dict)  # sorted keys of its broadcast rows by kind: 2 * level, and 1 more for a context's own
     logs: dict[int, np.ndarray] = field(default_factory=dict)  # their values
-    filters: list[np.ndarray] = field(default_factory=list)  # of kept contexts by length; none if all rows are broadcast
+    filters: dict[int, np.ndarray] = field(default_factory=dict)  # of all rows by kind; none if all are broadcast
 
     @property
     def total(self) -> float:
         return self.n + _ADD * (self.v + 1)
 
-    def index(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.words)}
 
+class _Index(dict):
+    """Numbers of words in the order in which they come."""
 
-def head_of(vocab: DataFrame, head: int = HEAD, p_min: float = P_MIN) -> Tree:
-    """Totals, and the words with the highest counts, as many as surely fit."""
-    n, v = vocab.agg(F.sum("c"), F.count("*")).first()
-    n, v = int(n or 0), int(v or 0)
-    short = vocab.where((F.octet_length("word") <= 64) & (F.col("word") != F.lit(END)))
-    # counts in steps of a quarter octave: a histogram of a few hundred rows
-    steps = short.groupBy(F.floor(F.log2("c") * 4).alias("step")).agg(F.count("*").alias("k"), F.min("c").alias("least")).orderBy(F.desc("step")).collect()
-    taken, least = 0, None
-    for s in steps:
-        if taken + s["k"] > head:
-            break
-        taken, least = taken + s["k"], s["least"]
-    top = short.where(F.col("c") >= least).toPandas() if least is not None else pd.DataFrame({"word": [], "c": []})
-    top["word"] = [bytes(w) for w in top["word"]]
-    top = top.sort_values(["c", "word"], ascending=[False, True], kind="stable")
-    counts = top["c"].to_numpy(np.int64)
-    n_words = int((counts >= max(1.0, p_min * n)).sum())
-    ends = vocab.where(F.col("word") == F.lit(END)).first()
-    end_count = int(ends["c"]) if ends else 0
-    is_end = end_count >= max(1.0, p_min * n)
-    tree = Tree(n, v, top["word"].tolist(), counts, n_words + 1 + int(is_end), n_words + 1 if is_end else 0, end_count)
-    p = np.zeros(tree.n_symbols)
-    p[1 : n_words + 1] = (counts[:n_words] + _ADD) / tree.total
-    if is_end:
-        p[tree.end] = (end_count + _ADD) / tree.total
-    p[0] = max(1e-12, 1 - p.sum())
-    tree.root = p
-    return tree
+    def __init__(self) -> None:
+        self.words: list[bytes] = []
 
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.words)
+        self.words.append(word)
+        return n
 
-class Coder:
-    """Texts to symbols, in a task."""
 
-    def __init__(self, tree: Tree):
-        self.tree, self.at = tree, tree.index()
-        n_words = tree.n_symbols - 1 - (tree.end > 0)
-        self.symbol = np.zeros(len(tree.words) + 1, np.int64)  # the last is for words outside the head
-        self.symbol[:n_words] = np.arange(1, n_words + 1)
-        self.hash: np.ndarray | None = None
+class Words:
+    """Numbers of the words that a task has met, and what is known of each; number 0 is the end."""
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        get, miss = self.at.get, len(self.tree.words)
-        return np.fromiter((get(w, miss) for w in words), np.int64, len(words))
+    def __init__(self, head: dict[bytes, int] | None = None, filters: tuple[np.ndarray, ...] = ()):
+        self.head, self.filters = head or {}, filters
+        self.reset()
 
-    def hashes(self, words: list[bytes], numbers: np.ndarray) -> np.ndarray:
-        """Hashes of a text's words and the end."""
-        if self.hash is None:
-            self.hash = np.array([_word_hash(w) for w in self.tree.words] + [0], np.uint64)
-        out = np.r_[self.hash[numbers], _END_HASH]
-        for i in np.nonzero(numbers == len(self.tree.words))[0].tolist():
-            out[i] = _word_hash(words[i])
-        return out
+    def reset(self) -> None:
+        self.index = _Index()
+        self.hash = np.zeros(0, np.uint64)
+        self.rank = np.zeros(0, np.int64)
+        self.flags = [np.zeros(0, bool) for _ in self.filters]
+        self.index[END]
 
-    def symbols(self, numbers: np.ndarray) -> np.ndarray:
-        return np.r_[self.symbol[numbers], self.tree.end]
+    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All tokens of some texts on end, and the number of tokens of each."""
+        if len(self.index) > 1_000_000:
+            self.reset()
+        flat: list[bytes] = []
+        sizes = []
+        for text in texts:
+            own = words_of(text)
+            own.append(END)
+            sizes.append(len(own))
+            flat += own
+        out = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+        new = self.index.words[len(self.hash) :]
+        if new:
+            h = np.fromiter(map(_word_hash, new), np.uint64, len(new))
+            self.hash = np.r_[self.hash, h]
+            self.rank = np.r_[self.rank, np.fromiter((self.head.get(w, -1) for w in new), np.int64, len(new))]
+            self.flags = [np.r_[f, passes(packed, h)] for f, packed in zip(self.flags, self.filters)]
+        return out, np.array(sizes, np.int64)
 
 
-def contexts(sym: np.ndarray, length: int, base: int) -> np.ndarray:
-    """Keys of the ``length`` symbols before each position; -1 where a text has fewer."""
-    out = np.full(len(sym), -1, np.int64)
-    if len(sym) > length:
-        key = np.zeros(len(sym) - length, np.int64)
-        for k in range(length):
-            key = key * base + sym[k : len(sym) - length + k]
-        out[length:] = key
-    return out
-
-
-def _word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, 42)  # as Spark's xxhash64
-
-
-_END_HASH = np.uint64(_word_hash(END))
-
-
-def word_contexts(h: np.ndarray, length: int) -> np.ndarray:
-    """Keys of the ``length`` words before each position from ``length`` on: each next word is added to the turned key."""
-    key = np.zeros(max(0, len(h) - length), np.uint64)
-    for k in range(length):
-        key = ((key << np.uint64(13)) | (key >> np.uint64(51))) ^ h[k : len(h) - length + k]
-    return key
+def _turned(key: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Keys of contexts and the word that follows each."""
+    return ((key << np.uint64(13)) | (key >> np.uint64(51))) ^ h
 
 
 def _longer(ctx: Column, w: Column) -> Column:
-    """The key of a context and the word that follows it."""
+    """The same on columns."""
     return F.shiftleft(ctx, 13).bitwiseOR(F.shiftrightunsigned(ctx, 51)).bitwiseXOR(w)
 
 
-def _joint(ctx: np.ndarray, w: np.ndarray) -> np.ndarray:
-    x = ctx * np.uint64(0x9E3779B97F4A7C15) ^ w
-    x ^= x >> np.uint64(31)
-    x *= np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(29)
+def context_keys(h: np.ndarray, length: int) -> np.ndarray:
+    """Keys of the ``length`` words up to each position, from the ``length``-th on."""
+    key = h[: max(0, len(h) - length + 1)]
+    for k in range(1, length):
+        key = _turned(key, h[k : len(h) - length + 1 + k])
+    return key
 
 
-def _passes(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    x, y = _bits(keys, len(packed) * 8)
-    return ((packed[x >> 3] >> (x & 7)) & (packed[y >> 3] >> (y & 7)) & 1).astype(bool)
+def _summed(held: list[tuple]) -> pd.DataFrame:
+    """Rows ``(level, ctx, w, c)`` of a task, equal ones added up."""
+    level, ctx, w = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((w, ctx, level))
+    level, ctx, w = level[order], ctx[order], w[order]
+    new = np.nonzero(np.r_[True, (ctx[1:] != ctx[:-1]) | (w[1:] != w[:-1]) | (level[1:] != level[:-1])])[0]
+    return pd.DataFrame({"level": level[new], "ctx": ctx[new].view(np.int64), "w": w[new].view(np.int64), "c": np.diff(np.r_[new, len(w)]).astype(np.int32)})
 
 
-def least_count(total: float, gain: float, kappa: float) -> int:
-    """Occurrences below which no context can save ``gain`` nats.
+def gram_counts(texts: DataFrame, levels: range, contexts: np.ndarray, listed: np.ndarray, pairs: np.ndarray | None = None, least: int = LISTED) -> DataFrame:
+    """``(level, ctx, w, c)``: how often, from ``least`` times on, words follow contexts of each length.
 
-    A word has at least its occurrences here over ``total`` as its share, so ``c``
-    occurrences save at most ``c log((total + kappa) / (c + kappa))``.
+    The filters hold the words of contexts, the words that may be listed, and the
+    pairs of words next to each other of longer contexts.
     """
-    c = 1
-    while c < total and c * np.log((total + kappa) / (c + kappa)) < gain:
-        c += 1
-    return c
-
-
-def _at(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places in sorted keys, or -1."""
-    if not len(keys):
-        return np.full(len(wanted), -1, np.int64)
-    p = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[p] == wanted, p, -1)
-
-
-def level_counts(texts: DataFrame, shared, keys: np.ndarray, length: int) -> DataFrame:
-    """``(cell, c)``: how often each symbol follows each candidate context."""
-    sc = texts.sparkSession.sparkContext
-    wanted = sc.broadcast(keys)
+    shared = texts.sparkSession.sparkContext.broadcast((contexts, listed, pairs))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, own = shared.value, wanted.value
-        coder, base = Coder(tree), tree.n_symbols
-        cells = np.zeros(len(own) * base, np.int64)
+        first, second, pairs = shared.value
+        words = Words(filters=(first, second))
+        held: list[tuple] = []
+        n = 0
         for b in batches:
-            for text in b["text"]:
-                sym = coder.symbols(coder.numbers(words_of(text)))
-                place = _at(own, contexts(sym, length, base))
-                ok = place >= 0
-                np.add.at(cells, place[ok] * base + sym[ok], 1)
-        some = np.nonzero(cells)[0]
-        yield pd.DataFrame({"cell": some, "c": cells[some]})
-
-    return texts.select("text").mapInPandas(run, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c"))
-
-
-def grow(texts: DataFrame, tree: Tree, depth: int = DEPTH, p_min: float = P_MIN, gain: float = GAIN, kappa: float = KAPPA) -> Tree:
-    """Add the contexts of each length that pass the divergence test."""
-    base, sc = tree.n_symbols, texts.sparkSession.sparkContext
-    if not tree.n:
-        return tree
-    shared = sc.broadcast(tree)
-    cand = np.arange(base, dtype=np.int64)
-    dists: list[np.ndarray] = []
-    kept: list[np.ndarray] = []
-    for length in range(1, depth + 1):
-        if not len(cand):
-            break
-        got = level_counts(texts, shared, cand, length).toPandas()
-        table = np.zeros(len(cand) * base)
-        table[got["cell"].to_numpy(np.int64)] = got["c"].to_numpy(np.float64)
-        table = table.reshape(len(cand), base)
-        # the longest kept suffix of each candidate
-        parent = np.tile(tree.root, (len(cand), 1))
-        for k, (keys, dist) in enumerate(zip(kept, dists), 1):
-            p = _at(keys, cand % base**k)
-            parent[p >= 0] = dist[p[p >= 0]]
-        total = table.sum(1)
-        own = (table + kappa * parent) / (total + kappa)[:, None]
-        saved = (table * (np.log(own) - np.log(parent))).sum(1)
-        keep = (total >= max(1.0, p_min * tree.n)) & (saved >= gain)
-        kept.append(cand[keep])
-        dists.append(own[keep])
-        # longer candidates: a candidate and what follows it, often enough
-        often = np.argwhere(table >= max(1.0, p_min * tree.n))
-        cand = np.sort(cand[often[:, 0]] * base + often[:, 1]) if len(often) else np.zeros(0, np.int64)
-    tree.levels = kept
-    tree.gains = [(np.log10(d) - np.log10(tree.root)).astype(np.float32) for d in dists]
-    return tree
-
+            num, _ = words.numbers(b["text"].tolist())
+            h, inner, may = words.hash[num], words.flags[0][num] & (num > 0), words.flags[1][num]
+            key, ok = h, inner
+            if pairs is not None:
+                both = np.r_[False, inner[1:] & inner[:-1]]
+                at = np.nonzero(both)[0]
+                both[at] = passes(pairs, _turned(h[at - 1], h[at]))
+            for level in range(1, levels[-1] + 1):
+                if level > 1:  # a context that ends here goes on from one that ended a word before
+                    key = np.r_[np.zeros(1, np.uint64), _turned(key[:-1], h[1:])]
+                    ok = np.r_[False, ok[:-1]] & both
+                if level in levels:
+                    at = np.nonzero(ok[:-1] & may[1:])[0]
+                    held.append((np.full(len(at), level, np.int8), key[at], h[at + 1]))
+                    n += len(at)
+                    if n > _FLUSH:
+                        yield _summed(held)
+                        held, n = [], 0
+        if n:
+            yield _summed(held)
 
-def gram_counts(texts: DataFrame, shared, length: int, bloom) -> DataFrame:
-    """``(suffix, ctx, w, c)``: how often each word follows each context of ``length`` words that passes the filter."""
+    got = texts.select("text").mapInPandas(run, "level byte, ctx long, w long, c int")
+    return got.groupBy("level", "ctx", "w").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packed, coder = bloom.value, Coder(shared.value)
-        held: list[tuple] = []
-        n = 0
 
-        def sums() -> pd.DataFrame:
-            suffix, ctx, w = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((w, ctx))
-            suffix, ctx, w = suffix[order], ctx[order], w[order]
-            new = np.nonzero(np.r_[True, (ctx[1:] != ctx[:-1]) | (w[1:] != w[:-1])])[0]
-            signed = [x[new].view(np.int64) for x in (suffix, ctx, w)]
-            return pd.DataFrame({"suffix": signed[0], "ctx": signed[1], "w": signed[2], "c": np.diff(np.r_[new, len(w)])})
+def head_of(vocab: DataFrame, head: int = HEAD) -> Tree:
+    """Totals, and the words with the highest counts, as many as surely fit."""
+    n, v = vocab.agg(F.sum("c"), F.count("*")).first()
+    n, v = int(n or 0), int(v or 0)
+    short = vocab.where((F.octet_length("word") <= 64) & (F.col("word") != F.lit(END)))
+    least = _least(short, head)
+    top = short.where(F.col("c") >= least).toPandas() if least is not None else pd.DataFrame({"word": [], "c": []})
+    ends = vocab.where(F.col("word") == F.lit(END)).first()
+    return Tree(n, v, [bytes(w) for w in top["word"]], top["c"].to_numpy(np.int64), int(ends["c"]) if ends else 0)
 
-        for b in batches:
-            for text in b["text"]:
-                own = words_of(text)
-                h = coder.hashes(own, coder.numbers(own))
-                if len(h) <= length:
-                    continue
-                ctx = word_contexts(h, length)
-                ok = _passes(packed, ctx)
-                suffix = word_contexts(h, length - 1)[1:]
-                held.append((suffix[ok], ctx[ok], h[length:][ok]))
-                n += len(held[-1][0])
-                if n > _FLUSH:
-                    yield sums()
-                    held, n = [], 0
-        if n:
-            yield sums()
 
-    got = texts.select("text").mapInPandas(run, "suffix long, ctx long, w long, c long")
-    return got.groupBy("suffix", "ctx", "w").agg(F.sum("c").alias("c"))
+def _least(rows: DataFrame, most: int) -> int | None:
+    """The count from which there are at most ``most`` rows, or None."""
+    # counts in steps of a quarter octave: a histogram of a few hundred rows
+    steps = rows.groupBy(F.floor(F.log2("c") * 4).alias("step")).agg(F.count("*").alias("k"), F.min("c").alias("least")).orderBy(F.desc("step")).collect()
+    taken, least = 0, None
+    for s in steps:
+        if taken + s["k"] > most:
+            break
+        taken, least = taken + s["k"], s["least"]
+    return least
 
 
-def grow_words(texts: DataFrame, vocab: DataFrame, tree: Tree, depth: int = DEPTH, gain: float = GAIN, kappa: float = KAPPA, head_grams: int = HEAD_GRAMS, filter_bits: int = FILTER_BITS) -> Tree:
-    """Add the tree of words: contexts of each length over all words that pass the divergence test."""
-    if not tree.n:
+def grow(texts: DataFrame, vocab: DataFrame, tree: Tree, depth: int = DEPTH, min_count: int = MIN_COUNT, listed: int = LISTED, gain: float = GAIN, kappa: float = KAPPA, head_grams: int = HEAD_GRAMS) -> Tree:
+    """Add the contexts of each length that pass the divergence test."""
+    if listed > min_count:
+        raise ValueError("a context has to occur as often as a word that it lists")
+    if not tree.n or not depth:
         return tree
-    shared = texts.sparkSession.sparkContext.broadcast(tree)
-    least = least_count(tree.total, gain, kappa)
-    p0 = vocab.select(F.xxhash64("word").alias("w"), ((F.col("c") + _ADD) / tree.total).alias("up"))
-    # some word or the end follows each occurrence of a context, so its total is its own count, found a level before
-    cand = vocab.where((F.col("c") >= least) & (F.col("word") != F.lit(END))).select(F.xxhash64("word").alias("hash"), F.col("c").alias("n"))
+    known = vocab.select(F.xxhash64("word").alias("w"), "c", (F.col("word") == F.lit(END)).alias("end"))
+    p0 = known.where(F.col("c") >= listed).select("w", ((F.col("c") + _ADD) / tree.total).alias("up"))
+    cand = known.where((F.col("c") >= min_count) & ~F.col("end")).select(F.col("w").alias("ctx"), F.lit(0).cast("long").alias("suffix"), F.col("c").alias("n"))
+    blooms = bloom_filter(cand, "ctx"), bloom_filter(p0, "w")
+    counts = written(gram_counts(texts, range(1, 2), *blooms, least=listed), "pairs")
+    longer = below = None
     levels: list[DataFrame] = []
-    blooms, below = [], None
-    for length in range(1, depth + 1):
-        rows = gram_counts(texts, shared, length, bloom_filter(cand, filter_bits))
-        rows = rows.join(cand.groupBy(F.col("hash").alias("ctx")).agg(F.sum("n").alias("n")), "ctx")
-        # what the longest kept suffix says of the word
+    for level in range(1, depth + 1):
+        # some word or the end follows each occurrence of a context, so its total is its own count, found a level before
+        rows = counts.select("ctx", "w", "c").join(cand, "ctx")
+        # what the longest kept suffix says of the word; all that a context lists, its suffix lists too
         rows = rows.join(p0.withColumn("root", F.col("up")), "w") if below is None else rows.join(below, ["suffix", "w"])
-        rows = written(rows.withColumn("own", (F.col("c") + kappa * F.col("up")) / (F.col("n") + kappa)), "grams")
-        saved = rows.groupBy("ctx").agg(F.first("n").alias("n"), F.sum(F.col("c") * F.log(F.col("own") / F.col("up"))).alias("saved"))
-        kept = written(saved.where(F.col("saved") >= gain).select("ctx", "n"), "kept")
-        blooms.append(bloom_filter(kept.select(F.col("ctx").alias("hash")), filter_bits).value)
-        in_tree = rows.join(kept.select("ctx"), "ctx", "left_semi")
-        grams = in_tree.select("ctx", "w", F.log10(F.col("own") / F.col("root")).alias("v"), "c")
-        # what a kept context says of words that never follow it, over what its suffix says
-        bows = kept.select("ctx", F.lit(None).cast("long").alias("w"), F.log10(kappa / (F.col("n") + kappa)).alias("v"), F.col("n").alias("c"))
-        levels.append(grams.union(bows).select(F.lit(length).alias("level"), "*"))
-        if length < depth:
-            cand = rows.where((F.col("c") >= least) & (F.col("w") != F.xxhash64(F.lit(END)))).select(_longer(F.col("ctx"), F.col("w")).alias("hash"), F.col("c").alias("n"))
-            marked = rows.join(kept.select("ctx", F.lit(True).alias("in")), "ctx", "left")
+        rest = rows.groupBy("ctx").agg((F.first("n") - F.sum("c")).alias("rest"))
+        own = (F.col("c") + (kappa + F.col("rest")) * F.col("up")) / (F.col("n") + kappa)
+        rows = written(rows.join(rest, "ctx").withColumn("own", own), "grams")
+        share = (kappa + F.first("rest")) / (F.first("n") + kappa)
+        saved = rows.groupBy("ctx").agg(
+            F.first("n").alias("n"), F.log10(share).alias("share"), (F.sum(F.col("c") * F.log(F.col("own") / F.col("up"))) + F.first("rest") * F.log(share)).alias("saved")
+        )
+        kept = written(saved.where(F.col("saved") >= gain).select("ctx", "n", "share"), "kept")
+        marked = rows.join(kept.select("ctx", F.lit(True).alias("in")), "ctx", "left")
+        listing = marked.where("in").select("ctx", "w", F.log10(F.col("own") / F.col("root")).alias("v"), "c")
+        levels.append(listing.union(kept.select("ctx", F.lit(None).cast("long"), "share", "n")).select(F.lit(level).alias("level"), "*"))
+        if level < depth:
+            ends = F.xxhash64(F.lit(END))
+            cand = rows.where((F.col("c") >= min_count) & (F.col("w") != ends)).select(_longer(F.col("ctx"), F.col("w")).alias("ctx"), _longer(F.col("suffix"), F.col("w")).alias("suffix"), F.col("c").alias("n"))
             below = marked.select(F.col("ctx").alias("suffix"), "w", F.when(F.col("in"), F.col("own")).otherwise(F.col("up")).alias("up"), "root")
+            if longer is None:
+                longer = written(gram_counts(texts, range(2, depth + 1), *blooms, bloom_filter(cand, "ctx"), least=listed), "longer")
+            counts = longer.where(F.col("level") == level + 1)
     table = levels[0]
     for more in levels[1:]:
         table = table.union(more)
     tree.grams, tree.depth = written(table, "tree"), depth
-    steps = tree.grams.groupBy(F.floor(F.log2("c") * 4).alias("step")).agg(F.count("*").alias("k"), F.min("c").alias("least")).orderBy(F.desc("step")).collect()
-    taken, low = 0, None
-    for x in steps:
-        if taken + x["k"] > head_grams:
-            break
-        taken, low = taken + x["k"], x["least"]
-    top = tree.grams.where(F.col("c") >= low if low is not None else F.lit(False)).select("level", "ctx", F.coalesce("w", F.lit(0)).alias("w"), F.col("w").isNull().alias("bow"), F.col("v").cast("float").alias("v")).toPandas()
-    for level in range(1, depth + 1):
-        for bow in (False, True):
-            own = top[(top["level"] == level) & (top["bow"] == bow)]
-            ctx, w = (own[x].to_numpy(np.int64).view(np.uint64) for x in ("ctx", "w"))
-            keys = ctx if bow else _joint(ctx, w)
-            order = np.argsort(keys)
-            tree.near[2 * level + bow], tree.logs[2 * level + bow] = keys[order], own["v"].to_numpy(np.float32)[order]
-    tree.filters = blooms if taken < sum(x["k"] for x in steps) else []
+    return _near(tree, head_grams)
+
+
+def _kind(level: Column, w: Column) -> Column:
+    return (2 * level + w.isNull().cast("int")).cast("int")
+
+
+def _near(tree: Tree, head_grams: int) -> Tree:
+    """Take the rows with the highest counts to be broadcast; contexts' own rows, which every word that they don't list needs, first."""
+    rows = tree.grams.select(_kind(F.col("level"), F.col("w")).alias("kind"), F.when(F.col("w").isNull(), F.col("ctx")).otherwise(_longer(F.col("ctx"), F.col("w"))).alias("key"), F.col("v").cast("float").alias("v"), "c")
+    own, listing = rows.where("kind % 2 = 1"), rows.where("kind % 2 = 0")
+    some = [(part, _least(part, most)) for part, most in ((own, head_grams // 4), (listing, head_grams - head_grams // 4))]
+    top = [part.where(F.col("c") >= (least if least is not None else 1 << 62)) for part, least in some]
+    got = top[0].union(top[1]).drop("c").toPandas()
+    have = rows.groupBy("kind").count().collect()
+    for k in have:
+        mine = got[got["kind"] == k["kind"]]
+        keys = mine["key"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        tree.near[k["kind"]], tree.logs[k["kind"]] = keys[order], mine["v"].to_numpy(np.float32)[order]
+    if len(got) < sum(k["count"] for k in have):
+        tree.filters = {k["kind"]: bloom_filter(rows.where(F.col("kind") == k["kind"]), "key") for k in have}
     return tree
 
 
-def fit(texts: DataFrame, **params) -> tuple[Tree, DataFrame]:
+def fit(texts: DataFrame, head: int = HEAD, **params) -> tuple[Tree, DataFrame]:
     """The tree and the table of token counts ``(word, c)``."""
     arrow_batches(texts.sparkSession)
     vocab = written(token_counts(texts), "tokens")
-    own = {k: params.pop(k) for k in ("head_grams", "filter_bits") if k in params}
-    tree = grow(texts, head_of(vocab, params.pop("head", HEAD), params.get("p_min", P_MIN)), **params)
-    return grow_words(texts, vocab, tree, **own, **{k: v for k, v in params.items() if k != "p_min"}), vocab
-
-
-def _symbol_gains(tree: Tree, sym: np.ndarray) -> np.ndarray:
-    """What the longest kept suffixes of symbols add to the unigram score at each position."""
-    done = np.zeros(len(sym), bool)
-    out = np.zeros(len(sym))
-    for length in range(len(tree.levels), 0, -1):
-        p = _at(tree.levels[length - 1], contexts(sym, length, tree.n_symbols))
-        new = (p >= 0) & ~done
-        out[new] = tree.gains[length - 1][p[new], sym[new]]
-        done |= new
-    return out
-
-
-def _gains(tree: Tree, sym: np.ndarray, h: np.ndarray | None) -> tuple[float, list[tuple]]:
-    """What contexts add to a text's unigram score; what is to be looked up: position, kind, key and the symbols' share."""
-    flat = _symbol_gains(tree, sym)
-    if h is None or not tree.depth:
-        return float(flat.sum()), []
-    n = len(h)
-    got, some, open_ = np.zeros(n), np.zeros(n, bool), np.zeros(n, bool)
-    asks = {}
-    for level in range(1, min(tree.depth, n - 1) + 1):
-        ctx, w = word_contexts(h, level), h[level:]
-        may = _passes(tree.filters[level - 1], ctx) if tree.filters else np.ones(len(ctx), bool)
-        p, q = _at(tree.near[2 * level], _joint(ctx, w)), _at(tree.near[2 * level + 1], ctx)
-        hit = p >= 0
-        miss = (q >= 0) & ~hit if not tree.filters else np.zeros(len(ctx), bool)
-        g, s, o = got[level:], some[level:], open_[level:]
-        g[miss] += tree.logs[2 * level + 1][q[miss]]
-        g[hit] = tree.logs[2 * level][p[hit]]
-        s |= hit | miss
-        o |= may & ~hit & bool(tree.filters)
-        o[hit] = False
-        asks[level] = (ctx, may)
-    total = float(np.where(some, got, flat)[~open_].sum())
-    rows = []
-    for i in np.nonzero(open_)[0].tolist():
-        for level, (ctx, may) in asks.items():
-            if i >= level and may[i - level]:
-                key = int(ctx[i - level]).to_bytes(8, "big")
-                rows.append((i, 2 * level, b"\t%d" % level + key + int(h[i]).to_bytes(8, "big"), float(flat[i])))
-                rows.append((i, 2 * level + 1, b"\t%d" % level + key, float(flat[i])))
-    return total, rows
+    return grow(texts, vocab, head_of(vocab, head), **params), vocab
+
+
+def _at(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places in sorted keys, or -1."""
+    if not len(keys):
+        return np.full(len(wanted), -1, np.int64)
+    p = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[p] == wanted, p, -1)
+
+
+def _gains(tree: Tree, h: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+    """What contexts add to the unigram score at each position, where that is known here.
+
+    Of other positions, whose gain is given as 0, what takes part: position, kind, key, and the value or NaN.
+    """
+    gain, open_ = np.zeros(len(h)), np.zeros(len(h), bool)
+    parts: list[tuple] = []
+    key, ok = h, inner
+    for level in range(1, tree.depth + 1):
+        if level > 1:
+            key = np.r_[np.zeros(1, np.uint64), _turned(key[:-1], h[1:])]
+            ok = np.r_[False, ok[:-1]] & inner
+        at = np.nonzero(ok[:-1])[0]
+        own, listing = 2 * level + 1, 2 * level
+        if own not in tree.near:
+            continue
+        if tree.filters:
+            at = at[passes(tree.filters[own], key[at])]
+        place = _at(tree.near[own], key[at])
+        if not tree.filters:
+            at, place = at[place >= 0], place[place >= 0]
+        wide = _turned(key[at], h[at + 1])
+        found = _at(tree.near[listing], wide)
+        v = np.where(found >= 0, tree.logs[listing][found] if len(tree.logs[listing]) else 0.0, np.nan)
+        rest = np.where(place >= 0, tree.logs[own][place] if len(tree.logs[own]) else 0.0, np.nan)
+        ask = (found < 0) & passes(tree.filters[listing], wide) if tree.filters else np.zeros(len(at), bool)
+        unsure = ask | ((place < 0) & (found < 0))
+        # a word that the context doesn't list takes its share of the rest
+        gain[at + 1] = np.where(found >= 0, v, gain[at + 1] + np.where(place >= 0, rest, 0.0))
+        open_[(at + 1)[unsure]] = True
+        open_[(at + 1)[found >= 0]] = False  # what shorter contexts say is of no matter now
+        if tree.filters:
+            parts.append((at + 1, own, key[at], rest))
+            parts.append((at + 1, listing, wide, np.where(ask, np.nan, np.where(found >= 0, v, np.inf))))
+    gain[open_] = 0.0
+    asks = [(p[s], kind, k[s], v[s]) for p, kind, k, v in parts if (s := open_[p] & (v != np.inf)).any()]
+    return gain, asks
 
 
 def score(docs: DataFrame, tree: Tree, vocab: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -437,49 +367,65 @@ def score(docs: DataFrame, tree: Tree, vocab: DataFrame, id_col: str = "doc_id",
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree = shared.value
-        coder, miss = Coder(tree), len(tree.words)
-        logs = np.r_[np.log10((tree.counts + _ADD) / tree.total), 0.0]
-        end = np.log10((tree.end_count + _ADD) / tree.total)
+        words = Words({w: i for i, w in enumerate(tree.words)})
+        logs = np.log10((np.r_[tree.counts, tree.end_count] + _ADD) / tree.total)
         row = TaskContext.get().partitionId() << 40
+        columns = ["row", "pos", "kind", "word", "tf", "v", "info"]
         for b in batches:
+            num, sizes = words.numbers(b["text"].tolist())
+            rank, ends = words.rank[num], np.cumsum(sizes)
+            rank[num == 0] = len(tree.counts)
+            gain, asks = _gains(tree, words.hash[num], num > 0)
+            starts = ends - sizes
+            base = np.add.reduceat(np.where(rank >= 0, logs[rank], 0.0), starts) if len(sizes) else np.zeros(0)
+            more = np.add.reduceat(gain, starts) if len(sizes) else np.zeros(0)
+            known = np.add.reduceat(((rank >= 0) & ((num > 0) | (tree.end_count > 0))).astype(np.int64), starts) if len(sizes) else np.zeros(0)
             out: list[tuple] = []
-            for key, own in zip(b["id"], b["text"]):
+            first = row + 1
+            miss = np.nonzero(rank < 0)[0]
+            of = np.searchsorted(ends, miss, side="right")
+            cuts = np.searchsorted(of, np.arange(len(sizes) + 1))
+            for i, key in enumerate(b["id"]):
                 row += 1
-                own = words_of(own)
-                at = coder.numbers(own)
-                tail = Counter(own[i] for i in np.nonzero(at == miss)[0].tolist())
-                known = int((at != miss).sum()) + (tree.end_count > 0)
-                base = float(logs[at].sum()) + end
-                gain, asks = _gains(tree, coder.symbols(at), coder.hashes(own, at) if tree.depth else None)
+                info = {"id": key, "n_tokens": int(sizes[i]), "n_known": int(known[i]), "base": float(base[i]), "score": float(base[i] + more[i])}
                 # a text's own row: a key that no word has, other for each row
-                info = {"id": None if key is None or key != key else int(key), "n_tokens": len(own) + 1, "n_known": known, "base": base, "score": base + gain}
-                out.append((row, -1, 0, b" %d" % row, 0, 0.0, info))
-                out += [(row, -1, 0, w, c, 0.0, None) for w, c in tail.items()]
-                out += [(row, i, kind, w, 0, flat, None) for i, kind, w, flat in asks]
-            yield pd.DataFrame(out, columns=["row", "pos", "kind", "word", "tf", "flat", "info"])
+                out.append((row, -1, 0, b" %d" % row, 0, None, info))
+                if cuts[i] < cuts[i + 1]:
+                    out += [(row, -1, 0, words.index.words[k], c, None, None) for k, c in Counter(num[miss[cuts[i] : cuts[i + 1]]].tolist()).items()]
+            yield pd.DataFrame(out, columns=columns)
+            for p, kind, keys, v in asks:
+                of = np.searchsorted(ends, p, side="right")
+                own = [b"\t%d\t" % kind + k.to_bytes(8, "big") if x != x else b" %d" % r for k, x, r in zip(keys.tolist(), v.tolist(), (first + of).tolist())]
+                for s in range(0, len(p), 200_000):
+                    e = s + 200_000
+                    yield pd.DataFrame({"row": (first + of)[s:e], "pos": p[s:e] - starts[of[s:e]], "kind": kind, "word": own[s:e], "tf": 0, "v": v[s:e], "info": pd.Series([None] * len(own[s:e]), dtype=object)}, columns=columns)
 
     arrow_batches(docs.sparkSession)
-    parts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInPandas(
-        run, "row long, pos int, kind int, word binary, tf int, flat double, info struct<id: long, n_tokens: long, n_known: long, base: double, score: double>"
+    # ids go as strings, so that nulls don't turn them into floats
+    parts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("text")).mapInPandas(
+        run, "row long, pos int, kind int, word binary, tf int, v double, info struct<id: string, n_tokens: long, n_known: long, base: double, score: double>"
     )
-    facts = vocab.select("word", "c", F.lit(None).cast("double").alias("v"))
+    facts = vocab.select("word", "c", F.lit(None).cast("double").alias("fact"))
     if tree.filters:
-        eight = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
-        prefix = F.encode(F.concat(F.lit("\t"), F.col("level").cast("string")), "UTF-8")
-        word = F.when(F.col("w").isNull(), F.concat(prefix, eight("ctx"))).otherwise(F.concat(prefix, eight("ctx"), eight("w")))
+        kind = _kind(F.col("level"), F.col("w"))
+        key = F.when(F.col("w").isNull(), F.col("ctx")).otherwise(_longer(F.col("ctx"), F.col("w")))
+        word = F.concat(F.encode(F.concat(F.lit("\t"), kind.cast("string"), F.lit("\t")), "UTF-8"), F.unhex(F.lpad(F.hex(key), 16, "0")))
         facts = facts.union(tree.grams.select(word.alias("word"), F.lit(None).cast("long").alias("c"), "v"))
-    met = parts.join(facts, "word", "left")
-    known = F.when((F.col("kind") == 0) & (F.col("c") > 0), F.col("tf")).otherwise(0).cast("long")
-    rest = F.when(F.col("kind") == 0, F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + _ADD) / tree.total)).otherwise(0.0)
+    met = parts.withColumn("v", F.nanvl("v", F.lit(None).cast("double"))).join(facts, "word", "left").withColumn("v", F.coalesce("v", "fact"))
+    word = F.col("kind") == 0
+    seen = F.when(word & (F.col("c") > 0), F.col("tf")).otherwise(0).cast("long")
+    rest = F.when(word, F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + _ADD) / tree.total)).otherwise(0.0)
     looked = [F.max(F.when(F.col("kind") == k, F.col("v"))).alias(f"k{k}") for k in range(2, 2 * tree.depth + 2)]
-    met = met.groupBy("row", "pos").agg(F.max("info").alias("i"), F.sum(known).alias("known"), F.sum(rest).alias("rest"), F.max("flat").alias("flat"), *looked)
-    step = F.lit(None).cast("double")
+    met = met.groupBy("row", "pos").agg(F.max("info").alias("i"), F.sum(seen).alias("seen"), F.sum(rest).alias("rest"), *looked)
+    step = F.lit(0.0)
     for level in range(1, tree.depth + 1):
-        step = F.coalesce(F.col(f"k{2 * level}"), F.col(f"k{2 * level + 1}") + F.coalesce(step, F.lit(0.0)), step)
-    gain = F.when(F.col("pos") >= 0, F.coalesce(step, "flat")).otherwise(0.0)
-    sums = met.groupBy("row").agg(F.max("i").alias("i"), F.sum("known").alias("known"), F.sum("rest").alias("rest"), F.sum(gain).alias("gain"))
+        # the word is listed, or takes its share of the rest, or the context isn't kept
+        own = F.col(f"k{2 * level + 1}")
+        step = F.coalesce(F.when(own.isNotNull(), F.col(f"k{2 * level}")), own + step, step)
+    sums = met.groupBy("row").agg(F.max("i").alias("i"), F.sum("seen").alias("seen"), F.sum("rest").alias("rest"), F.sum(F.when(F.col("pos") >= 0, step).otherwise(0.0)).alias("gain"))
+    id_type = docs.schema[id_col].dataType
     return sums.select(
-        F.col("i.id").alias("id"), "i.n_tokens", (F.col("i.n_known") + F.col("known")).alias("n_known"),
+        F.col("i.id").cast(id_type).alias("id"), "i.n_tokens", (F.col("i.n_known") + F.col("seen")).alias("n_known"),
         (F.col("i.base") + F.col("rest")).alias("base_score"), (F.col("i.score") + F.col("rest") + F.col("gain")).alias("score"),
     )
 
