@@ -41,7 +41,7 @@ def bloom_filter(items: DataFrame, col: str = "hash", most_bits: int = MOST_BITS
             byte, start = np.unique(both >> 3, return_index=True)
             yield pd.DataFrame({"byte": byte.astype(np.int32), "bits": np.bitwise_or.reduceat(1 << (both & 7), start).astype(np.int16) if len(both) else np.zeros(0, np.int16)})
 
-    got = items.select(F.col(col).alias("hash")).mapInPandas(run, "byte int, bits short").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toPandas()
+    got = items.select(F.col(col).alias("hash")).mapInPandas(run, "byte int, bits short").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toArrow()
     packed = np.zeros(n_bits >> 3, np.uint8)
-    packed[got["byte"].to_numpy(np.int64)] = got["bits"].to_numpy(np.uint8)
+    packed[got["byte"].to_numpy()] = got["bits"].to_numpy().astype(np.uint8)
     return packed

@@ -225,9 +225,10 @@ def head_of(vocab: DataFrame, head: int = HEAD) -> Tree:
     n, v = int(n or 0), int(v or 0)
     short = vocab.where((F.octet_length("word") <= 64) & (F.col("word") != F.lit(END)))
     least = _least(short, head)
-    top = short.where(F.col("c") >= least).toPandas() if least is not None else pd.DataFrame({"word": [], "c": []})
+    # as Arrow, so that the driver holds no object a value
+    top = short.where(F.col("c") >= least if least is not None else F.lit(False)).toArrow()
     ends = vocab.where(F.col("word") == F.lit(END)).first()
-    return Tree(n, v, [bytes(w) for w in top["word"]], top["c"].to_numpy(np.int64), int(ends["c"]) if ends else 0)
+    return Tree(n, v, top["word"].to_pylist(), top["c"].to_numpy(), int(ends["c"]) if ends else 0)
 
 
 def _least(rows: DataFrame, most: int) -> int | None:
@@ -295,14 +296,14 @@ def _near(tree: Tree, head_grams: int) -> Tree:
     own, listing = rows.where("kind % 2 = 1"), rows.where("kind % 2 = 0")
     some = [(part, _least(part, most)) for part, most in ((own, head_grams // 4), (listing, head_grams - head_grams // 4))]
     top = [part.where(F.col("c") >= (least if least is not None else 1 << 62)) for part, least in some]
-    got = top[0].union(top[1]).drop("c").toPandas()
+    got = top[0].union(top[1]).drop("c").toArrow()
+    kinds, keys, logs = (got[c].to_numpy() for c in ("kind", "key", "v"))
     have = rows.groupBy("kind").count().collect()
     for k in have:
-        mine = got[got["kind"] == k["kind"]]
-        keys = mine["key"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        tree.near[k["kind"]], tree.logs[k["kind"]] = keys[order], mine["v"].to_numpy(np.float32)[order]
-    if len(got) < sum(k["count"] for k in have):
+        mine = np.nonzero(kinds == k["kind"])[0]
+        order = mine[np.argsort(keys[mine].view(np.uint64))]
+        tree.near[k["kind"]], tree.logs[k["kind"]] = keys[order].view(np.uint64), logs[order]
+    if got.num_rows < sum(k["count"] for k in have):
         tree.filters = {k["kind"]: bloom_filter(rows.where(F.col("kind") == k["kind"]), "key") for k in have}
     return tree
 
