@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from wayloom.llm import simhash as sh
@@ -23,7 +24,8 @@ def test_fingerprint():
     assert sh.fingerprint(long, block=100) == plain(long)
 
 
-def test_links_lose_no_component(spark):
+@pytest.mark.parametrize("limit", [sh.LIMIT, 500])
+def test_links_lose_no_component(spark, limit):
     rng = random.Random(7)
     base = [rng.getrandbits(64) for _ in range(40)]
     fps = set(base) | {0, (1 << 64) - 1}
@@ -46,7 +48,7 @@ def test_links_lose_no_component(spark):
         for j in np.nonzero(np.bitwise_count(arr ^ arr[i]) <= 4)[0]:
             root[max(find(i), find(j))] = min(find(i), find(j))
     df = spark.createDataFrame([(int(np.int64(x)),) for x in arr.view(np.int64)], "fp long")
-    got = sh.links(df).collect()
+    got = sh.links(df, limit=limit).collect()
     own = list(range(len(fps)))
     at = {int(v): k for k, v in enumerate(arr.view(np.int64))}
     for r in got:
@@ -70,6 +72,7 @@ def test_odd_rows(spark, odd, none):
     rows = sh.near_groups(odd).collect()
     assert len(rows) == odd.count()
     comp = {(r.id, r.fp): r.component for r in rows}
+    assert {r.component for r in rows if r.id is None} == {0, None}  # the null text's group has ids, the other text's none
     assert comp[0, 0] == comp[1, 0] == comp[2, 0] == 0
     kept = sh.drop_near_duplicates(odd)
     assert kept.columns == odd.columns and {9} == {r.doc_id for r in kept.where("text = 'same text here'").collect()}

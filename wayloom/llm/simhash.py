@@ -1,36 +1,42 @@
 """SimHash near-duplicates by ball hashing that meets in the middle.
 
 Two fingerprints that differ in at most ``radius`` bits have a point in between
-that is within ``radius // 2`` bits of both.  Every fingerprint therefore emits
-all variants within half the radius (2081 for 64 bits and radius 4), the
-variants are shuffled, and fingerprints that meet in a variant are linked to the
-smallest one there: any two that meet are within the radius, so a star of links
-keeps the component and no group is expanded into pairs.
-
-Only distinct fingerprints are dealt, and before that a sieve takes away those
-that can have no partner: if at most ``radius`` of 64 bits differ, at least
-``8 - radius`` of the 8 bytes agree, so a fingerprint whose every choice of so
-many bytes is its own has nothing within reach.  The sieve only saves rows; it
-never decides a link.
-
-Nulls and empty texts have fingerprint zero and are linked like any other; null
-ids are kept as rows of their own component; repeated ids share a component if
-their texts do.
+that is within ``radius // 2`` bits of both.  Every fingerprint therefore has its
+whole ball of half the radius as variants (2081 for 64 bits and radius 4), and
+fingerprints that meet in a variant are linked to the smallest one there: any two
+that meet are within the radius, so a star of links keeps the component and no
+group is expanded into pairs.
+
+A variant is not shuffled as a row of its own: variants are shuffled by their
+first ``PREFIX`` bits, so a fingerprint goes once to each prefix that any of its
+variants has (137 rows for 16 bits), and where it arrives, its variants with that
+prefix are made, sorted and compared, ``LIMIT`` at a time.  A prefix with more is
+worked off by further digits, so no group has to fit in memory as variants.
+
+Only distinct fingerprints are dealt.  Nulls and empty texts have fingerprint zero
+and are linked like any other; long texts are read as a whole.  A row's component
+is the smallest non-null id among all rows that its fingerprint reaches, so rows
+with a null id get that of their group, and null if the group has no other.
+Repeated rows get the same result.  An empty table gives none.  Of the input only
+id and text are read, so further columns of any name don't matter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wayloom.operators.components import components
 from wayloom.session import arrow_batches, cut
 
+#: Bits by which variants are shuffled, and variants that a task compares at once.
+PREFIX, LIMIT = 16, 1 << 21
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _LANE = (np.arange(8, dtype=np.int64) * 256)[None, :]
 
@@ -67,64 +73,130 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4) -> DataF
     return docs.withColumn("fp", fp(F.col(text)))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
-def ball_masks(half: int) -> list[int]:
-    """Every change of at most ``half`` of 64 bits."""
-    return [_signed(sum(1 << b for b in bits)) for n in range(half + 1) for bits in combinations(range(64), n)]
-
-
 def _spread(rows: DataFrame) -> DataFrame:
     """Few small rows that become many: dealt over all tasks first."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
 
 
-def sieve(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """Those distinct fingerprints that agree with another in ``8 - radius`` bytes."""
-    keys = [
-        F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(sum(0xFF << (8 * b) for b in some)))))
-        for i, some in enumerate(combinations(range(8), 8 - radius))
-    ]
-    rows = _spread(fps.select("fp")).select("fp", F.explode(F.array(*keys)).alias("key"))
-    by = Window.partitionBy("key").orderBy("fp")
-    met = rows.withColumn("other", F.coalesce(F.lag("fp").over(by), F.lead("fp").over(by)))
-    return met.where("other is not null").select("fp").distinct()
+@lru_cache(maxsize=64)
+def _masks(bits: int, flips: int) -> np.ndarray:
+    """Every change of at most ``flips`` of the lowest ``bits`` bits."""
+    return np.array([sum(1 << b for b in some) for n in range(min(flips, bits) + 1) for some in combinations(range(bits), n)], np.uint64)
 
 
-def links(fps: DataFrame, radius: int = 4) -> DataFrame:
+def _met(fp: np.ndarray, base: np.ndarray, left: np.ndarray, bits: int, limit: int) -> Iterator[np.ndarray]:
+    """Pairs ``(fp, lo)`` of fingerprints that meet in a variant.
+
+    ``base`` is a variant whose lowest ``bits`` bits may change in ``left`` more places.
+    Too many variants at once are worked off by the next digit of eight bits.
+    """
+    sizes = np.array([len(_masks(bits, k)) for k in range(int(left.max()) + 1)]) if len(left) else np.zeros(1, int)
+    if len(fp) < 2:
+        return
+    if bits > 8 and sizes[left].sum() > limit:
+        low = np.uint64(bits - 8)
+        digit = (base >> low) & np.uint64(255)
+        for j in range(256):
+            d = np.bitwise_count(digit ^ np.uint64(j)).astype(left.dtype)
+            ok = d <= left
+            if ok.sum() > 1:
+                yield from _met(fp[ok], base[ok] ^ ((digit[ok] ^ np.uint64(j)) << low), left[ok] - d[ok], bits - 8, limit)
+        return
+    parts = [(np.nonzero(left == k)[0], _masks(bits, k)) for k in range(len(sizes))]
+    variants = np.concatenate([(base[at][:, None] ^ masks[None, :]).ravel() for at, masks in parts])
+    ordered = np.sort(variants)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(twice):
+        return
+    owner = np.concatenate([np.repeat(at, len(masks)) for at, masks in parts])
+    # a bitmap first: few variants occur twice
+    seen = np.zeros(1 << 22, bool)
+    seen[(twice & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+    some = np.nonzero(seen[(variants & np.uint64((1 << 22) - 1)).astype(np.int64)])[0]
+    at = np.minimum(np.searchsorted(twice, variants[some]), len(twice) - 1)
+    hit = twice[at] == variants[some]
+    group, own = at[hit], fp[owner[some[hit]]]
+    order = np.lexsort((own, group))
+    group, own = group[order], own[order]
+    first = np.maximum.accumulate(np.where(np.r_[True, group[1:] != group[:-1]], np.arange(len(group)), 0))
+    pairs = np.stack([own, own[first]], 1)
+    yield np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+
+
+def links(fps: DataFrame, radius: int = 4, prefix: int = PREFIX, limit: int = LIMIT) -> DataFrame:
     """Links ``(fp, lo)`` between distinct fingerprints that span all components within ``radius``."""
-    if radius > 7 or radius % 2:
-        raise ValueError("the radius has to be even and 6 at most")
-    near = cut(sieve(fps, radius))
-    masks = F.array(*[F.lit(m) for m in ball_masks(radius // 2)])
-    ball = _spread(near).select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
-    lowest = F.first("fp").over(Window.partitionBy("variant").orderBy("fp").rowsBetween(Window.unboundedPreceding, 0))
-    met = ball.select("fp", lowest.alias("lo")).where("fp <> lo").distinct()
-    return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("lo"))) <= radius)
-
-
-def near_groups(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(id, fp, component)``: each row's fingerprint and the smallest id reachable over links."""
-    rows = cut(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text).alias("__text")), "__text").select("id", "fp"))
+    if radius % 2 or radius < 0:
+        raise ValueError("the radius has to be even")
+    half, low = radius // 2, 64 - prefix
+    heads = F.array(*[F.lit(int(m)) for m in _masks(prefix, half)])
+    # a variant is sent by its first bits; how its other bits vary is worked out where it arrives
+    sent = _spread(fps.select("fp")).select("fp", F.explode(heads).alias("mask"))
+    sent = sent.select("fp", F.shiftrightunsigned("fp", low).bitwiseXOR(F.col("mask")).cast("int").alias("head"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        most = len(_masks(low, half))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+
+        def flush(fp: np.ndarray, head: np.ndarray) -> Iterator[pd.DataFrame]:
+            own = fp.view(np.uint64)
+            lowest = np.uint64((1 << low) - 1)
+            top = head.astype(np.uint64)
+            left = (half - np.bitwise_count((own >> np.uint64(low)) ^ top)).astype(np.int64)
+            cost = np.cumsum(np.array([len(_masks(low, k)) for k in range(half + 1)])[left])
+            base = (top << np.uint64(low)) | (own & lowest)
+            edges = np.r_[np.nonzero(np.r_[True, head[1:] != head[:-1]])[0], len(head)]
+            start = 0
+            while start < len(edges) - 1:  # as many groups of one head as go at once
+                spent = cost[edges[start] - 1] if edges[start] else 0
+                end = max(start + 1, int(np.searchsorted(cost[edges[1:] - 1], spent + limit, side="right")))
+                s, e = edges[start], edges[end]
+                for pairs in _met(own[s:e], base[s:e], left[s:e], low, limit):
+                    yield pd.DataFrame({"fp": pairs[:, 0].view(np.int64), "lo": np.ascontiguousarray(pairs[:, 1]).view(np.int64)})
+                start = end
+
+        for b in batches:
+            fp, head = b["fp"].to_numpy(), b["head"].to_numpy()
+            held.append((fp, head))
+            n += len(fp)
+            if n > limit // 8 and held[0][1][0] != head[-1]:
+                fp, head = (np.concatenate(x) for x in zip(*held))
+                cut = int(np.searchsorted(head, head[-1]))  # the last head may go on in the next batch
+                yield from flush(fp[:cut], head[:cut])
+                held, n = [(fp[cut:], head[cut:])], len(fp) - cut
+        if n:
+            yield from flush(*(np.concatenate(x) for x in zip(*held)))
+
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sent.repartition(parts, "head").sortWithinPartitions("head").mapInPandas(run, "fp long, lo long").distinct()
+
+
+def near_groups(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
+    """``(id, th, fp, component)``: each row's fingerprint, a hash of its text and the smallest id reachable over links."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("__text"))
+    rows = cut(fingerprints(rows, "__text", shingle).select("id", "th", "fp"))
     fps = rows.groupBy("fp").agg(F.min("id").alias("least"))
     comp = components(links(fps.select("fp"), radius), "fp", "lo")
-    labelled = fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("root")
-    )
-    roots = labelled.groupBy("root").agg(F.min("least").alias("component"))
-    named = labelled.join(roots, "root").select("fp", "component")
-    return rows.join(named, "fp").select("id", "fp", "component")
+    # a component of any size: its members are dealt over salts, its one name is repeated for each
+    salts = 64
+    linked = fps.join(comp.withColumnRenamed("node", "fp"), "fp").select("fp", "least", F.col("component").alias("root"), F.pmod(F.hash("fp"), F.lit(salts)).alias("salt"))
+    linked = cut(linked)
+    roots = linked.groupBy("root").agg(F.min("least").alias("component")).select("root", "component", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    named = linked.join(roots, ["root", "salt"]).select("fp", "component")
+    alone = fps.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component"))
+    return rows.join(named.union(alone), "fp").select("id", "th", "fp", "component")
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id") -> DataFrame:
-    """One document of each group: the one with the smallest id; columns stay as they are.
+def drop_near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
+    """One text of each group: that with the smallest id, of such the one with the smallest hash; columns stay as they are.
 
-    Rows with a null id are kept, as they can't be told apart.
+    Rows that repeat id and text stay or go together.  Rows with a null id are kept,
+    as nothing tells which of them is the first.
     """
-    gone = near_groups(docs, radius, id_col).where("id <> component").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    groups = near_groups(docs, radius, id_col, text, shingle).select("id", F.coalesce("th", F.lit(0)).alias("th"), "component").distinct()
+    first = groups.where("id = component").groupBy(F.col("component").alias("id")).agg(F.min("th").alias("first"))
+    gone = groups.join(first, "id", "left").where("id <> component OR th <> first").select(F.col("id").alias("__gone"), F.col("th").alias("__th"))
+    return docs.join(gone, (F.col(id_col) == F.col("__gone")) & (F.coalesce(F.xxhash64(text), F.lit(0)) == F.col("__th")), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
