@@ -4,22 +4,18 @@ from wayloom.llm import line_dedup as ld
 
 
 def brute(rows, min_words):
-    """Windows of lines that reach the words, against all earlier ones."""
+    """All runs of lines that have the words, against all that begin earlier."""
     docs = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0]))
     seen, gone = set(), {}
-    for i, text in docs:
-        lines = text.split("\n")
+    for r in docs:
+        lines = r[1].split("\n")
         n = [len(x.split()) for x in lines]
         for a in range(len(lines)):
-            total = 0
-            for b in range(a, len(lines)):
-                total += n[b]
-                if total >= min_words:
-                    w = tuple(lines[a : b + 1])
-                    if w in seen:
-                        gone.setdefault((i, text), set()).update(range(a, b + 1))
-                    seen.add(w)
-                    break
+            runs = [tuple(lines[a : b + 1]) for b in range(a, len(lines))]
+            for w in runs:
+                if w in seen and sum(n[a : a + len(w)]) >= min_words:
+                    gone.setdefault(r, set()).update(range(a, a + len(w)))
+            seen.update(runs)
     return {r: (None if r[1] is None else "\n".join(x for k, x in enumerate(r[1].split("\n")) if k not in gone.get(r, ()))) for r in rows}
 
 
@@ -52,28 +48,25 @@ def test_odd_rows(spark, odd, none):
     assert ld.dedup_lines(none).count() == 0
 
 
-def brute_whole(rows, min_words):
-    """All runs of lines that have the words, against all that begin earlier."""
-    docs = sorted({r for r in rows if r[1] is not None}, key=lambda r: r[0])
-    seen, gone = set(), {}
-    for r in docs:
-        lines = r[1].split("\n")
-        for a in range(len(lines)):
-            runs = [tuple(lines[a : b + 1]) for b in range(a, len(lines))]
-            for w in runs:
-                if w in seen and len(" ".join(w).split()) >= min_words:
-                    gone.setdefault(r, set()).update(range(a, a + len(w)))
-            seen.update(runs)
-    return {r: "\n".join(x for k, x in enumerate(r[1].split("\n")) if k not in gone.get(r, ())) for r in docs}
-
-
 def test_whole_runs_go(spark):
-    rng = random.Random(7)
-    pool = ["a b c", "d e", "f", "", "g h i j k l", "m n"]
     run = "\n".join([" ".join(f"{c}{i}" for i in range(n)) for c, n in zip("xyz", (40, 10, 10))])
-    some = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 14)))) for i in range(60)]
-    for rows, min_words in ((some, 1), (some, 4), (some, 9), ([(1, run), (2, "new\n" + run + "\nend"), (3, run)], 30)):
-        got = ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_words, whole=True).collect()
-        want = {r[0]: t for r, t in brute_whole(rows, min_words).items()}
-        assert {r.doc_id: r.text for r in got} == want
-    assert want == {1: run, 2: "new\nend", 3: ""}
+    rows = [(1, run), (2, "new\n" + run + "\nend"), (3, run), (4, run.replace("z0", "q"))]
+    check(spark, rows, 30)
+    got = ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 30).collect()
+    assert {r.doc_id: r.text.split(" ")[0] for r in got} == {1: "x0", 2: "new\nend", 3: "", 4: "q"}
+
+
+def test_suffix_array(spark):
+    """Ranks order the suffixes as plain comparison of the lines' numbers does."""
+    rng = random.Random(3)
+    docs = [[rng.choice([0, 0, 1, 2]) for _ in range(rng.randint(1, 40))] for _ in range(12)]
+    docs += [docs[0], docs[1] + docs[2]]
+    rows = [(i, 0, k, 1, 1, x) for i, d in enumerate(docs) for k, x in enumerate(d)]
+    got = ld.suffix_ranks(spark.createDataFrame(rows, "_id long, _th long, pos int, words int, depth int, r0 long")).collect()
+    assert len(got) == len(rows)
+    own = {(r._id, r.pos): r.ranks for r in got}
+    plain = {(i, k): d[k:] for i, d in enumerate(docs) for k in range(len(d))}
+    order = sorted(own, key=own.get)
+    assert [plain[x] for x in order] == sorted(plain.values())
+    for x, y in zip(order, order[1:]):
+        assert (own[x] == own[y]) == (plain[x] == plain[y])
