@@ -68,6 +68,56 @@ def test_links_lose_no_component(spark, limit):
     assert [top(i) for i in range(len(fps))] == [find(i) for i in range(len(fps))]
 
 
+def jaccard(a, b, k=5):
+    sets = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set() for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] or sets[1] else 1.0
+
+
+def test_similar_texts(spark):
+    """Only pairs of that similarity are linked, and nearly all of them."""
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(40):
+        base = rng.choices(vocab, k=rng.randint(60, 300))
+        texts.append(" ".join(base))
+        for changes in (1, 2, 4, 8, 16):
+            own = list(base)
+            for _ in range(changes):
+                own[rng.randrange(len(own))] = rng.choice(vocab)
+            texts.append(" ".join(own))
+    texts += ["", "one two", "One two", "x " * 200]
+    df = spark.createDataFrame(list(enumerate(texts)), "th long, text string")
+    got = {tuple(sorted((r.fp, r.lo))) for r in sh.similar(df).collect()}
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if jaccard(texts[i], texts[j]) >= 0.8}
+    assert got <= want
+    root = list(range(len(texts)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, j in got:
+        root[max(find(i), find(j))] = min(find(i), find(j))
+    assert sum(find(i) == find(j) for i, j in want) >= 0.95 * len(want)
+    docs = spark.createDataFrame([(1 + i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (0, texts[0]), (0, texts[6]), (0, texts[0])], "doc_id long, text string")
+    kept = sh.drop_near_duplicates(docs).collect()
+    assert sorted(r.text for r in kept if r.doc_id == 0) == sorted([texts[0], texts[0], texts[6]])
+    assert {r.doc_id for r in kept} & {1, 7} == set() and None not in {r.doc_id for r in kept}
+
+
+def test_wide_fingerprint():
+    """Each block pair is the majority of mixed hashes of all shingles."""
+    text = " ".join(f"w{i % 37}" for i in range(300))
+    hashes = [int(x) for h in sh.shingle_hashes(text, 5, block=64) for x in h]
+    assert len(hashes) == 296
+    got = sh.wide_fingerprint(text, 5, 4)
+    for k in range(2):
+        mixed = []
+        for h in hashes:
+            x = (h ^ k * 0x9E3779B97F4A7C15) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+            x = (x ^ x >> 29) * 0x94D049BB133111EB & (1 << 64) - 1
+            mixed.append(x ^ x >> 32)
+        want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mixed) > len(mixed))
+        assert int(got[2 * k]) << 32 | int(got[2 * k + 1]) == want
+
+
 def test_odd_rows(spark, odd, none):
     rows = sh.near_groups(odd).collect()
     assert len(rows) == odd.count()
@@ -75,6 +125,8 @@ def test_odd_rows(spark, odd, none):
     assert {r.component for r in rows if r.id is None} == {0, None}  # the null text's group has ids, the other text's none
     assert comp[0, 0] == comp[1, 0] == comp[2, 0] == 0
     kept = sh.drop_near_duplicates(odd)
+    # texts without a word, one word many times, and one line twice: each group keeps its smallest id
+    assert {r.doc_id for r in kept.collect()} == {0, 3, 4, 5, 6, 7, 9, None}
     assert kept.columns == odd.columns and {9} == {r.doc_id for r in kept.where("text = 'same text here'").collect()}
-    assert kept.where("doc_id is null").count() == 2
+    assert kept.where("doc_id is null").count() == 1
     assert sh.near_groups(none).count() == 0 and sh.drop_near_duplicates(none).count() == 0

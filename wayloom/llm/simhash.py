@@ -30,35 +30,64 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from wayloom.functions.arrays import let
 from wayloom.operators.components import components
-from wayloom.session import arrow_batches, cut
+from wayloom.session import arrow_batches, cut, written
 
 #: Bits by which variants are shuffled, and variants that a task compares at once.
 PREFIX, LIMIT = 16, 1 << 21
+#: Blocks of 32 bits of a wide fingerprint, an even number.
+BLOCKS = 16
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _LANE = (np.arange(8, dtype=np.int64) * 256)[None, :]
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = 42, block: int = 1 << 16) -> int:
-    """SimHash of a text's word shingles, as an unsigned 64-bit number."""
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42, block: int = 1 << 16) -> Iterator[np.ndarray]:
+    """Hashes of a text's word shingles, repeats included, some at a time; of the whole text if it has fewer words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     joined, hashed = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return hashed(joined, seed)  # one shingle: each of its set bits is in over half
     lens = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lens + 1) - 1
-    starts = (ends - lens)[: len(words) - shingle + 1].tolist()
-    ends = ends[shingle - 1 :].tolist()
-    ones = np.zeros(2048, np.int64)
-    for i in range(0, len(starts), block):
-        h = np.array([hashed(joined[s:e], seed) for s, e in zip(starts[i : i + block], ends[i : i + block])], dtype=">u8")
-        ones += np.bincount((h.view(np.uint8).reshape(-1, 8) + _LANE).ravel(), minlength=2048)
-    per_bit = (ones.reshape(8, 256) @ _BITS).ravel()
-    return int.from_bytes(np.packbits(per_bit * 2 > len(starts)).tobytes(), "big")
+    last = max(1, len(words) - shingle + 1)
+    starts = (ends - lens)[:last].tolist()
+    ends = ends[-last:].tolist()
+    for i in range(0, last, block):
+        yield np.array([hashed(joined[s:e], seed) for s, e in zip(starts[i : i + block], ends[i : i + block])], np.uint64)
+
+
+def _ones(h: np.ndarray) -> np.ndarray:
+    """How many hashes have each byte value in each place, from the highest byte on."""
+    return np.bincount((h.astype(">u8").view(np.uint8).reshape(-1, 8) + _LANE).ravel(), minlength=2048)
+
+
+def _majority(ones: np.ndarray, n: int) -> bytes:
+    return np.packbits((ones.reshape(8, 256) @ _BITS).ravel() * 2 > n).tobytes()
+
+
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42, block: int = 1 << 16) -> int:
+    """SimHash of a text's word shingles, as an unsigned 64-bit number."""
+    ones, n = np.zeros(2048, np.int64), 0
+    for h in shingle_hashes(text, shingle, seed, block):
+        ones += _ones(h)
+        n += len(h)
+    return int.from_bytes(_majority(ones, n), "big")
+
+
+def wide_fingerprint(text: str | None, shingle: int, blocks: int) -> np.ndarray:
+    """SimHash of ``32 * blocks`` bits, as blocks of 32: each two come from hashes mixed in another way."""
+    ones, n = np.zeros((blocks // 2, 2048), np.int64), 0
+    for h in shingle_hashes(text, shingle):
+        n += len(h)
+        for k in range(blocks // 2):
+            x = (h ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(29)
+            x *= np.uint64(0x94D049BB133111EB)
+            ones[k] += _ones(x ^ x >> np.uint64(32))
+    return np.frombuffer(b"".join(_majority(row, n) for row in ones), ">u4").astype(np.uint32)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4) -> DataFrame:
@@ -84,8 +113,8 @@ def _masks(bits: int, flips: int) -> np.ndarray:
     return np.array([sum(1 << b for b in some) for n in range(min(flips, bits) + 1) for some in combinations(range(bits), n)], np.uint64)
 
 
-def _met(fp: np.ndarray, base: np.ndarray, left: np.ndarray, bits: int, limit: int) -> Iterator[np.ndarray]:
-    """Pairs ``(fp, lo)`` of fingerprints that meet in a variant.
+def _met(fp: np.ndarray, base: np.ndarray, left: np.ndarray, bits: int, limit: int, chain: bool = False) -> Iterator[np.ndarray]:
+    """Pairs ``(fp, lo)`` of fingerprints that meet in a variant: each with the smallest, and with ``chain`` with the one before it too.
 
     ``base`` is a variant whose lowest ``bits`` bits may change in ``left`` more places.
     Too many variants at once are worked off by the next digit of eight bits.
@@ -100,7 +129,7 @@ def _met(fp: np.ndarray, base: np.ndarray, left: np.ndarray, bits: int, limit: i
             d = np.bitwise_count(digit ^ np.uint64(j)).astype(left.dtype)
             ok = d <= left
             if ok.sum() > 1:
-                yield from _met(fp[ok], base[ok] ^ ((digit[ok] ^ np.uint64(j)) << low), left[ok] - d[ok], bits - 8, limit)
+                yield from _met(fp[ok], base[ok] ^ ((digit[ok] ^ np.uint64(j)) << low), left[ok] - d[ok], bits - 8, limit, chain)
         return
     parts = [(np.nonzero(left == k)[0], _masks(bits, k)) for k in range(len(sizes))]
     variants = np.concatenate([(base[at][:, None] ^ masks[None, :]).ravel() for at, masks in parts])
@@ -120,57 +149,66 @@ def _met(fp: np.ndarray, base: np.ndarray, left: np.ndarray, bits: int, limit: i
     group, own = group[order], own[order]
     first = np.maximum.accumulate(np.where(np.r_[True, group[1:] != group[:-1]], np.arange(len(group)), 0))
     pairs = np.stack([own, own[first]], 1)
+    if chain:
+        pairs = np.concatenate([pairs, np.stack([own[1:], own[:-1]], 1)[group[1:] == group[:-1]]])
     yield np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
 
 
-def links(fps: DataFrame, radius: int = 4, prefix: int = PREFIX, limit: int = LIMIT) -> DataFrame:
-    """Links ``(fp, lo)`` between distinct fingerprints that span all components within ``radius``."""
-    if radius % 2 or radius < 0:
-        raise ValueError("the radius has to be even")
-    half, low = radius // 2, 64 - prefix
-    heads = F.array(*[F.lit(int(m)) for m in _masks(prefix, half)])
-    # a variant is sent by its first bits; how its other bits vary is worked out where it arrives
-    sent = _spread(fps.select("fp")).select("fp", F.explode(heads).alias("mask"))
-    sent = sent.select("fp", F.shiftrightunsigned("fp", low).bitwiseXOR(F.col("mask")).cast("int").alias("head"))
+def _meetings(sent: DataFrame, low: int, half: int, limit: int, chain: bool) -> DataFrame:
+    """``(fp, lo)`` that meet: rows ``(fp, head, base, spent)`` have a variant whose lowest ``low`` bits may change in ``half - spent`` places."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        most = len(_masks(low, half))
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple] = []
         n = 0
 
-        def flush(fp: np.ndarray, head: np.ndarray) -> Iterator[pd.DataFrame]:
-            own = fp.view(np.uint64)
-            lowest = np.uint64((1 << low) - 1)
-            top = head.astype(np.uint64)
-            left = (half - np.bitwise_count((own >> np.uint64(low)) ^ top)).astype(np.int64)
+        def flush(fp: np.ndarray, head: np.ndarray, base: np.ndarray, spent: np.ndarray) -> Iterator[pd.DataFrame]:
+            left = half - spent.astype(np.int64)
             cost = np.cumsum(np.array([len(_masks(low, k)) for k in range(half + 1)])[left])
-            base = (top << np.uint64(low)) | (own & lowest)
+            fp, base = fp.view(np.uint64), base.view(np.uint64)
             edges = np.r_[np.nonzero(np.r_[True, head[1:] != head[:-1]])[0], len(head)]
             start = 0
             while start < len(edges) - 1:  # as many groups of one head as go at once
-                spent = cost[edges[start] - 1] if edges[start] else 0
-                end = max(start + 1, int(np.searchsorted(cost[edges[1:] - 1], spent + limit, side="right")))
+                done = cost[edges[start] - 1] if edges[start] else 0
+                end = max(start + 1, int(np.searchsorted(cost[edges[1:] - 1], done + limit, side="right")))
                 s, e = edges[start], edges[end]
-                for pairs in _met(own[s:e], base[s:e], left[s:e], low, limit):
-                    yield pd.DataFrame({"fp": pairs[:, 0].view(np.int64), "lo": np.ascontiguousarray(pairs[:, 1]).view(np.int64)})
+                for pairs in _met(fp[s:e], base[s:e], left[s:e], low, limit, chain):
+                    yield pd.DataFrame({c: np.ascontiguousarray(pairs[:, k]).view(np.int64) for k, c in enumerate(("fp", "lo"))})
                 start = end
 
         for b in batches:
-            fp, head = b["fp"].to_numpy(), b["head"].to_numpy()
-            held.append((fp, head))
-            n += len(fp)
-            if n > limit // 8 and held[0][1][0] != head[-1]:
-                fp, head = (np.concatenate(x) for x in zip(*held))
-                cut = int(np.searchsorted(head, head[-1]))  # the last head may go on in the next batch
-                yield from flush(fp[:cut], head[:cut])
-                held, n = [(fp[cut:], head[cut:])], len(fp) - cut
+            rows = tuple(b[c].to_numpy() for c in ("fp", "head", "base", "spent"))
+            if not len(rows[0]):
+                continue
+            held.append(rows)
+            n += len(rows[0])
+            if n > limit // 8 and held[0][1][0] != rows[1][-1]:
+                rows = tuple(np.concatenate(x) for x in zip(*held))
+                cut = int(np.searchsorted(rows[1], rows[1][-1]))  # the last head may go on in the next batch
+                yield from flush(*(x[:cut] for x in rows))
+                held, n = [tuple(x[cut:] for x in rows)], n - cut
         if n:
             yield from flush(*(np.concatenate(x) for x in zip(*held)))
 
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return sent.repartition(parts, "head").sortWithinPartitions("head").mapInPandas(run, "fp long, lo long").distinct()
 
 
+def _columns(masks: np.ndarray) -> Column:
+    return F.array(*[F.lit(int(m)).cast("long") for m in masks])
+
+
+def links(fps: DataFrame, radius: int = 4, prefix: int = PREFIX, limit: int = LIMIT) -> DataFrame:
+    """Links ``(fp, lo)`` between distinct fingerprints that span all components within ``radius``."""
+    if radius % 2 or radius < 0:
+        raise ValueError("the radius has to be even")
+    half, low = radius // 2, 64 - prefix
+    # a variant is sent by its first bits; how its other bits vary is worked out where it arrives
+    sent = _spread(fps.select("fp")).select("fp", F.explode(_columns(_masks(prefix, half))).alias("mask"))
+    sent = sent.withColumn("base", F.col("fp").bitwiseXOR(F.shiftleft("mask", low)))
+    sent = sent.select("fp", F.shiftrightunsigned("base", low).alias("head"), "base", F.bit_count("mask").alias("spent"))
+    return _meetings(sent, low, half, limit, False)
+
+
 def near_groups(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
     """``(id, th, fp, component)``: each row's fingerprint, a hash of its text and the smallest id reachable over links."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("__text"))
@@ -187,16 +225,69 @@ def near_groups(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text:
     return rows.join(named.union(alone), "fp").select("id", "th", "fp", "component")
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
-    """One text of each group: that with the smallest id, of such the one with the smallest hash; columns stay as they are.
+def candidates(texts: DataFrame, shingle: int = 5, blocks: int = BLOCKS, limit: int = LIMIT) -> DataFrame:
+    """Pairs ``(fp, lo)`` of rows ``(th, text)`` whose wide fingerprints differ in at most two bits of some block."""
 
-    Rows that repeat id and text stay or go together.  Rows with a null id are kept,
-    as nothing tells which of them is the first.
+    @F.pandas_udf("array<long>")
+    def wide(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for own in batches:
+            yield pd.Series([wide_fingerprint(t, shingle, blocks).astype(np.int64) for t in own], dtype=object)
+
+    arrow_batches(texts.sparkSession)
+    rows = cut(texts.select(F.col("th").alias("fp"), wide("text").alias("blocks")))
+    sent = _spread(rows).select("fp", F.posexplode("blocks").alias("block", "value")).select("fp", "block", "value", F.explode(_columns(_masks(16, 1))).alias("mask"))
+    sent = sent.withColumn("base", F.shiftleft(F.col("block").cast("long"), 32).bitwiseOR(F.col("value").bitwiseXOR(F.shiftleft("mask", 16))))
+    sent = sent.select("fp", F.shiftrightunsigned("base", 16).alias("head"), "base", F.bit_count("mask").alias("spent"))
+    return _meetings(sent, 16, 1, limit, True)
+
+
+def similar(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, blocks: int = BLOCKS) -> DataFrame:
+    """Links ``(fp, lo)`` between texts ``(th, text)`` whose sets of word shingles have that Jaccard similarity."""
+
+    @F.pandas_udf("array<long>")
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for own in batches:
+            yield pd.Series([np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, shingle)])).view(np.int64) for t in own], dtype=object)
+
+    pairs = written(candidates(texts, shingle, blocks), "pairs")
+    asked = pairs.select(F.explode(F.array("fp", "lo")).alias("th")).distinct()
+    some = written(texts.join(asked, "th").select("th", sets("text").alias("set")), "sets")
+    # a text that many others are compared with: its set is repeated for each salt
+    salts = 16
+    left = pairs.join(some.withColumnsRenamed({"th": "fp", "set": "a"}), "fp").withColumn("salt", F.pmod(F.hash("fp"), F.lit(salts)))
+    right = some.withColumnsRenamed({"th": "lo", "set": "b"}).join(pairs.select("lo").distinct(), "lo").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    both = left.join(right, ["lo", "salt"])
+    common = let(F.size(F.array_intersect("a", "b")), lambda n: n / F.greatest(F.lit(1), F.size("a") + F.size("b") - n))
+    return both.where((common >= similarity) | ((F.size("a") == 0) & (F.size("b") == 0))).select("fp", "lo")
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text: str = "text", blocks: int = BLOCKS) -> DataFrame:
+    """One text of each group of similar texts: that with the smallest id, of such the one with the smallest hash; columns stay as they are.
+
+    Texts are linked by the Jaccard similarity of their sets of word shingles.  At 0.8
+    about a seventh of all bits of a SimHash differ, too many for a ball around 64 of them,
+    so a fingerprint has ``blocks`` blocks of 32 bits, each with its ball: texts that
+    differ in at most two bits of some block are compared.  Two texts without a word
+    are the same.  Rows that repeat id and text stay or go together.  Of rows with a
+    null id one text stays only if its group has no id.
     """
-    groups = near_groups(docs, radius, id_col, text, shingle).select("id", F.coalesce("th", F.lit(0)).alias("th"), "component").distinct()
-    first = groups.where("id = component").groupBy(F.col("component").alias("id")).agg(F.min("th").alias("first"))
-    gone = groups.join(first, "id", "left").where("id <> component OR th <> first").select(F.col("id").alias("__gone"), F.col("th").alias("__th"))
-    return docs.join(gone, (F.col(id_col) == F.col("__gone")) & (F.coalesce(F.xxhash64(text), F.lit(0)) == F.col("__th")), "left_anti")
+    key = [F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th")]
+    rows = docs.select(*key, F.coalesce(text, F.lit("")).alias("text"))
+    # copies of a text are one; the first row of each has the smallest id, null last
+    ids = rows.groupBy("th").agg(F.min("id").alias("least"))
+    texts = rows.dropDuplicates(["th"]).select("th", "text")
+    comp = components(similar(texts, similarity, shingle, blocks), "fp", "lo")
+    salts = 64
+    grouped = cut(ids.join(comp.withColumnRenamed("node", "th"), "th", "left").select("th", "least", F.coalesce("component", "th").alias("root")))
+    order = F.struct(F.col("least").isNull().alias("none"), "least", "th")
+    first = grouped.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    # a group of any size: its members are dealt over salts, its first one is repeated for each
+    many = first.where("n > 1").select("root", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    named = grouped.withColumn("salt", F.pmod(F.hash("th"), F.lit(salts))).join(many, ["root", "salt"]).where("th <> first.th").select(F.col("th").alias("__th"))
+    stay = docs.join(written(named, "gone"), F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("__th"), "left_anti")
+    # of copies of one text with several ids the smallest id stays
+    again = written(rows.select("id", "th").distinct().join(ids, "th").where("least IS NOT NULL AND NOT id <=> least").select(F.col("id").alias("__id"), F.col("th").alias("__th")), "copies")
+    return stay.join(again, stay[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(stay[text], F.lit(""))) == F.col("__th")), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
