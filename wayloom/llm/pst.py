@@ -10,10 +10,10 @@ is spread as the suffix's distribution, down to the additive unigram model over
 all words.  A text is scored by the longest kept suffix before each token.
 
 Everything is counted over the whole training corpus by shuffles with map-side
-sums: words in one pass of the texts, what follows single words in a second, what
-follows longer contexts in a third, so the tree is a written table that grows
-with the corpus.  A context of several words is counted only where each two of
-them next to each other are frequent, which every candidate's are.  Filters of
+sums: words in one pass of the texts, what follows one word in a second, two words
+in a third, and more in a fourth, so the tree is a written table that grows with
+the corpus.  A context of more than three words is counted only where each three of
+them next to each other are a candidate, which every candidate's are.  Filters of
 bounded size save rows before they are shuffled and decide nothing.  Counts of at
 most ``HEAD`` words of at most 64 bytes and at most ``HEAD_GRAMS`` rows of the
 tree, those with the highest counts, are broadcast; what a text needs besides, it
@@ -52,6 +52,8 @@ HEAD = 1 << 18
 HEAD_GRAMS = 1 << 22
 _ADD = 0.1
 _FLUSH = 1_000_000
+#: Words that a task remembers at most from one batch to the next.
+MOST_WORDS = 250_000
 #: Stands for the end in the table of counts; no word has white space.
 END = b"\n"
 
@@ -134,7 +136,7 @@ class Words:
 
     def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All tokens of some texts on end, and the number of tokens of each."""
-        if len(self.index) > 1_000_000:
+        if len(self.index) > MOST_WORDS:
             self.reset()
         flat: list[bytes] = []
         sizes = []
@@ -180,16 +182,16 @@ def _summed(held: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame({"level": level[new], "ctx": ctx[new].view(np.int64), "w": w[new].view(np.int64), "c": np.diff(np.r_[new, len(w)]).astype(np.int32)})
 
 
-def gram_counts(texts: DataFrame, levels: range, contexts: np.ndarray, listed: np.ndarray, pairs: np.ndarray | None = None, least: int = LISTED) -> DataFrame:
+def gram_counts(texts: DataFrame, levels: range, contexts: np.ndarray, listed: np.ndarray, strings: np.ndarray | None = None, least: int = LISTED) -> DataFrame:
     """``(level, ctx, w, c)``: how often, from ``least`` times on, words follow contexts of each length.
 
     The filters hold the words of contexts, the words that may be listed, and the
-    pairs of words next to each other of longer contexts.
+    contexts of the first of the levels, which longer ones are made of.
     """
-    shared = texts.sparkSession.sparkContext.broadcast((contexts, listed, pairs))
+    shared = texts.sparkSession.sparkContext.broadcast((contexts, listed, strings))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first, second, pairs = shared.value
+        first, second, strings = shared.value
         words = Words(filters=(first, second))
         held: list[tuple] = []
         n = 0
@@ -197,14 +199,14 @@ def gram_counts(texts: DataFrame, levels: range, contexts: np.ndarray, listed: n
             num, _ = words.numbers(b["text"].tolist())
             h, inner, may = words.hash[num], words.flags[0][num] & (num > 0), words.flags[1][num]
             key, ok = h, inner
-            if pairs is not None:
-                both = np.r_[False, inner[1:] & inner[:-1]]
-                at = np.nonzero(both)[0]
-                both[at] = passes(pairs, _turned(h[at - 1], h[at]))
             for level in range(1, levels[-1] + 1):
                 if level > 1:  # a context that ends here goes on from one that ended a word before
                     key = np.r_[np.zeros(1, np.uint64), _turned(key[:-1], h[1:])]
-                    ok = np.r_[False, ok[:-1]] & both
+                    ok = np.r_[False, ok[:-1]] & inner
+                if level == levels[0] and strings is not None:
+                    at = np.nonzero(ok)[0]
+                    ok[at] = passes(strings, key[at])
+                    inner = ok
                 if level in levels:
                     at = np.nonzero(ok[:-1] & may[1:])[0]
                     held.append((np.full(len(at), level, np.int8), key[at], h[at + 1]))
@@ -254,7 +256,7 @@ def grow(texts: DataFrame, vocab: DataFrame, tree: Tree, depth: int = DEPTH, min
     cand = known.where((F.col("c") >= min_count) & ~F.col("end")).select(F.col("w").alias("ctx"), F.lit(0).cast("long").alias("suffix"), F.col("c").alias("n"))
     blooms = bloom_filter(cand, "ctx"), bloom_filter(p0, "w")
     counts = written(gram_counts(texts, range(1, 2), *blooms, least=listed), "pairs")
-    longer = below = None
+    below = None
     levels: list[DataFrame] = []
     for level in range(1, depth + 1):
         # some word or the end follows each occurrence of a context, so its total is its own count, found a level before
@@ -276,9 +278,10 @@ def grow(texts: DataFrame, vocab: DataFrame, tree: Tree, depth: int = DEPTH, min
             ends = F.xxhash64(F.lit(END))
             cand = rows.where((F.col("c") >= min_count) & (F.col("w") != ends)).select(_longer(F.col("ctx"), F.col("w")).alias("ctx"), _longer(F.col("suffix"), F.col("w")).alias("suffix"), F.col("c").alias("n"))
             below = marked.select(F.col("ctx").alias("suffix"), "w", F.when(F.col("in"), F.col("own")).otherwise(F.col("up")).alias("up"), "root")
-            if longer is None:
-                longer = written(gram_counts(texts, range(2, depth + 1), *blooms, bloom_filter(cand, "ctx"), least=listed), "longer")
-            counts = longer.where(F.col("level") == level + 1)
+            if level < 3:  # contexts of two words alone, as they are many, then all longer ones
+                last = min(depth, 2) if level == 1 else depth
+                some = written(gram_counts(texts, range(level + 1, last + 1), *blooms, bloom_filter(cand, "ctx"), least=listed), "longer")
+            counts = some.where(F.col("level") == level + 1)
     table = levels[0]
     for more in levels[1:]:
         table = table.union(more)
@@ -310,7 +313,7 @@ def _near(tree: Tree, head_grams: int) -> Tree:
 
 def fit(texts: DataFrame, head: int = HEAD, **params) -> tuple[Tree, DataFrame]:
     """The tree and the table of token counts ``(word, c)``."""
-    arrow_batches(texts.sparkSession)
+    arrow_batches(texts.sparkSession, 2)
     vocab = written(token_counts(texts), "tokens")
     return grow(texts, vocab, head_of(vocab, head), **params), vocab
 
@@ -401,7 +404,7 @@ def score(docs: DataFrame, tree: Tree, vocab: DataFrame, id_col: str = "doc_id",
                     e = s + 200_000
                     yield pd.DataFrame({"row": (first + of)[s:e], "pos": p[s:e] - starts[of[s:e]], "kind": kind, "word": own[s:e], "tf": 0, "v": v[s:e], "info": pd.Series([None] * len(own[s:e]), dtype=object)}, columns=columns)
 
-    arrow_batches(docs.sparkSession)
+    arrow_batches(docs.sparkSession, 2)
     # ids go as strings, so that nulls don't turn them into floats
     parts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("text")).mapInPandas(
         run, "row long, pos int, kind int, word binary, tf int, v double, info struct<id: string, n_tokens: long, n_known: long, base: double, score: double>"
