@@ -10,9 +10,12 @@ turn by turn.  Control strings inside texts are escaped by a backslash after the
 ``<`` of every ``<|`` (and of every ``<\\\\...|``, so the escape is reversible).
 The loss mask lists the byte spans of the assistant's texts.
 
-A conversation is one string, so its turns meet in one row.  Null texts and
-roles are empty; turns are ordered by number (null first), then role and text,
-so repeated rows stay, next to each other.
+A conversation is one string, so its turns meet in one row; long texts are kept as a
+whole.  Null texts and roles are empty; turns are ordered by number (null first), then
+role and text, so ties have one order and repeated rows stay, next to each other.  Rows
+with a null conversation are one conversation.  An empty table gives none.  Only the
+conversation, number, role and text are read, so further columns of any name don't
+matter; the result has columns of its own alone.
 """
 
 from __future__ import annotations

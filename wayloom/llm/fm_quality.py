@@ -6,12 +6,17 @@ binned length that the metadata column ``n_chars`` states.  The score is the
 logistic of ``w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j``, whose pair sum
 is computed in linear time as ``(|sum v_i x_i|^2 - sum |v_i|^2 x_i^2) / 2``.
 
-The model is fitted on at most ``SAMPLE`` labelled rows, those with the
-smallest hash of their id, by mini-batch AdaGrad.  It has a fixed size
+The model is fitted on at most ``SAMPLE`` labelled texts, one an id, those with the
+smallest hash of their id, by mini-batch AdaGrad.  Of a text that it is fitted on, at
+most ``FIT_FEATURES`` features count, those with the largest values; scores use all.  It has a fixed size
 (``BUCKETS * (1 + RANK)`` floats), so it is sent to all tasks.
 
-Nulls and empty texts get the score of a text without words; a null ``n_chars``
-is taken from the text; null labels are left out.
+Nulls and empty texts get the score of a text without words; texts of any length are
+scored as a whole; a null ``n_chars`` is taken from the text.  Null labels and ids are
+not learnt from; of an id's several labels the highest counts, of its several texts the
+one with the smallest hash, so ties and repeated rows change nothing; repeated rows are
+scored alike.  Without labels every score is about a half.  An empty table gives none.
+Columns of the input are kept, but for those that have the names of the results.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ from wayloom.session import arrow_batches
 
 #: Bound of the labelled rows that the model is fitted on.
 SAMPLE = 12_000
+#: Features of a text that the model is fitted on; with ``SAMPLE`` it bounds what the driver holds.
+FIT_FEATURES = 4096
 WORD_BUCKETS = 1 << 16
 RANK = 6
 _STATS = 12
@@ -144,7 +151,16 @@ def sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame
     """At most ``bound`` labelled rows to learn from: the smallest by a hash of their id."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     picked = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(bound)
-    return docs.select("doc_id", "text", "n_chars").join(picked, "doc_id")
+    own = docs.select("doc_id", "text", F.col("n_chars").cast("long").alias("n_chars")).join(picked, "doc_id")
+    return own.groupBy("doc_id", "quality").agg(F.min_by(F.struct("text", "n_chars"), F.struct(F.xxhash64("text"), "n_chars")).alias("t")).select("doc_id", "quality", "t.text", "t.n_chars")
+
+
+def _largest(at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features of a text that it is fitted on: its statistics, and the words with the largest values."""
+    if len(at) <= FIT_FEATURES:
+        return at, x
+    some = np.r_[np.argsort(-x[:-_STATS], kind="stable")[: FIT_FEATURES - _STATS], np.arange(len(at) - _STATS, len(at))]
+    return at[some], x[some]
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Machine:
@@ -152,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Machine:
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            both = list(features(b["text"].tolist(), b["n_chars"].tolist()))
+            both = [_largest(at, x) for at, x in features(b["text"].tolist(), b["n_chars"].tolist())]
             yield pd.DataFrame({"id": b["doc_id"], "y": b["quality"], "at": [a.astype(np.int32) for a, _ in both], "x": [x.astype(np.float32) for _, x in both]})
 
     arrow_batches(docs.sparkSession)

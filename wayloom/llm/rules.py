@@ -6,8 +6,11 @@ the rules that it applies, so verdicts of any version and ablations (what each
 rule alone rejects, what would come back without it) are bitwise sums over the
 ledger, without another look at the texts.
 
-A null text has no words; empty texts fail the length rule.  Rows keep their
-order of columns and repeats.
+A null text has no words; empty texts fail the length rule; texts of any length are
+measured as a whole, in memory that grows with the text.  Repeated rows are measured
+alike, and each is counted.  An empty table gives an empty ledger and counts of zero.
+Columns of the input are kept, but for those that have the names of the
+measurements' struct and of the mask, which are replaced.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wayloom.functions.arrays import let
+from wayloom.session import written
 
 # fixed values: white space that parts words, and the symbols that are counted
 SPACES = " \t\n\x0b\f\r"
@@ -45,8 +49,8 @@ def _repeated(windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(found)
 
 
-def measurements(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a struct ``m`` of everything that the rules look at."""
+def measurements(docs: DataFrame, text: str = "text", out: str = "m") -> DataFrame:
+    """``docs`` with a struct ``out`` of everything that the rules look at."""
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(t, _SPLIT), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: F.trim(x, F.lit(SPACES)) != "")
@@ -63,21 +67,21 @@ def measurements(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
 
     chars = F.length(t)
-    rows = docs.withColumns({"_w": let(words, of_words), "_l": let(lines, of_lines)})
+    rows = docs.withColumns({"__w": let(words, of_words), "__l": let(lines, of_lines)})
     return rows.withColumn(
-        "m",
+        out,
         F.struct(
-            "_w.n_words",
+            "__w.n_words",
             F.length(_without(t, SPACES)).cast("long").alias("word_chars"),
             (chars - F.length(_without(t, SYMBOLS))).cast("long").alias("n_symbols"),
-            "_l.n_dup_lines",
-            "_w.n_repeat_words",
-            "_w.n_distinct",
-            "_l.n_lines",
+            "__l.n_dup_lines",
+            "__w.n_repeat_words",
+            "__w.n_distinct",
+            "__l.n_lines",
             (chars - F.length(_without(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))).cast("long").alias("n_capitals"),
             (chars - F.length(_without(t, "!?"))).cast("long").alias("n_shouts"),
         ),
-    ).drop("_w", "_l")
+    ).drop("__w", "__l")
 
 
 def rules(m: str = "m") -> dict[str, Column]:
@@ -110,13 +114,13 @@ def mask(names: tuple[str, ...]) -> int:
     return sum(1 << order.index(n) for n in names)
 
 
-def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``m`` and ``failed``, the bits of the rules that each document fails."""
-    bits = [F.when(fails, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, fails in enumerate(rules().values())]
+def ledger(docs: DataFrame, text: str = "text", m: str = "m", failed: str = "failed") -> DataFrame:
+    """``docs`` with the measurements ``m`` and ``failed``, the bits of the rules that each document fails."""
+    bits = [F.when(fails, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, fails in enumerate(rules(m).values())]
     total = bits[0]
     for b in bits[1:]:
         total = total.bitwiseOR(b)
-    return measurements(docs, text).withColumn("failed", total)
+    return measurements(docs, text, m).withColumn(failed, total)
 
 
 def kept(policy: str, failed: str = "failed") -> Column:
@@ -136,12 +140,22 @@ def ablations(rows: DataFrame, policy: str) -> DataFrame:
     return total.select("n", F.inline("rules")).withColumn("policy", F.lit(policy))
 
 
+def alone(policy: str, failed: str = "failed") -> Column:
+    """The rule that alone keeps a document out of a policy, or null."""
+    bits = F.col(failed).bitwiseAND(F.lit(mask(POLICIES[policy])).cast("long"))
+    names = F.create_map(*[x for name in POLICIES[policy] for x in (F.lit(mask((name,))).cast("long"), F.lit(name))])
+    return F.try_element_at(names, bits)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger's digest; with the rule that alone rejects a document, how many documents it alone rejects."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows = ledger(docs)
+    ledgers = written(ledger(docs).drop("text"), "ledger")
+    counts = ablations(ledgers, "v2").select(F.col("rule").alias("only_rule"), F.col("n_alone").alias("n_only_rule"))
+    rows = ledgers.withColumn("only_rule", alone("v2")).join(F.broadcast(counts), "only_rule", "left")  # a row a rule
     m = [F.col(f"m.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     base = ~kept("base")
-    return rows.select("doc_id", *m, base.alias("base_failed"), kept("v2").alias("kept"), "failed")
+    return rows.select("doc_id", *m, base.alias("base_failed"), kept("v2").alias("kept"), "failed", "only_rule", "n_only_rule")
 
 
 def _oracle() -> str:
@@ -162,10 +176,12 @@ m AS (SELECT p.rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(lis
 f AS (SELECT *, n_words < 50 AS f0, 100 * n_repeat_words > 50 * n_words AS f1, 100 * n_symbols > 10 * n_words AS f2,
   100 * n_capitals > 40 * word_chars OR 100 * n_shouts > 30 * n_words AS f3, word_chars > 14 * n_words AS f4, word_chars < 2 * n_words AS f5,
   n_lines > 3 AND 100 * n_dup_lines > 30 * n_lines AS f6, n_words >= 50 AND 100 * n_distinct < 5 * n_words AS f7 FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f0 OR f1 AS base_failed,
+g AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f0 OR f1 AS base_failed,
   NOT (f0 OR f1 OR f2 OR f3 OR f4 OR f5 OR f6 OR f7) AS kept,
-  CAST(f0::INT + 2 * f1::INT + 4 * f2::INT + 8 * f3::INT + 16 * f4::INT + 32 * f5::INT + 64 * f6::INT + 128 * f7::INT AS BIGINT) AS failed
-FROM f
+  CAST(f0::INT + 2 * f1::INT + 4 * f2::INT + 8 * f3::INT + 16 * f4::INT + 32 * f5::INT + 64 * f6::INT + 128 * f7::INT AS BIGINT) AS failed FROM f),
+o AS (SELECT *, CASE failed WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeats' WHEN 4 THEN 'symbols' WHEN 8 THEN 'shouting' WHEN 16 THEN 'long_words'
+  WHEN 32 THEN 'short_words' WHEN 64 THEN 'dup_lines' WHEN 128 THEN 'poor_words' END AS only_rule FROM g)
+SELECT *, CASE WHEN only_rule IS NOT NULL THEN count(*) OVER (PARTITION BY only_rule) END AS n_only_rule FROM o
 """
 
 
