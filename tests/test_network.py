@@ -1,6 +1,7 @@
 """Network build, spatial joins and statistics on hand-made inputs."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from wayloom.operators import components, network as nw, spatial as sp, statistics as st, traversal as tr
 
@@ -27,6 +28,35 @@ def main_chains(rows):
     return [r for r in rows if r.u < 100 and r.v < 100]
 
 
+def stats(ways, chained):
+    one = F.lit(1).alias("area_id")
+    return nw.build_stats(ways.select(one, "way_id", "tags"), chained.select(one, "u", "v", "fwd", "bwd")).first()
+
+
+def test_long_ways_and_street_ids(spark):
+    """A way of 1500 points with ends along it: no two streets share an id, paths are in order."""
+    pts = list(range(1000, 2500))
+    ways = {7: (pts, {}), 8: (list(range(3000, 3020)), {})} | {10_000 + k: ([1000 + 100 * k, 90_000 + k], {}) for k in range(1, 15)} | {20_000 + k: ([3000 + k, 95_000 + k], {}) for k in range(1, 19)}
+    at = {i: (0.0, i * 1e-4) for i in range(1000, 4000)} | {90_000 + k: (0.01, 0.001 * k) for k in range(20)} | {95_000 + k: (0.02, 0.001 * k) for k in range(20)}
+    rows = nw.streets(nw.chains(built(spark, ways, at)[0])).collect()
+    assert len({r.street_id for r in rows}) == len(rows) > 40
+    long = [r for r in rows if r.u in range(1100, 2500) and r.v in range(1100, 2500)]
+    assert {(r.u, r.v) for r in long} >= {(1000 + 100 * k, 1100 + 100 * k) for k in range(1, 14)}
+    assert all(r.path == list(range(r.u, r.v + 1)) for r in long)
+
+
+def test_two_far_cities_are_projected_apart(spark):
+    nodes = spark.createDataFrame([(1, 1, 0.0, 10.0), (1, 2, 0.0, 10.01), (2, 3, 60.0, 10.0), (2, 4, 60.0, 10.01)], "area_id long, node_id long, lat double, lon double")
+    x = {r.node_id: r.x for r in nw.projected(nodes, nw.centres(nodes)).collect()}
+    assert x[2] - x[1] == pytest.approx(1113.2, abs=0.1) and x[4] - x[3] == pytest.approx(556.6, abs=0.1)
+
+
+def test_unfinished_chains_raise(spark):
+    segs = built(spark, {1: (list(range(10, 60)), {})})[0]
+    with pytest.raises(RuntimeError):
+        nw.chains(segs, rounds=2)
+
+
 def test_shape_points_contract(spark):
     segs, _, _ = built(spark, {1: ([1, 10, 11, 2], {})} | ends(1, 2))
     total = sum(r.length_m for r in segs.where("way_id = 1").collect())
@@ -40,14 +70,14 @@ def test_mixed_chain_is_dropped_but_keeps_its_ends(spark):
     c = nw.chains(segs)
     (row,) = main_chains(c.collect())
     assert not row.fwd and not row.bwd
-    assert nw.build_stats(rows, c).first().mixed == 1
+    assert stats(rows, c).mixed == 1
     assert {1, 2} <= {r.node_id for r in nw.network_nodes(c, nodes).collect()}
 
 
 def test_loop_is_counted(spark):
     segs, _, rows = built(spark, {1: ([1, 10, 11, 1], {})} | ends(1), {10: (0.001, 0.0), 11: (0.001, 0.001)})
     c = nw.chains(segs)
-    assert nw.build_stats(rows, c).first().loops == 1 and not main_chains(nw.streets(c).collect())
+    assert stats(rows, c).loops == 1 and not main_chains(nw.streets(c).collect())
 
 
 def test_isolated_ring_vanishes(spark):

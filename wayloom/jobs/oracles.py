@@ -30,8 +30,8 @@ seg AS (SELECT way_id, pos, a, b, kmh, dir, length_m FROM (
 sarc AS (SELECT a, b FROM seg WHERE dir >= 0 UNION SELECT b, a FROM seg WHERE dir <= 0),
 deg AS (SELECT node_id, count(*) AS degree FROM (SELECT a AS node_id FROM seg UNION ALL SELECT b FROM seg) GROUP BY 1),
 ends AS (SELECT node_id FROM deg WHERE degree <> 2),
-firstk AS (SELECT least(a, b) AS lo, greatest(a, b) AS hi, arg_min(kmh, way_id * 1000 + pos) AS kmh FROM seg GROUP BY 1, 2),
-seg2 AS (SELECT s.way_id * 1000 + pos AS sid, a, b, length_m, length_m / (f.kmh * 1000 / 3600) AS t,
+firstk AS (SELECT least(a, b) AS lo, greatest(a, b) AS hi, arg_min(kmh, (way_id, pos)) AS kmh FROM seg GROUP BY 1, 2),
+seg2 AS (SELECT s.way_id * 1048576 + pos AS sid, a, b, length_m, length_m / (f.kmh * 1000 / 3600) AS t,
   EXISTS (SELECT 1 FROM sarc x WHERE x.a = s.a AND x.b = s.b) AS f, EXISTS (SELECT 1 FROM sarc x WHERE x.a = s.b AND x.b = s.a) AS k
   FROM seg s JOIN firstk f ON f.lo = least(s.a, s.b) AND f.hi = greatest(s.a, s.b)),
 half AS (SELECT sid, a, b, length_m, t, f, k FROM seg2 UNION ALL SELECT sid, b, a, length_m, t, k, f FROM seg2),
@@ -42,15 +42,14 @@ ch AS (SELECT a0 AS u, b AS v, hs AS street_id, length_m, t AS time_s, f AS fwd,
   WHERE b IN (SELECT node_id FROM ends) AND (a0 < b OR (a0 = b AND hs <= sid))),
 st AS (SELECT * FROM ch WHERE u <> v AND (fwd OR bwd)),
 ar AS (SELECT street_id, u, v, length_m, time_s FROM st WHERE fwd UNION ALL SELECT street_id, v, u, length_m, time_s FROM st WHERE bwd),
-xy AS (SELECT node_id, n.lat, n.lon, (n.lon - c.lon) * cos(radians(c.lat)) * 111320.0 AS x, (n.lat - c.lat) * 110540.0 AS y
-  FROM fx_nodes n CROSS JOIN (SELECT avg(lat) AS lat, avg(lon) AS lon FROM fx_nodes) c),
-nn AS (SELECT * FROM xy WHERE node_id IN (SELECT u FROM ch UNION SELECT v FROM ch))"""
+nn AS (SELECT * FROM fx_nodes WHERE node_id IN (SELECT u FROM ch UNION SELECT v FROM ch))"""
 _AREA = f""",
 pb AS (SELECT area_id, min(lat) AS s, min(lon) AS w, max(lat) AS n, max(lon) AS e FROM fx_bounds GROUP BY 1),
 pe AS (SELECT area_id, lon AS x1, lat AS y1, coalesce(lead(lon) OVER q, first_value(lon) OVER q) AS x2, coalesce(lead(lat) OVER q, first_value(lat) OVER q) AS y2
   FROM fx_bounds WINDOW q AS (PARTITION BY area_id, ring_id ORDER BY seq)),
 gbox AS (SELECT area_id, s - {MARGIN_M} / 110540.0 AS s, w - {MARGIN_M} / (cos(radians((s + n) / 2)) * 111320.0) AS w, n + {MARGIN_M} / 110540.0 AS n,
   e + {MARGIN_M} / (cos(radians((s + n) / 2)) * 111320.0) AS e FROM pb),
+ctr AS (SELECT area_id, avg(lat) AS lat0, avg(lon) AS lon0 FROM fx_nodes JOIN gbox ON lat BETWEEN s AND n AND lon BETWEEN w AND e GROUP BY 1),
 inall AS (SELECT area_id, node_id FROM fx_nodes JOIN pe ON true GROUP BY 1, 2
   HAVING sum(CASE WHEN (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 THEN 1 ELSE 0 END) % 2 = 1),
 an AS (SELECT * FROM inall WHERE node_id IN (SELECT node_id FROM nn)),
@@ -96,6 +95,7 @@ def _box(a: str, margin: float) -> str:
 
 
 _R9 = ", ".join(f"round({c}, 9) AS {c}" for c in "swne")
+_XY = "round((lon - lon0) * cos(radians(lat0)) * 111320.0, 4) AS x, round((lat - lat0) * 110540.0, 4) AS y"
 _FULL = (_NET, _AREA, _PARTS)
 _HOP = "hop AS (SELECT area_id, node_id, 0 AS hops FROM {seed} UNION SELECT hop.area_id, edge.v, hop.hops + 1 FROM hop JOIN edge ON edge.area_id = hop.area_id AND edge.u = hop.node_id WHERE hop.hops < {most})"
 #: Unordered street pairs, and what is still reached from the area's first node of a pair without it.
@@ -119,7 +119,7 @@ ORACLES: dict[str, str] = {
     "p3_speed": _sql("SELECT way_id, kmh FROM wall", _NET),
     "p4_length": _sql("SELECT way_id, pos, round(length_m, 6) AS length_m FROM seg", _NET),
     "p5_travel_time": _sql("SELECT way_id, pos, round(length_m / (kmh * 1000 / 3600), 6) AS time_s FROM seg", _NET),
-    "p6_projection": _sql("SELECT node_id, round(x, 4) AS x, round(y, 4) AS y FROM xy", _NET),
+    "p6_projection": _sql(f"SELECT area_id, node_id, {_XY} FROM fx_nodes JOIN gbox ON lat BETWEEN s AND n AND lon BETWEEN w AND e JOIN ctr USING (area_id)", _NET, _AREA),
     "p7_expand_box": _sql(f"SELECT area_id, {_R9} FROM gbox", _NET, _AREA),
     "p8_union_box": _sql(
         "SELECT area_id, round(least(q.s, pb.s), 9) AS s, round(least(q.w, pb.w), 9) AS w, round(greatest(q.n, pb.n), 9) AS n, round(greatest(q.e, pb.e), 9) AS e FROM q JOIN pb USING (area_id)",
@@ -139,14 +139,18 @@ ORACLES: dict[str, str] = {
     "n3_intersections": _sql("SELECT node_id, degree FROM deg WHERE degree <> 2", _NET),
     "n4_contract_chains": _sql("SELECT u, v, len(path) AS n_points, round(length_m, 6) AS length_m FROM ch", _NET),
     "n5_chain_aggregates": _sql(
-        "SELECT street_id, rank, round(length_m, 6) AS length_m, round(time_s, 6) AS time_s, fwd, bwd, round(x, 4) AS x, round(y, 4) AS y FROM (SELECT *, unnest(range(0, len(path))) AS rank FROM st) p JOIN xy ON node_id = path[rank + 1]", _NET
+        "SELECT street_id, rank, round(length_m, 6) AS length_m, round(time_s, 6) AS time_s, fwd, bwd, round(lon, 9) AS lon, round(lat, 9) AS lat FROM (SELECT *, unnest(range(0, len(path))) AS rank FROM st) p JOIN fx_nodes ON node_id = path[rank + 1]", _NET
     ),
     "n6_arcs": _sql("SELECT street_id, u, v, round(length_m, 6) AS length_m, round(time_s, 6) AS time_s FROM ar", _NET),
-    "n7_nodes": _sql("SELECT node_id, round(lat, 9) AS lat, round(lon, 9) AS lon, round(x, 4) AS x, round(y, 4) AS y FROM nn", _NET),
+    "n7_nodes": _sql(f"SELECT area_id, node_id, round(lat, 9) AS lat, round(lon, 9) AS lon, {_XY} FROM nn JOIN gbox ON lat BETWEEN s AND n AND lon BETWEEN w AND e JOIN ctr USING (area_id)", _NET, _AREA),
     "n8_build_stats": _sql(
-        "SELECT *, round(100.0 * (loops + mixed) / (kept + loops + mixed), 1) AS discarded_pct FROM (SELECT (SELECT count(*) FROM wy) AS ways, (SELECT count(maxspeed) FROM wy) AS with_maxspeed, "
-        "count(*) FILTER (WHERE u <> v AND (fwd OR bwd)) AS kept, count(*) FILTER (WHERE u = v) AS loops, count(*) FILTER (WHERE u <> v AND NOT fwd AND NOT bwd) AS mixed, "
-        "(SELECT count(*) FROM (SELECT 1 FROM st GROUP BY least(u, v), greatest(u, v) HAVING count(*) > 1)) AS parallel_pairs FROM ch)", _NET
+        "SELECT w.area_id, ways, with_maxspeed, coalesce(kept, 0) AS kept, coalesce(loops, 0) AS loops, coalesce(mixed, 0) AS mixed, coalesce(parallel_pairs, 0) AS parallel_pairs, "
+        "round(100.0 * (loops + mixed) / (kept + loops + mixed), 1) AS discarded_pct FROM "
+        "(SELECT area_id, count(*) AS ways, count(maxspeed) AS with_maxspeed FROM (SELECT DISTINCT area_id, way_id FROM (SELECT way_id, unnest(nodes) AS p FROM wy) x JOIN fx_nodes f ON f.node_id = p JOIN pb ON lat BETWEEN s AND pb.n AND lon BETWEEN w AND e) JOIN wy USING (way_id) GROUP BY 1) w "
+        "LEFT JOIN (SELECT area_id, count(*) FILTER (WHERE u <> v AND (fwd OR bwd)) AS kept, count(*) FILTER (WHERE u = v) AS loops, count(*) FILTER (WHERE u <> v AND NOT fwd AND NOT bwd) AS mixed FROM bch GROUP BY 1) c USING (area_id) "
+        "LEFT JOIN (SELECT area_id, count(*) AS parallel_pairs FROM (SELECT area_id FROM bch WHERE u <> v AND (fwd OR bwd) GROUP BY area_id, least(u, v), greatest(u, v) HAVING count(*) > 1) GROUP BY 1) p USING (area_id)",
+        _NET, _AREA, "keep AS (SELECT area_id, node_id FROM nn JOIN pb ON lat BETWEEN s AND n AND lon BETWEEN w AND e)",
+        "bch AS (SELECT a.area_id, u, v, fwd, bwd FROM ch JOIN keep a ON a.node_id = u JOIN keep b ON b.node_id = v AND b.area_id = a.area_id)",
     ),
     "g1_points_in_areas": _sql("SELECT area_id, node_id FROM inall", _NET, _AREA),
     "g2_clip": _sql("SELECT area_id, v AS nodes, streets, arcs FROM sm", *_FULL, _SIZES),
@@ -170,9 +174,9 @@ ORACLES: dict[str, str] = {
     ),
     "g9_tunnel_gateways": _sql(
         "SELECT DISTINCT g.area_id, g.node_id, 'T' || CAST(tn.way_id AS VARCHAR) AS tunnel FROM gates g JOIN (SELECT street_id, u, v, path FROM st UNION ALL SELECT street_id, v, u, path FROM st) s ON s.u = g.node_id "
-        "JOIN (SELECT street_id AS sid, unnest(path) AS p FROM st) pts ON sid = s.street_id JOIN xy a ON a.node_id = p JOIN tn ON sqrt(pow(a.x - tn.x, 2) + pow(a.y - tn.y, 2)) < 2.0 "
+        "JOIN (SELECT street_id AS sid, unnest(path) AS p FROM st) pts ON sid = s.street_id JOIN fx_nodes a ON a.node_id = p JOIN ctr ON ctr.area_id = g.area_id JOIN tn ON sqrt(pow((a.lon - tn.lon) * cos(radians(lat0)) * 111320.0, 2) + pow((a.lat - tn.lat) * 110540.0, 2)) < 2.0 "
         "WHERE NOT EXISTS (SELECT 1 FROM an WHERE an.area_id = g.area_id AND an.node_id = s.v)",
-        *_FULL, "tn AS (SELECT way_id, x, y FROM (SELECT way_id, unnest(nodes) AS p FROM wy WHERE tunnel IS NOT NULL) JOIN xy ON node_id = p)",
+        *_FULL, "tn AS (SELECT way_id, lon, lat FROM (SELECT way_id, unnest(nodes) AS p FROM wy WHERE tunnel IS NOT NULL) JOIN fx_nodes ON node_id = p)",
     ),
     "c1_undirected_edges": _sql("SELECT DISTINCT area_id, least(u, v) AS lo, greatest(u, v) AS hi FROM ast", _NET, _AREA),
     "c2_degrees": _sql(
@@ -194,8 +198,6 @@ ORACLES: dict[str, str] = {
         *_FULL, _HOP.format(seed="gates", most=60), "d0 AS (SELECT area_id, node_id, min(hops) AS dist FROM hop GROUP BY 1, 2 HAVING min(hops) > 0)",
         "k AS (SELECT area_id, greatest(1, CAST(round_even(0.2 * count(*), 0) AS INT)) AS k FROM giant GROUP BY 1)",
     ),
-    "f4_flow_equals_cut": "SELECT CAST(NULL AS BIGINT) AS area_id, CAST(NULL AS VARCHAR) AS unit, CAST(NULL AS BOOLEAN) AS directed FROM part WHERE false",
-    "f15_flow_bound": "SELECT CAST(NULL AS BIGINT) AS area_id, CAST(NULL AS INT) AS r_m, CAST(NULL AS VARCHAR) AS dest_rule, CAST(NULL AS VARCHAR) AS unit, CAST(NULL AS BOOLEAN) AS directed FROM part WHERE false",
     "w1_bridges": _sql(
         "SELECT area_id, lo, hi FROM lone WHERE NOT EXISTS (SELECT 1 FROM re WHERE re.area_id = lone.area_id AND re.lo = lone.lo AND re.hi = lone.hi AND re.x = lone.hi)",
         *_FULL, _PAIRS, "lone AS (SELECT area_id, lo, hi FROM pr WHERE n = 1)",
@@ -259,4 +261,7 @@ ORACLES["w5_weak_by_strong"] = (
     "SELECT area_id, what, CASE WHEN w AND s THEN 'both' WHEN s THEN 'strong_only' ELSE 'weak_only' END AS kind, count(*) AS n "
     f"FROM (SELECT *, true AS w FROM {_points('w1_bridges', 'w2_articulations')}) FULL JOIN (SELECT *, true AS s FROM {_points('w3_strong_bridges', 'w4_strong_articulations')}) USING (area_id, what, lo, hi) GROUP BY 1, 2, 3"
 )
-ORACLES["r3_cross_table"] = f"SELECT what, kind, coalesce(COLUMNS(* EXCLUDE (what, kind)), 0) FROM (PIVOT ({ORACLES['w5_weak_by_strong']}) ON area_id USING first(n) GROUP BY what, kind)"
+ORACLES["r3_cross_table"] = (
+    "SELECT area_id, what, kind, coalesce(n, 0) AS n FROM (SELECT DISTINCT area_id FROM (" + ORACLES["p9_polygon_box"] + ")) CROSS JOIN (VALUES ('bridge'), ('articulation')) a(what) "
+    f"CROSS JOIN (VALUES ('both'), ('strong_only'), ('weak_only')) b(kind) LEFT JOIN ({ORACLES['w5_weak_by_strong']}) USING (area_id, what, kind)"
+)

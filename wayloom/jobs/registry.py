@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from wayloom.functions import graphs as gr
 from wayloom.jobs import oracles, tables as t
 from wayloom.operators import analysis as an, components, network as nw, scenarios as sc, spatial as sp, statistics as st, traversal as tr
-from wayloom.session import shared_dir
+from wayloom.session import shared_dir, written
 from wayloom.sources import osm, reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,7 +143,8 @@ def p5(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p6_projection")
 def p6(spark: SparkSession, d: str) -> DataFrame:
-    return nw.projected(t.raw_nodes(spark, d)).select("node_id", r6("x", 4), r6("y", 4))
+    around = sp.in_box(t.raw_nodes(spark, d), sp.expand_box(sp.polygon_boxes(t.boundary(spark, d)), t.MARGIN_M))
+    return nw.projected(around, t.area_centres(spark, d)).select("area_id", "node_id", r6("x", 4), r6("y", 4))
 
 
 @query("p7_expand_box")
@@ -163,12 +164,16 @@ def p9(spark: SparkSession, d: str) -> DataFrame:
     return sp.polygon_boxes(t.boundary(spark, d)).select("area_id", *[r6(c, 9) for c in "swne"])
 
 
+def touching(spark: SparkSession, d: str, boxes: DataFrame) -> DataFrame:
+    """``area_id, way_id`` of the drivable ways with a point in an area's box."""
+    hit = sp.in_box(t.raw_nodes(spark, d), boxes).select("area_id", "node_id")
+    return nw.drivable(t.ways(spark, d)).select("way_id", F.explode("nodes").alias("node_id")).join(hit, "node_id").select("area_id", "way_id").distinct()
+
+
 @query("p10_ways_in_box")
 def p10(spark: SparkSession, d: str) -> DataFrame:
     ways = nw.drivable(t.ways(spark, d))
-    hit = sp.in_box(t.raw_nodes(spark, d), sp.polygon_boxes(t.boundary(spark, d))).select("area_id", "node_id")
-    touching = ways.select("way_id", F.explode("nodes").alias("node_id")).join(hit, "node_id").select("area_id", "way_id").distinct()
-    return touching.join(ways.select("way_id", F.size("nodes").cast("long").alias("n_points")), "way_id").select("area_id", "way_id", "n_points")
+    return touching(spark, d, sp.polygon_boxes(t.boundary(spark, d))).join(ways.select("way_id", F.size("nodes").cast("long").alias("n_points")), "way_id").select("area_id", "way_id", "n_points")
 
 
 @query("p11_window")
@@ -215,7 +220,7 @@ def n4(spark: SparkSession, d: str) -> DataFrame:
 def n5(spark: SparkSession, d: str) -> DataFrame:
     s = t.streets(spark, d)
     g = nw.geometry(s, t.raw_nodes(spark, d)).select("street_id", F.posexplode("geom").alias("rank", "p"))
-    return s.join(g, "street_id").select("street_id", F.col("rank").cast("long").alias("rank"), r6("length_m"), r6("time_s"), "fwd", "bwd", F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"))
+    return s.join(g, "street_id").select("street_id", F.col("rank").cast("long").alias("rank"), r6("length_m"), r6("time_s"), "fwd", "bwd", F.round("p.lon", 9).alias("lon"), F.round("p.lat", 9).alias("lat"))
 
 
 @query("n6_arcs")
@@ -225,12 +230,16 @@ def n6(spark: SparkSession, d: str) -> DataFrame:
 
 @query("n7_nodes")
 def n7(spark: SparkSession, d: str) -> DataFrame:
-    return t.nodes(spark, d).select("node_id", r6("lat", 9), r6("lon", 9), r6("x", 4), r6("y", 4))
+    around = sp.in_box(t.nodes(spark, d), sp.expand_box(sp.polygon_boxes(t.boundary(spark, d)), t.MARGIN_M))
+    return nw.projected(around, t.area_centres(spark, d)).select("area_id", "node_id", r6("lat", 9), r6("lon", 9), r6("x", 4), r6("y", 4))
 
 
 @query("n8_build_stats")
 def n8(spark: SparkSession, d: str) -> DataFrame:
-    return nw.build_stats(nw.drivable(t.ways(spark, d)), t.chains(spark, d))
+    ways, boxes = nw.drivable(t.ways(spark, d)), sp.polygon_boxes(t.boundary(spark, d))
+    own = touching(spark, d, boxes).join(ways.select("way_id", "tags"), "way_id")
+    keep = sp.in_box(t.nodes(spark, d), boxes)
+    return nw.build_stats(own, sp.clip(t.chains(spark, d).select("u", "v", "fwd", "bwd"), t.arcs(spark, d), keep)[0])
 
 
 # --- spatial joins
@@ -302,9 +311,9 @@ def g8(spark: SparkSession, d: str) -> DataFrame:
 @t.table
 def tunnel_gates(spark: SparkSession, d: str) -> DataFrame:
     ways = nw.drivable(t.ways(spark, d)).where(F.col("tags")["tunnel"].isNotNull())
-    pts = ways.select(F.explode("nodes").alias("node_id"), F.col("tags")["name"].alias("name")).join(nw.projected(t.raw_nodes(spark, d)), "node_id")
+    pts = ways.select(F.explode("nodes").alias("node_id"), F.col("tags")["name"].alias("name")).join(t.raw_nodes(spark, d), "node_id")
     geom = nw.geometry(t.streets(spark, d), t.raw_nodes(spark, d))
-    return sp.tunnel_gateways(t.streets(spark, d), geom, t.area_nodes(spark, d), t.gates(spark, d), pts.select("x", "y", "name"))
+    return sp.tunnel_gateways(t.streets(spark, d), geom, t.area_nodes(spark, d), t.gates(spark, d), pts.select("lat", "lon", "name"), t.area_centres(spark, d))
 
 
 @query("g9_tunnel_gateways")
@@ -349,8 +358,8 @@ def first_core(spark: SparkSession, d: str) -> DataFrame:
 
 @query("c4_reach")
 def c4(spark: SparkSession, d: str) -> DataFrame:
-    seeds = first_core(spark, d).select("area_id", F.lit(0).alias("scenario"), F.array("node_id").alias("seeds"))
-    return tr.reached(t.graph(spark, d), seeds)
+    seeds = first_core(spark, d).select("area_id", F.lit(0).alias("scenario"), "node_id")
+    return tr.reached(t.area_arcs(spark, d), seeds)
 
 
 @query("c5_strong_components")
@@ -360,33 +369,38 @@ def c5(spark: SparkSession, d: str) -> DataFrame:
 
 @query("c6_hops_from_one")
 def c6(spark: SparkSession, d: str) -> DataFrame:
-    return tr.hops_from(t.graph(spark, d), first_core(spark, d)).select("area_id", "node_id", "hops")
+    return tr.hops(t.area_streets(spark, d), first_core(spark, d))
 
 
 @query("c7_hops_to_gateways")
 def c7(spark: SparkSession, d: str) -> DataFrame:
-    return an.gateway_hops(t.graph(spark, d))
+    return tr.hops(t.area_streets(spark, d), t.gates(spark, d).select("area_id", "node_id"))
 
 
 @t.table
 def od(spark: SparkSession, d: str) -> DataFrame:
-    nodes = t.area_nodes(spark, d).select("area_id", "node_id").join(t.nodes(spark, d), "node_id")
+    nodes = nw.projected(t.area_nodes(spark, d).select("area_id", "node_id", "lat", "lon"), t.area_centres(spark, d))
     return an.od_pairs(t.graph(spark, d), nodes)
 
 
+@t.table
+def rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Times from the origin of every rule, by rounds of relaxation."""
+    return tr.relax(t.area_arcs(spark, d), od(spark, d).select("area_id", "rule", "o", F.col("o").alias("node_id")))
+
+
 @query("c8_shortest_times")
 def c8(spark: SparkSession, d: str) -> DataFrame:
-    return an.shortest_times(t.graph(spark, d), od(spark, d)).select("area_id", "rule", "o", "node_id", r6("time_s"))
+    return rounds(spark, d).select("area_id", "rule", "o", "node_id", r6("time_s"))
 
 
 @query("c9_relaxation_check")
 def c9(spark: SparkSession, d: str) -> DataFrame:
-    """Distances by rounds of joins against those by the heap, of the corner rule's origins."""
-    pairs = od(spark, d).where("rule = 'corner'")
-    heap = an.shortest_times(t.graph(spark, d), pairs).select("area_id", "node_id", F.col("time_s").alias("heap_s"))
-    rounds = tr.relax(t.area_arcs(spark, d), pairs.select("area_id", F.col("o").alias("node_id")))
-    both = heap.join(rounds, ["area_id", "node_id"], "full")
-    return both.groupBy("area_id").agg(F.count("*").alias("nodes"), F.count_if(F.abs(F.col("heap_s") - F.col("time_s")) < 1e-6).alias("equal"))
+    """Times by rounds of joins against those by a heap for each origin."""
+    key = ["area_id", "rule", "o", "node_id"]
+    heap = an.shortest_times(t.graph(spark, d), od(spark, d)).select(*key, F.col("time_s").alias("heap_s"))
+    both = heap.join(rounds(spark, d), key, "full")
+    return both.groupBy("area_id", "rule").agg(F.count("*").alias("nodes"), F.count_if(F.abs(F.col("heap_s") - F.col("time_s")) < 1e-6).alias("equal"))
 
 
 @t.table
@@ -572,8 +586,8 @@ def counts4(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f4_flow_equals_cut")
 def f4(spark: SparkSession, d: str) -> DataFrame:
-    """Scenarios whose flow is not the capacity of the returned cut: none."""
-    return counts4(spark, d).where("flow <> cut_capacity").select("area_id", "unit", "directed")
+    """The flow of each scenario and the capacity of the cut that it returns, which are equal."""
+    return counts4(spark, d).select("area_id", "unit", "directed", "flow", "cut_capacity", (F.col("flow") == F.col("cut_capacity")).alias("equal"))
 
 
 @query("f5_od_cut")
@@ -644,10 +658,10 @@ def f14(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f15_flow_bound")
 def f15(spark: SparkSession, d: str) -> DataFrame:
-    """Ring flows above the flow to the boundary: none."""
+    """Ring flows and the flow to the boundary, which bounds them."""
     v = ring_values(spark, d)
     base = v.where("r_m = 0 and dest_rule = 'any'").select("area_id", "unit", "directed", F.col("flow").alias("most"))
-    return v.where("r_m > 0").join(base, ["area_id", "unit", "directed"]).where("flow > most").select("area_id", "r_m", "dest_rule", "unit", "directed")
+    return v.where("r_m > 0").join(base, ["area_id", "unit", "directed"]).select("area_id", "r_m", "dest_rule", "unit", "directed", "flow", "most", (F.col("flow") <= F.col("most")).alias("within"))
 
 
 @t.table
@@ -703,10 +717,10 @@ def x2(spark: SparkSession, d: str) -> DataFrame:
 def indicators(spark: SparkSession, d: str, clip: str) -> DataFrame:
     nodes_ = t.area_nodes(spark, d) if clip == "polygon" else box_nodes(spark, d)
     s, a = sp.clip(t.streets(spark, d), t.arcs(spark, d), nodes_)
-    parts = sc.per_area(sc.graph_rows(nodes_.withColumn("flags", F.lit(1)), a, s), t.parts, "node_id long, component long, scc long, giant boolean, core boolean").persist()
+    parts = written(sc.per_area(sc.graph_rows(nodes_.withColumn("flags", F.lit(1)), a, s), t.parts, "node_id long, component long, scc long, giant boolean, core boolean"), "parts")
     out = sp.gateways(t.streets(spark, d), nodes_, t.within_margin(spark, d))
     gates = out.join(parts.where("giant"), ["area_id", "node_id"], "left_semi")
-    g = sc.graph_rows(t.flagged(nodes_, parts, gates), a, s).persist()
+    g = written(sc.graph_rows(t.flagged(nodes_, parts, gates), a, s), "clip")
     n = parts.groupBy("area_id").agg(F.count("*").alias("v"), F.count_if("core").alias("core"))
     pairs = an.strong_candidates(g).where("lo <> hi").groupBy("area_id").agg(F.count("*").alias("pairs"))
     found = an.strong_points(g).groupBy("area_id").agg(F.count_if(F.col("what") == "bridge").alias("sb"), F.count_if(F.col("what") == "articulation").alias("sa"))
@@ -875,7 +889,7 @@ def drawn_sets(spark: SparkSession, d: str) -> DataFrame:
 
 @query("d3_drawn_closures")
 def d3(spark: SparkSession, d: str) -> DataFrame:
-    return drawn_sets(spark, d).where("k = 4 and draw < 5").select("area_id", "strategy", "draw", F.posexplode("closed").alias("pos", "c")).select("area_id", "strategy", "draw", "pos", "c.lo", "c.hi")
+    return drawn_sets(spark, d).select("area_id", "strategy", "k", "draw", F.posexplode("closed").alias("pos", "c")).select("area_id", "strategy", "k", "draw", "pos", "c.lo", "c.hi")
 
 
 @t.table
@@ -947,9 +961,8 @@ def r1(spark: SparkSession, d: str) -> DataFrame:
         "strong_bridge_pct": pct(c("strong_bridges"), c("core_pairs")), "strong_artic_pct": pct(c("strong_artics"), c("core")),
         "median_parted_bridge_pct": pct(c("mid_b"), pairs), "median_parted_artic_pct": pct(c("mid_a"), pairs),
     }
-    long = reports.long_rows(metrics(spark, d).select("area_id", *[v.alias(k) for k, v in rows.items()]), ["area_id"], "indicator", "value")
-    ids = [r[0] for r in areas(spark, d).select("area_id").orderBy("area_id").collect()]  # the table's columns
-    return long.groupBy("indicator").pivot("area_id", ids).agg(F.first("value"))
+    # a row an indicator and area: any number of areas
+    return reports.long_rows(metrics(spark, d).select("area_id", *[v.alias(k) for k, v in rows.items()]), ["area_id"], "indicator", "value")
 
 
 @query("r2_one_way_share")
@@ -960,8 +973,10 @@ def r2(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r3_cross_table")
 def r3(spark: SparkSession, d: str) -> DataFrame:
-    ids = [r[0] for r in areas(spark, d).select("area_id").orderBy("area_id").collect()]
-    return w5(spark, d).groupBy("what", "kind").pivot("area_id", ids).agg(F.first("n")).na.fill(0)
+    """A row a cell of the table, also such as have none."""
+    cells = spark.createDataFrame([(w, k) for w in ("bridge", "articulation") for k in ("both", "strong_only", "weak_only")], "what string, kind string")
+    grid = areas(spark, d).select("area_id").join(F.broadcast(cells))
+    return grid.join(w5(spark, d), ["area_id", "what", "kind"], "left").na.fill(0, ["n"])
 
 
 @query("r4_flow_histogram")

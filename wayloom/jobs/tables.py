@@ -93,6 +93,13 @@ def within_margin(spark: SparkSession, sf_dir: str, margin_m: float = MARGIN_M)
     return spatial.in_box(nodes(spark, sf_dir), boxes).select("area_id", "node_id")
 
 
+@table
+def area_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean point of the raw nodes around each area."""
+    boxes = spatial.expand_box(spatial.polygon_boxes(boundary(spark, sf_dir)), MARGIN_M)
+    return network.centres(spatial.in_box(raw_nodes(spark, sf_dir), boxes))
+
+
 def exits(spark: SparkSession, sf_dir: str, margin_m: float = MARGIN_M) -> DataFrame:
     return spatial.gateways(streets(spark, sf_dir), area_nodes(spark, sf_dir), within_margin(spark, sf_dir, margin_m))
 

@@ -190,16 +190,6 @@ def source_regions(graph: DataFrame, frac: float = 0.2) -> DataFrame:
     return per_area(graph, run, "node_id long, dist int")
 
 
-def gateway_hops(graph: DataFrame) -> DataFrame:
-    """Edges from every node of the giant component to the nearest gateway."""
-
-    def run(g: AreaGraph):
-        keep, gates = set(g.flagged(GIANT)), sorted(g.flagged(GATEWAY))
-        return ((int(g.ids[u]), d) for u, d in gr.hops(g.around(keep), gates).items())
-
-    return per_area(graph, run, "node_id long, hops int")
-
-
 def access_cut(graph: DataFrame, frac: float = 0.2) -> DataFrame:
     """The streets of each area's minimum cut nearest the source: ``u`` on the source side."""
 

@@ -55,11 +55,15 @@ def travel_time(length_m: Column, kmh: Column) -> Column:
     return length_m / (kmh * 1000 / 3600)
 
 
-def projected(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with planar ``x, y`` in metres around the mean point."""
-    centre = nodes.agg(F.avg("lat").alias("lat0"), F.avg("lon").alias("lon0"))  # one row
+def centres(nodes: DataFrame) -> DataFrame:
+    """``area_id, lat0, lon0``: the mean point of each area's nodes."""
+    return nodes.groupBy("area_id").agg(F.avg("lat").alias("lat0"), F.avg("lon").alias("lon0"))
+
+
+def projected(nodes: DataFrame, centre: DataFrame) -> DataFrame:
+    """``nodes`` of areas with planar ``x, y`` in metres around each area's centre."""
     x = (F.col("lon") - F.col("lon0")) * F.cos(F.radians("lat0")) * KX
-    return nodes.join(F.broadcast(centre)).select(*nodes.columns, x.alias("x"), ((F.col("lat") - F.col("lat0")) * KY).alias("y"))
+    return nodes.join(centre, "area_id").select(*nodes.columns, x.alias("x"), ((F.col("lat") - F.col("lat0")) * KY).alias("y"))
 
 
 def segments(ways: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -94,8 +98,10 @@ def chains(segs: DataFrame, rounds: int = 40) -> DataFrame:
     """Contracted chains ``u, v, length_m, time_s, fwd, bwd, path`` by pointer doubling over half-segments.
 
     Every half-segment points to the half-segment that follows it through a node
-    of degree 2; each round doubles the reach of those that have not arrived.
-    Isolated rings are never reached from an end and vanish.
+    of degree 2; each round doubles the reach of those that have not arrived, in
+    rows of one size.  How far each is from its chain's end gives the order of the
+    path, which is put together once.  Isolated rings are never reached from an end
+    and vanish.
     """
     arcs = segment_arcs(segs)
     lo_hi = [F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")]
@@ -110,39 +116,48 @@ def chains(segs: DataFrame, rounds: int = 40) -> DataFrame:
         timed.select(sid.alias("sid"), F.lit(1).alias("side"), F.col("b").alias("a"), F.col("a").alias("b"), "length_m", "time_s", ba.alias("fwd"), ab.alias("bwd"))
     )
     half = cut(half.withColumn("hid", F.xxhash64("sid", "side")))
-    ends = intersections(segs)
+    ends = cut(intersections(segs))
     through = half.join(ends, half.b == ends.node_id, "left_anti")
     follow = half.select(F.col("a").alias("_a"), F.col("sid").alias("_sid"), F.col("hid").alias("next"))
     nxt = through.join(follow, (through.b == F.col("_a")) & (through.sid != F.col("_sid"))).select("hid", "next")
-    state = cut(half.join(nxt, "hid", "left").select("hid", "sid", "a", "b", "length_m", "time_s", "fwd", "bwd", "next", F.array("b").alias("path"), F.col("sid").alias("last")))
-    heads = ends.withColumnRenamed("node_id", "a")
+    heads = ends.select(F.col("node_id").alias("a"), F.lit(True).alias("head"))
+    state = half.join(nxt, "hid", "left").join(heads, "a", "left")
+    state = cut(state.select("hid", "sid", "head", "a", "b", "length_m", "time_s", "fwd", "bwd", "next", F.lit(1).cast("long").alias("n"), F.struct("hid", "sid", F.col("b").alias("before")).alias("last")))
     for _ in range(rounds):
-        if state.where("next is not null").join(heads, "a", "left_semi").isEmpty():
+        if state.where("next is not null and head").isEmpty():
             break
         to = state.select(
             F.col("hid").alias("next"), F.col("b").alias("b2"), F.col("length_m").alias("l2"), F.col("time_s").alias("t2"), F.col("fwd").alias("f2"), F.col("bwd").alias("k2"),
-            F.col("next").alias("n2"), F.col("path").alias("p2"), F.col("last").alias("last2"),
+            F.col("next").alias("n2"), F.col("n").alias("m2"), F.col("last").alias("last2"),
         )
         moving = state.where("next is not null").join(to, "next").select(
-            "hid", "sid", "a", F.col("b2").alias("b"), (F.col("length_m") + F.col("l2")).alias("length_m"), (F.col("time_s") + F.col("t2")).alias("time_s"),
-            (F.col("fwd") & F.col("f2")).alias("fwd"), (F.col("bwd") & F.col("k2")).alias("bwd"), F.col("n2").alias("next"), F.concat("path", "p2").alias("path"), F.col("last2").alias("last"),
+            "hid", "sid", "head", "a", F.col("b2").alias("b"), (F.col("length_m") + F.col("l2")).alias("length_m"), (F.col("time_s") + F.col("t2")).alias("time_s"),
+            (F.col("fwd") & F.col("f2")).alias("fwd"), (F.col("bwd") & F.col("k2")).alias("bwd"), F.col("n2").alias("next"), (F.col("n") + F.col("m2")).alias("n"), F.col("last2").alias("last"),
         )
-        # rings turn for ever: what has come back to its start without an end is dropped
-        moving = moving.where("next is null or a <> b")
         state = cut(state.where("next is null").unionByName(moving))
-    done = state.where("next is null").join(heads, "a", "left_semi").join(heads.withColumnRenamed("a", "b"), "b", "left_semi")
+    else:
+        raise RuntimeError("chains did not reach their ends")
+    done = state.where("next is null and head").join(ends.withColumnRenamed("node_id", "b"), "b", "left_semi")
     # of the two directions, that which starts at the smaller (node, segment)
-    whole = done.where(F.struct("a", "sid") <= F.struct(F.col("b").alias("a"), F.col("last").alias("sid")))
+    whole = done.where(F.struct("a", "sid") <= F.struct(F.col("b").alias("a"), F.col("last.sid").alias("sid")))
+    # a half-segment begins where the chain still has n of them ahead
+    steps = state.where("next is null").select(F.col("last.hid").alias("_last"), "n", "a").groupBy("_last").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "a"))).alias("steps"))
+    whole = whole.join(steps, F.col("last.hid") == F.col("_last"))
     return whole.select(
         F.col("a").alias("u"), F.col("b").alias("v"), F.col("sid.way_id").alias("way_id"), F.col("sid.pos").alias("pos"), "length_m", "time_s", "fwd", "bwd",
-        F.concat(F.array("a"), "path").alias("path"),
+        F.concat(F.col("steps.a"), F.array("b")).alias("path"),
     )
 
 
+def street_id(way_id: str = "way_id", pos: str = "pos") -> Column:
+    """One number for a way's segment: ways have less than 2^20 points."""
+    return F.shiftleft(F.col(way_id).cast("long"), 20) + F.col(pos)
+
+
 def streets(chained: DataFrame) -> DataFrame:
     """Kept chains as undirected streets; loops and chains open in neither direction go."""
     kept = chained.where("u <> v and (fwd or bwd)")
-    return kept.select((F.col("way_id") * 1000 + F.col("pos")).alias("street_id"), "u", "v", "length_m", "time_s", "fwd", "bwd", "path")
+    return kept.select(street_id().alias("street_id"), "u", "v", "length_m", "time_s", "fwd", "bwd", "path")
 
 
 def arcs_of(street: DataFrame) -> DataFrame:
@@ -152,26 +167,31 @@ def arcs_of(street: DataFrame) -> DataFrame:
 
 
 def network_nodes(chained: DataFrame, nodes: DataFrame) -> DataFrame:
-    """End nodes of all chains, discarded ones too, with both kinds of coordinates."""
+    """End nodes of all chains, discarded ones too."""
     ends = chained.select(F.explode(F.array("u", "v")).alias("node_id")).distinct()
-    return projected(nodes).join(ends, "node_id")
+    return nodes.join(ends, "node_id")
 
 
 def geometry(street: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``street_id, geom``: projected points in order."""
-    pts = street.select("street_id", F.posexplode("path").alias("rank", "node_id")).join(projected(nodes), "node_id")
-    line = F.array_sort(F.collect_list(F.struct("rank", "x", "y")))
-    return pts.groupBy("street_id").agg(F.transform(line, lambda p: F.struct(p["x"], p["y"])).alias("geom"))
+    """``street_id, geom``: the points of each street in order, by longitude and latitude."""
+    pts = street.select("street_id", F.posexplode("path").alias("rank", "node_id")).join(nodes, "node_id")
+    line = F.array_sort(F.collect_list(F.struct("rank", "lon", "lat")))
+    return pts.groupBy("street_id").agg(F.transform(line, lambda p: F.struct(p["lon"], p["lat"])).alias("geom"))
 
 
 def build_stats(ways: DataFrame, chained: DataFrame) -> DataFrame:
-    """One row: ways, share with a stated speed, chains kept, loops, mixed, parallel pairs, share discarded."""
-    w = ways.agg(F.count("*").alias("ways"), F.count_if(F.col("tags")["maxspeed"].isNotNull()).alias("with_maxspeed"))
+    """A row an area: ways, those with a stated speed, chains kept, loops, mixed, parallel pairs, share discarded.
+
+    Ways ``(area_id, way_id, tags)`` and chains ``(area_id, u, v, fwd, bwd)`` are those of each area.
+    """
+    w = ways.groupBy("area_id").agg(F.count("*").alias("ways"), F.count_if(F.col("tags")["maxspeed"].isNotNull()).alias("with_maxspeed"))
     loop, open_ = F.col("u") == F.col("v"), F.col("fwd") | F.col("bwd")
-    c = chained.agg(F.count_if(~loop & open_).alias("kept"), F.count_if(loop).alias("loops"), F.count_if(~loop & ~open_).alias("mixed"))
-    pairs = streets(chained).groupBy(F.least("u", "v"), F.greatest("u", "v")).agg(F.count("*").alias("n")).where("n > 1")
-    p = pairs.agg(F.count("*").alias("parallel_pairs"))
-    return w.join(c).join(p).withColumn("discarded_pct", F.round(100 * (F.col("loops") + F.col("mixed")) / (F.col("kept") + F.col("loops") + F.col("mixed")), 1))
+    c = chained.groupBy("area_id").agg(F.count_if(~loop & open_).alias("kept"), F.count_if(loop).alias("loops"), F.count_if(~loop & ~open_).alias("mixed"))
+    pairs = chained.where(~loop & open_).groupBy("area_id", F.least("u", "v"), F.greatest("u", "v")).agg(F.count("*").alias("n")).where("n > 1")
+    p = pairs.groupBy("area_id").agg(F.count("*").alias("parallel_pairs"))
+    out = w.join(c, "area_id", "left").join(p, "area_id", "left").na.fill(0)
+    every = F.col("kept") + F.col("loops") + F.col("mixed")
+    return out.withColumn("discarded_pct", F.when(every > 0, F.round(100 * (F.col("loops") + F.col("mixed")) / every, 1)))
 
 
 def pair_key(u: str = "u", v: str = "v") -> list[Column]:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wayloom.operators.network import KX, KY
+from wayloom.operators.network import KX, KY, projected
 
 CELL = 0.01
 
@@ -103,20 +103,24 @@ def street_class(dist_u: Column, dist_v: Column) -> Column:
     return F.when(inner == 2, "internal").when(inner == 1, "boundary").otherwise("external")
 
 
-def tunnel_gateways(street: DataFrame, geom: DataFrame, inside: DataFrame, gates: DataFrame, tunnel_nodes: DataFrame, tol_m: float = 2.0) -> DataFrame:
+def tunnel_gateways(street: DataFrame, geom: DataFrame, inside: DataFrame, gates: DataFrame, tunnel_nodes: DataFrame, centre: DataFrame, tol_m: float = 2.0) -> DataFrame:
     """``area_id, node_id, tunnels``: gateways whose exit street touches a tunnel way, within ``tol_m``.
 
-    ``tunnel_nodes``: ``x, y, name``.  Points meet in cells of the tolerance's size, with their neighbours.
+    ``tunnel_nodes``: ``lat, lon, name``.  Points of both kinds are projected around the area's
+    ``centre`` and meet in cells of the tolerance's size, with their neighbours.
     """
     ends = street.select("street_id", "u", "v").union(street.select("street_id", F.col("v").alias("u"), F.col("u").alias("v")))
     keep = inside.select("area_id", "node_id")
     exits = ends.join(keep.withColumnRenamed("node_id", "u"), "u").join(keep.withColumnRenamed("node_id", "v"), ["area_id", "v"], "left_anti")
     exits = exits.withColumnRenamed("u", "node_id").join(gates, ["area_id", "node_id"], "left_semi")
-    pts = exits.join(geom, "street_id").select("area_id", "node_id", F.explode("geom").alias("p")).select("area_id", "node_id", "p.x", "p.y")
+    pts = exits.join(geom, "street_id").select("area_id", "node_id", F.explode("geom").alias("p")).select("area_id", "node_id", "p.lon", "p.lat")
+    # tunnel nodes of an area: those in the box of its exit streets
+    boxes = expand_box(polygon_boxes(pts), 2 * tol_m)
+    near = projected(in_box(tunnel_nodes, boxes), centre).select("area_id", F.col("x").alias("tx"), F.col("y").alias("ty"), "name")
     grid = lambda c: F.floor(F.col(c) / tol_m)
     around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    pts = pts.withColumns({"cx": grid("x"), "cy": grid("y")})
-    t = tunnel_nodes.select(F.col("x").alias("tx"), F.col("y").alias("ty"), "name").withColumn("kx", F.explode(around)).withColumn("ky", F.explode(around))
-    t = t.select("tx", "ty", "name", (F.floor(F.col("tx") / tol_m) + F.col("kx")).alias("cx"), (F.floor(F.col("ty") / tol_m) + F.col("ky")).alias("cy"))
-    met = pts.join(t, ["cx", "cy"]).where(F.sqrt(F.pow(F.col("x") - F.col("tx"), 2) + F.pow(F.col("y") - F.col("ty"), 2)) < tol_m)
+    pts = projected(pts, centre).withColumns({"cx": grid("x"), "cy": grid("y")})
+    t = near.withColumn("kx", F.explode(around)).withColumn("ky", F.explode(around))
+    t = t.select("area_id", "tx", "ty", "name", (grid("tx") + F.col("kx")).alias("cx"), (grid("ty") + F.col("ky")).alias("cy"))
+    met = pts.join(t, ["area_id", "cx", "cy"]).where(F.sqrt(F.pow(F.col("x") - F.col("tx"), 2) + F.pow(F.col("y") - F.col("ty"), 2)) < tol_m)
     return met.groupBy("area_id", "node_id").agg(F.array_sort(F.collect_set("name")).alias("tunnels"))

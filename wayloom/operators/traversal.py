@@ -1,57 +1,56 @@
-"""Reach, hops and times: per area in a task, or over the whole table by rounds of joins.
+"""Reach, hops and times over the whole table, by rounds of joins of a frontier with the arcs.
 
-The per-area forms fit areas that one task can hold.  ``relax`` needs no such
-bound: it joins the frontier with the arcs until nothing improves.
+No area has to fit a task.  Arcs are composed with themselves first, so that a
+round goes several arcs ahead and long diameters need fewer rounds.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from wayloom.functions import graphs as gr
-from wayloom.operators.scenarios import per_scenario
 from wayloom.session import cut
 
 
-def reached(graph: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``scenario, node_id, backward``: nodes reached from each set of seeds, and nodes that reach it."""
+def _composed(hop: DataFrame, within: list[str], doublings: int) -> DataFrame:
+    """Least costs of up to ``2^doublings`` arcs on end."""
+    for _ in range(doublings):
+        ahead = hop.select(*within, F.col("u").alias("v"), F.col("v").alias("w"), F.col("t").alias("t2"))
+        two = hop.join(ahead, [*within, "v"]).where("u <> w").select(*within, "u", F.col("w").alias("v"), (F.col("t") + F.col("t2")).alias("t"))
+        hop = hop.select(*within, "u", "v", "t").union(two).groupBy(*within, "u", "v").agg(F.min("t").alias("t"))
+    return cut(hop)
 
-    def run(g: gr.AreaGraph, some: pd.DataFrame):
-        arcs = list(zip(g.au, g.av))
-        for scenario, own in zip(some.scenario, some.seeds):
-            start = [g.at[int(x)] for x in own if int(x) in g.at]
-            for backward, a in ((False, arcs), (True, [(v, u) for u, v in arcs])):
-                got = gr.reach(g.n, a, start)
-                yield from ((int(scenario), int(g.ids[u]), backward) for u in range(g.n) if got[u])
 
-    return per_scenario(graph, seeds, run, "scenario int, node_id long, backward boolean")
+def relax(arcs: DataFrame, sources: DataFrame, cost: str = "time_s", within: tuple[str, ...] = ("area_id",), doublings: int = 2, max_rounds: int = 2000) -> DataFrame:
+    """Least costs from the sources, by rounds of relaxation.
 
+    ``arcs (*within, u, v, cost)``, ``sources (*within, node_id, ...)``: further columns of
+    the sources tell searches apart.  Gives the columns of ``sources`` and the cost.
+    """
+    within, extra = list(within), [c for c in sources.columns if c not in (*within, "node_id")]
+    key = [*within, *extra, "node_id"]
+    hop = _composed(arcs.where("u <> v").groupBy(*within, "u", "v").agg(F.min(cost).cast("double").alias("t")), within, doublings)
+    best = cut(sources.select(*key).distinct().withColumns({"d": F.lit(0.0), "moved": F.lit(True)}))
+    for _ in range(max_rounds):
+        front = best.where("moved").select(*within, *extra, F.col("node_id").alias("u"), "d")
+        if front.isEmpty():
+            return best.select(*key, F.col("d").alias(cost))
+        step = front.join(hop, [*within, "u"]).groupBy(*within, *extra, F.col("v").alias("node_id")).agg(F.min(F.col("d") + F.col("t")).alias("new"))
+        both = best.drop("moved").join(step, key, "full")
+        better = F.col("new").isNotNull() & (F.col("d").isNull() | (F.col("new") < F.col("d")))
+        best = cut(both.select(*key, F.when(better, F.col("new")).otherwise(F.col("d")).alias("d"), better.alias("moved")))
+    raise RuntimeError("relaxation did not settle")
 
-def hops_from(graph: DataFrame, sources: DataFrame) -> DataFrame:
-    """``source, node_id, hops`` by streets from each source ``(area_id, node_id)``."""
-
-    def run(g: gr.AreaGraph, some: pd.DataFrame):
-        adj = g.around()
-        for s in some.node_id:
-            yield from ((int(s), int(g.ids[u]), h) for u, h in gr.hops(adj, [g.at[int(s)]]).items())
 
-    return per_scenario(graph, sources.withColumn("scenario", F.lit(0)), run, "source long, node_id long, hops int")
+def reached(arcs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``seeds`` columns and ``backward``: nodes reached from each search's seeds, and nodes that reach them."""
+    flag = lambda rows, backward: rows.withColumn("backward", F.lit(backward))
+    plain = arcs.select("area_id", "u", "v", F.lit(0.0).alias("cost"))
+    both = flag(plain, False).union(flag(plain.select("area_id", F.col("v").alias("u"), F.col("u").alias("v"), "cost"), True))
+    return relax(both, flag(seeds, False).union(flag(seeds, True)), "cost", ("area_id", "backward")).drop("cost")
 
 
-def relax(arcs: DataFrame, sources: DataFrame, max_rounds: int = 500) -> DataFrame:
-    """``area_id, node_id, time_s``: least times from the sources by rounds of relaxation over arcs."""
-    hop = arcs.where("u <> v").groupBy("area_id", "u", "v").agg(F.min("time_s").alias("t"))
-    best = cut(sources.select("area_id", "node_id", F.lit(0.0).alias("time_s")).distinct())
-    front = best
-    for _ in range(max_rounds):
-        step = front.select("area_id", F.col("node_id").alias("u"), "time_s").join(hop, ["area_id", "u"])
-        step = step.groupBy("area_id", F.col("v").alias("node_id")).agg(F.min(F.col("time_s") + F.col("t")).alias("new"))
-        both = best.join(step, ["area_id", "node_id"], "full")
-        better = F.col("new").isNotNull() & (F.col("time_s").isNull() | (F.col("new") < F.col("time_s")))
-        both = cut(both.select("area_id", "node_id", F.when(better, F.col("new")).otherwise(F.col("time_s")).alias("time_s"), better.alias("moved")))
-        front = both.where("moved").select("area_id", "node_id", "time_s")
-        best = both.select("area_id", "node_id", "time_s")
-        if front.isEmpty():
-            return best
-    raise RuntimeError("relaxation did not settle")
+def hops(streets: DataFrame, sources: DataFrame) -> DataFrame:
+    """``sources`` columns and ``hops``: streets from the nearest source."""
+    s = streets.select("area_id", "u", "v", F.lit(1.0).alias("hops"))
+    both = s.union(s.select("area_id", F.col("v").alias("u"), F.col("u").alias("v"), "hops"))
+    return relax(both, sources, "hops").withColumn("hops", F.col("hops").cast("int"))
