@@ -118,7 +118,8 @@ def suffix_ranks(rows: DataFrame) -> DataFrame:
 def _neighbours(asked: DataFrame) -> DataFrame:
     """Suffixes in the order of the suffix array: ``here``, ``end`` and ``begin``, the number of its interval's first suffix."""
     block = F.struct("depth", "left", "right")
-    order = asked.orderBy("ranks", "depth", "left", "right").select("here", "end", block.alias("block"), F.monotonically_increasing_id().alias("i"))
+    # equal suffixes by their place, so that a hot interval can be more than one range
+    order = asked.orderBy("ranks", "depth", "left", "right", "here").select("here", "end", block.alias("block"), F.monotonically_increasing_id().alias("i"))
     order = written(order.withColumn("range", F.shiftright("i", 33)), "order")
     by, ranges = Window.partitionBy("range").orderBy("i"), Window.orderBy("range")
     # a row a range: the last block before it
