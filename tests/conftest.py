@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -12,6 +13,7 @@ def spark():
 
     s = local_session(4, 4, "tests")
     s.sparkContext.setLogLevel("ERROR")
+    s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     s.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     yield s
     s.stop()

@@ -24,12 +24,18 @@ def table(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     def get(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, sf_dir, fn.__name__)
         if key not in _kept:
-            _kept[key] = written(fn(spark, sf_dir), fn.__name__)
+            _kept[key] = written(fn(spark, sf_dir), fn.__name__, keep=True)
         return _kept[key]
 
     return get
 
 
+def forget(*keep: str) -> None:
+    """Tables of other names are built again when they are next asked for, as after a change of the input."""
+    for key in [k for k in _kept if k[2] not in keep]:
+        del _kept[key]
+
+
 def raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return fixture.views(spark, sf_dir)
 

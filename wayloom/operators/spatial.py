@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from wayloom.operators.network import KX, KY, projected
 
 CELL = 0.01
+#: Degrees of latitude of a strip in which nodes meet edges.
+STRIP = 0.001
 
 
 def boundary_edges(points: DataFrame) -> DataFrame:
@@ -50,11 +52,16 @@ def in_box(nodes: DataFrame, boxes: DataFrame, cell: float = CELL) -> DataFrame:
 
 
 def points_in_areas(nodes: DataFrame, points: DataFrame) -> DataFrame:
-    """``area_id, node_id, ...`` of the nodes inside any ring of an area: even-odd, half-open in latitude."""
+    """``area_id, node_id, ...`` of the nodes inside any ring of an area: even-odd, half-open in latitude.
+
+    A node meets the edges of its own strip of latitude only.
+    """
     near = in_box(nodes, polygon_boxes(points))
     lat, lon = F.col("lat"), F.col("lon")
     crosses = ((F.col("y1") > lat) != (F.col("y2") > lat)) & (lon < (F.col("x2") - F.col("x1")) * (lat - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    hits = near.join(boundary_edges(points), "area_id").groupBy(*near.columns, "ring_id").agg(F.count_if(crosses).alias("k"))
+    strips = F.sequence(F.floor(F.least("y1", "y2") / STRIP), F.floor(F.greatest("y1", "y2") / STRIP))
+    edges = boundary_edges(points).withColumn("strip", F.explode(strips))
+    hits = near.withColumn("strip", F.floor(lat / STRIP)).join(edges, ["area_id", "strip"]).groupBy(*near.columns, "ring_id").agg(F.count_if(crosses).alias("k"))
     inside = hits.where("k % 2 = 1").select("area_id", "node_id").distinct()
     return near.join(inside, ["area_id", "node_id"], "left_semi")
 

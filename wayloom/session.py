@@ -39,12 +39,15 @@ def find_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the session names none, as in tests, a temporary one is set.
+    Only where everything runs on one machine, as in tests, one is made if the session names none.
     """
     find_package(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
@@ -55,13 +58,35 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def arrow_batches(spark: SparkSession, mb: int = 4) -> None:
-    """Bound each Arrow batch by bytes, so that long texts don't pile up in a Python worker."""
+    """Bound each Arrow batch by bytes, so that long texts don't pile up in a Python worker.
+
+    It is a setting of the session, which stays; results don't depend on it.
+    """
     find_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Cut lineage by a Parquet table in the shared folder; compressed, unlike a checkpoint."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+_written: dict[str, list[str]] = {}
+
+
+def written(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
+    """Cut lineage by a Parquet table in the shared folder; compressed, unlike a checkpoint.
+
+    ``release`` removes it, but for such as are to be kept.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    if not keep:
+        _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the tables that were written on the way, once what was returned has been read; gives their number."""
+    sc = spark.sparkContext
+    paths = _written.pop(sc.applicationId, [])
+    for path in paths:
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
