@@ -26,6 +26,19 @@ def test_equals_the_library(both):
         assert bpe.decode(np.array(ids), enc.voc) == ref.decode(ids, skip_special_tokens=False) == text
 
 
+def test_every_script_is_split_as_the_library_splits_it():
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    split = ByteLevel(add_prefix_space=False).pre_tokenize_str
+    rng = random.Random(2)
+    rims = [int(x, 16) for r in bpe._NEWER.split() for x in r.split("-")]
+    near = [c for x in rims for c in (x - 1, x, x + 1)]
+    for _ in range(3000):
+        some = [rng.choice(near) if rng.random() < 0.5 else rng.choice([rng.randrange(0x20, 0x3100), rng.randrange(0xA000, 0xD800), rng.randrange(0x10000, 0x33500)]) for _ in range(8)]
+        text = "".join(chr(c) + rng.choice(["", "", " ", "a", "1", "."]) for c in some)
+        assert bpe.pretokens(text) == [text[s:e] for _, (s, e) in split(text)], [hex(c) for c in some]
+
+
 def test_cache_limit(both):
     small = bpe.Encoder(both[0].voc, max_pieces=3)
     for text in ("one two three four", "five six", "one two"):
@@ -35,7 +48,9 @@ def test_cache_limit(both):
 def test_odd_rows(spark, odd, none):
     path = bpe.vocabulary_path()
     out = bpe.digests(odd, path)
-    assert out.columns == [*odd.columns, "n_tokens", "ids_sha256", "decoded_sha256"]
+    new = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    assert out.columns == [*[c for c in odd.columns if c not in new], *new]
+    assert out.select("n_tokens").schema[0].dataType.simpleString() == "bigint"
     import hashlib
 
     for r in out.collect():

@@ -44,3 +44,13 @@ def test_odd_rows(spark, odd, none):
     assert fm.predictions(none, spark.createDataFrame([], "doc_id long, quality int")).count() == 0
     odd_labels = spark.createDataFrame([(1, None), (None, 1), (2, 1), (2, 0)], "doc_id long, quality int")
     assert fm.predictions(odd, odd_labels, out="_a", predicted="_b").count() == odd.count()
+
+
+def test_sample_is_bounded_where_ids_repeat(spark):
+    docs, labels = corpus(spark, 40)
+    many = docs.union(docs.where("doc_id < 5").crossJoin(spark.range(50)).select("doc_id", "text", "n_chars"))
+    rows = fm.sample(many, labels).collect()
+    assert len(rows) == len({r.doc_id for r in rows}) == fm.sample(docs, labels).count()
+    at, x = np.arange(fm.WORD_BUCKETS + fm._STATS), np.linspace(1, 2, fm.WORD_BUCKETS + fm._STATS)
+    some, values = fm._largest(at, x)
+    assert len(some) == fm.FIT_FEATURES and set(at[-fm._STATS :]) <= set(some.tolist()) and fm.WORD_BUCKETS - 1 in some

@@ -42,7 +42,7 @@ def test_self_overlap_and_order(spark):
 
 def test_odd_rows(spark, odd, none):
     out = ld.dedup_lines(odd, 3)
-    assert out.count() == odd.count() and out.columns == [*odd.columns, "n_lines", "n_deleted"]
+    assert out.count() == odd.count() and out.columns == [*[c for c in odd.columns if c not in ("n_lines", "n_deleted")], "n_lines", "n_deleted"]
     kept = {(r.doc_id, r.text) for r in out.collect()}
     assert (9, "same text here") in kept and (10, "") in kept and (0, None) in kept
     assert ld.dedup_lines(none).count() == 0

@@ -36,4 +36,6 @@ def test_policies_and_ablations(spark):
 
 
 def test_odd_rows(spark, odd, none):
-    assert rules.ledger(odd).count() == odd.count() and rules.ledger(none).count() == 0
+    out = rules.ledger(odd)
+    assert out.count() == odd.count() and rules.ledger(none).count() == 0
+    assert [c for c in odd.columns if c not in out.columns] == [] and {r.w for r in out.collect()} == {"clash"}

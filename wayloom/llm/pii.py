@@ -164,9 +164,8 @@ def score_graph(edges: DataFrame, support: int = SUPPORT, confidence: float = CO
     seeds = cut(edges.where("kind is not null").select("value", "kind").distinct().withColumn("score", F.lit(1.0)))
     pairs = cut(edges.select("pattern", "value").distinct())
     sizes = pairs.groupBy("pattern").agg(F.count("*").alias("n"))
-    spark = edges.sparkSession
-    told = spark.createDataFrame([], "value long, kind string, score double")
-    patterns = spark.createDataFrame([], "pattern string, kind string, score double")
+    told = seeds.where(F.lit(False))
+    patterns = edges.where(F.lit(False)).select("pattern", "kind", F.lit(0.0).alias("score"))
     had = (0, 0)
     while True:
         known = pairs.join(seeds.union(told), "value").groupBy("pattern", "kind").agg(F.sum("score").alias("good"), F.count("*").alias("known"))
