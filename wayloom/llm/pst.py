@@ -101,7 +101,7 @@ class Tree:
     grams: DataFrame | None = None  # the tree: (level, ctx, w, v, c); w is null in a context's own row, which holds the rest's share
     near: dict[int, np.ndarray] = field(default_factory=dict)  # sorted keys of its broadcast rows by kind: 2 * level, and 1 more for a context's own
     logs: dict[int, np.ndarray] = field(default_factory=dict)  # their values
-    filters: dict[int, np.ndarray] = field(default_factory=dict)  # of all rows by kind; none if all are broadcast
+    filters: dict[int, np.ndarray] = field(default_factory=dict)  # of all rows of the kinds that are not broadcast in whole
 
     @property
     def total(self) -> float:
@@ -306,8 +306,8 @@ def _near(tree: Tree, head_grams: int) -> Tree:
         mine = np.nonzero(kinds == k["kind"])[0]
         order = mine[np.argsort(keys[mine].view(np.uint64))]
         tree.near[k["kind"]], tree.logs[k["kind"]] = keys[order].view(np.uint64), logs[order]
-    if got.num_rows < sum(k["count"] for k in have):
-        tree.filters = {k["kind"]: bloom_filter(rows.where(F.col("kind") == k["kind"]), "key") for k in have}
+    part = [k["kind"] for k in have if len(tree.near[k["kind"]]) < k["count"]]
+    tree.filters = {k: bloom_filter(rows.where(F.col("kind") == k), "key") for k in part}
     return tree
 
 
@@ -327,41 +327,45 @@ def _at(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def _gains(tree: Tree, h: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
-    """What contexts add to the unigram score at each position, where that is known here.
+    """What contexts add to the unigram score at each position, as far as it is known here, and what is to be looked up.
 
-    Of other positions, whose gain is given as 0, what takes part: position, kind, key, and the value or NaN.
+    Look-ups are arrays of position, kind and key, and of what longer contexts add if
+    the word turns out to be listed by this one.
     """
-    gain, open_ = np.zeros(len(h)), np.zeros(len(h), bool)
-    parts: list[tuple] = []
+    gain = np.zeros(len(h))
+    levels: list[tuple] = []
     key, ok = h, inner
     for level in range(1, tree.depth + 1):
         if level > 1:
             key = np.r_[np.zeros(1, np.uint64), _turned(key[:-1], h[1:])]
             ok = np.r_[False, ok[:-1]] & inner
-        at = np.nonzero(ok[:-1])[0]
         own, listing = 2 * level + 1, 2 * level
         if own not in tree.near:
             continue
-        if tree.filters:
+        at = np.nonzero(ok[:-1])[0]
+        if own in tree.filters:
             at = at[passes(tree.filters[own], key[at])]
         place = _at(tree.near[own], key[at])
-        if not tree.filters:
+        if own not in tree.filters:  # all kept contexts are here
             at, place = at[place >= 0], place[place >= 0]
-        wide = _turned(key[at], h[at + 1])
+        ctx, wide = key[at], _turned(key[at], h[at + 1])
         found = _at(tree.near[listing], wide)
-        v = np.where(found >= 0, tree.logs[listing][found] if len(tree.logs[listing]) else 0.0, np.nan)
-        rest = np.where(place >= 0, tree.logs[own][place] if len(tree.logs[own]) else 0.0, np.nan)
-        ask = (found < 0) & passes(tree.filters[listing], wide) if tree.filters else np.zeros(len(at), bool)
-        unsure = ask | ((place < 0) & (found < 0))
+        there = found >= 0
+        v = np.where(there, tree.logs[listing][found] if len(tree.logs[listing]) else 0.0, 0.0)
         # a word that the context doesn't list takes its share of the rest
-        gain[at + 1] = np.where(found >= 0, v, gain[at + 1] + np.where(place >= 0, rest, 0.0))
-        open_[(at + 1)[unsure]] = True
-        open_[(at + 1)[found >= 0]] = False  # what shorter contexts say is of no matter now
-        if tree.filters:
-            parts.append((at + 1, own, key[at], rest))
-            parts.append((at + 1, listing, wide, np.where(ask, np.nan, np.where(found >= 0, v, np.inf))))
-    gain[open_] = 0.0
-    asks = [(p[s], kind, k[s], v[s]) for p, kind, k, v in parts if (s := open_[p] & (v != np.inf)).any()]
+        rest = np.where((place >= 0) & ~there, tree.logs[own][place] if len(tree.logs[own]) else 0.0, 0.0)
+        ask = ~there & passes(tree.filters[listing], wide) if listing in tree.filters else np.zeros(len(at), bool)
+        gain[at + 1] = np.where(there, v, gain[at + 1] + rest)
+        levels.append((level, at + 1, ctx, wide, there, rest, ask, (place < 0) & ~there))
+    asks = []
+    over, settled = np.zeros(len(h)), np.zeros(len(h), bool)
+    for level, at, ctx, wide, there, rest, ask, unsure in reversed(levels):
+        free = ~settled[at]
+        for kind, keys, some in ((2 * level, wide, ask & free), (2 * level + 1, ctx, unsure & free)):
+            if some.any():
+                asks.append((at[some], kind, keys[some], over[at[some]]))
+        over[at] += rest
+        settled[at] |= there
     return gain, asks
 
 
@@ -374,7 +378,7 @@ def score(docs: DataFrame, tree: Tree, vocab: DataFrame, id_col: str = "doc_id",
         words = Words({w: i for i, w in enumerate(tree.words)})
         logs = np.log10((np.r_[tree.counts, tree.end_count] + _ADD) / tree.total)
         row = TaskContext.get().partitionId() << 40
-        columns = ["row", "pos", "kind", "word", "tf", "v", "info"]
+        columns = ["row", "pos", "kind", "word", "tf", "over", "flat", "info"]
         for b in batches:
             num, sizes = words.numbers(b["text"].tolist())
             rank, ends = words.rank[num], np.cumsum(sizes)
@@ -393,21 +397,23 @@ def score(docs: DataFrame, tree: Tree, vocab: DataFrame, id_col: str = "doc_id",
                 row += 1
                 info = {"id": key, "n_tokens": int(sizes[i]), "n_known": int(known[i]), "base": float(base[i]), "score": float(base[i] + more[i])}
                 # a text's own row: a key that no word has, other for each row
-                out.append((row, -1, 0, b" %d" % row, 0, None, info))
+                out.append((row, -1, 0, b" %d" % row, 0, 0.0, 0.0, info))
                 if cuts[i] < cuts[i + 1]:
-                    out += [(row, -1, 0, words.index.words[k], c, None, None) for k, c in Counter(num[miss[cuts[i] : cuts[i + 1]]].tolist()).items()]
+                    out += [(row, -1, 0, words.index.words[k], c, 0.0, 0.0, None) for k, c in Counter(num[miss[cuts[i] : cuts[i + 1]]].tolist()).items()]
             yield pd.DataFrame(out, columns=columns)
-            for p, kind, keys, v in asks:
+            for p, kind, keys, over in asks:
                 of = np.searchsorted(ends, p, side="right")
-                own = [b"\t%d\t" % kind + k.to_bytes(8, "big") if x != x else b" %d" % r for k, x, r in zip(keys.tolist(), v.tolist(), (first + of).tolist())]
-                for s in range(0, len(p), 200_000):
-                    e = s + 200_000
-                    yield pd.DataFrame({"row": (first + of)[s:e], "pos": p[s:e] - starts[of[s:e]], "kind": kind, "word": own[s:e], "tf": 0, "v": v[s:e], "info": pd.Series([None] * len(own[s:e]), dtype=object)}, columns=columns)
+                for s in range(0, len(p), 100_000):
+                    e = min(len(p), s + 100_000)
+                    own = [b"\t%d\t" % kind + k.to_bytes(8, "big") for k in keys[s:e].tolist()]
+                    none = pd.Series([None] * len(own), dtype=object)
+                    rows = {"row": (first + of)[s:e], "pos": p[s:e] - starts[of[s:e]], "kind": kind, "word": own, "tf": 0, "over": over[s:e], "flat": gain[p[s:e]], "info": none}
+                    yield pd.DataFrame(rows, columns=columns)
 
     arrow_batches(docs.sparkSession, 2)
     # ids go as strings, so that nulls don't turn them into floats
     parts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("text")).mapInPandas(
-        run, "row long, pos int, kind int, word binary, tf int, v double, info struct<id: string, n_tokens: long, n_known: long, base: double, score: double>"
+        run, "row long, pos int, kind int, word binary, tf int, over float, flat float, info struct<id: string, n_tokens: long, n_known: long, base: double, score: double>"
     )
     facts = vocab.select("word", "c", F.lit(None).cast("double").alias("fact"))
     if tree.filters:
@@ -415,18 +421,18 @@ def score(docs: DataFrame, tree: Tree, vocab: DataFrame, id_col: str = "doc_id",
         key = F.when(F.col("w").isNull(), F.col("ctx")).otherwise(_longer(F.col("ctx"), F.col("w")))
         word = F.concat(F.encode(F.concat(F.lit("\t"), kind.cast("string"), F.lit("\t")), "UTF-8"), F.unhex(F.lpad(F.hex(key), 16, "0")))
         facts = facts.union(tree.grams.select(word.alias("word"), F.lit(None).cast("long").alias("c"), "v"))
-    met = parts.withColumn("v", F.nanvl("v", F.lit(None).cast("double"))).join(facts, "word", "left").withColumn("v", F.coalesce("v", "fact"))
-    word = F.col("kind") == 0
+    met = parts.join(facts, "word", "left")
+    word, level = F.col("kind") == 0, F.floor(F.col("kind") / 2)
     seen = F.when(word & (F.col("c") > 0), F.col("tf")).otherwise(0).cast("long")
     rest = F.when(word, F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + _ADD) / tree.total)).otherwise(0.0)
-    looked = [F.max(F.when(F.col("kind") == k, F.col("v"))).alias(f"k{k}") for k in range(2, 2 * tree.depth + 2)]
-    met = met.groupBy("row", "pos").agg(F.max("info").alias("i"), F.sum(seen).alias("seen"), F.sum(rest).alias("rest"), *looked)
-    step = F.lit(0.0)
-    for level in range(1, tree.depth + 1):
-        # the word is listed, or takes its share of the rest, or the context isn't kept
-        own = F.col(f"k{2 * level + 1}")
-        step = F.coalesce(F.when(own.isNotNull(), F.col(f"k{2 * level}")), own + step, step)
-    sums = met.groupBy("row").agg(F.max("i").alias("i"), F.sum("seen").alias("seen"), F.sum("rest").alias("rest"), F.sum(F.when(F.col("pos") >= 0, step).otherwise(0.0)).alias("gain"))
+    told = ~word & F.col("fact").isNotNull()
+    # the longest context that lists the word, and the contexts that turned out to be kept
+    listed = F.max(F.when(told & (F.col("kind") % 2 == 0), F.struct(level.alias("level"), (F.col("fact") + F.col("over")).alias("v"))))
+    shares = F.collect_list(F.when(told & (F.col("kind") % 2 == 1), F.struct(level.alias("level"), F.col("fact").alias("v"))))
+    met = met.groupBy("row", "pos").agg(F.max("info").alias("i"), F.sum(seen).alias("seen"), F.sum(rest).alias("rest"), F.max("flat").alias("flat"), listed.alias("listed"), shares.alias("shares"))
+    longer = F.filter("shares", lambda x: x["level"] > F.coalesce(F.col("listed.level"), F.lit(0)))
+    gain = F.aggregate(longer, F.coalesce("listed.v", "flat").cast("double"), lambda acc, x: acc + x["v"]) - F.col("flat")
+    sums = met.groupBy("row").agg(F.max("i").alias("i"), F.sum("seen").alias("seen"), F.sum("rest").alias("rest"), F.sum(F.when(F.col("pos") >= 0, gain).otherwise(0.0)).alias("gain"))
     id_type = docs.schema[id_col].dataType
     return sums.select(
         F.col("i.id").cast(id_type).alias("id"), "i.n_tokens", (F.col("i.n_known") + F.col("seen")).alias("n_known"),
