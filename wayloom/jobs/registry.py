@@ -341,15 +341,14 @@ def c2(spark: SparkSession, d: str) -> DataFrame:
 @query("c3_components")
 def c3(spark: SparkSession, d: str) -> DataFrame:
     """Components of all areas at once, by star contraction over the whole table."""
-    n = t.area_nodes(spark, d).select("area_id", "node_id")
-    key = lambda c: F.struct("area_id", F.col(c).alias("n"))
+    key = lambda c: F.xxhash64("area_id", c)
+    n = t.area_nodes(spark, d).select("area_id", "node_id", key("node_id").alias("node"))
     comp = components.components(t.area_streets(spark, d).select(key("u").alias("a"), key("v").alias("b")))
-    comp = comp.select(F.col("node.area_id").alias("area_id"), F.col("node.n").alias("node_id"), F.col("component.n").alias("component"))
-    out = n.join(comp, ["area_id", "node_id"], "left").withColumn("component", F.coalesce("component", "node_id"))
-    size = out.groupBy("area_id", "component").agg(F.count("*").alias("size"))
+    out = n.join(comp, "node", "left").select("area_id", "node_id", F.coalesce("component", "node").alias("label"))
+    size = out.groupBy("area_id", "label").agg(F.min("node_id").alias("component"), F.count("*").alias("size"))
     by = Window.partitionBy("area_id").orderBy(F.desc("size"), "component")
     giant = size.withColumn("giant", F.row_number().over(by) == 1)
-    return out.join(giant, ["area_id", "component"]).select("area_id", "node_id", "component", "size", "giant")
+    return out.join(giant, ["area_id", "label"]).select("area_id", "node_id", "component", "size", "giant")
 
 
 def first_core(spark: SparkSession, d: str) -> DataFrame:
