@@ -175,7 +175,7 @@ m AS (SELECT p.rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(lis
   chars - length(regexp_replace(text, '[!?]', '', 'g')) AS n_shouts FROM p LEFT JOIN cov USING (rid)),
 f AS (SELECT *, n_words < 50 AS f0, 100 * n_repeat_words > 50 * n_words AS f1, 100 * n_symbols > 10 * n_words AS f2,
   100 * n_capitals > 40 * word_chars OR 100 * n_shouts > 30 * n_words AS f3, word_chars > 14 * n_words AS f4, word_chars < 2 * n_words AS f5,
-  n_lines > 3 AND 100 * n_dup_lines > 30 * n_lines AS f6, n_words >= 50 AND 100 * n_distinct < 5 * n_words AS f7 FROM m)
+  n_lines > 3 AND 100 * n_dup_lines > 30 * n_lines AS f6, n_words >= 50 AND 100 * n_distinct < 5 * n_words AS f7 FROM m),
 g AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f0 OR f1 AS base_failed,
   NOT (f0 OR f1 OR f2 OR f3 OR f4 OR f5 OR f6 OR f7) AS kept,
   CAST(f0::INT + 2 * f1::INT + 4 * f2::INT + 8 * f3::INT + 16 * f4::INT + 32 * f5::INT + 64 * f6::INT + 128 * f7::INT AS BIGINT) AS failed FROM f),
