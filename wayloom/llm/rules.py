@@ -155,7 +155,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledgers.withColumn("only_rule", alone("v2")).join(F.broadcast(counts), "only_rule", "left")  # a row a rule
     m = [F.col(f"m.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     base = ~kept("base")
-    return rows.select("doc_id", *m, base.alias("base_failed"), kept("v2").alias("kept"), "failed", "only_rule", "n_only_rule")
+    return rows.select("doc_id", *m, base.alias("base_failed"), kept("v2").alias("kept"), "failed", "only_rule", F.coalesce("n_only_rule", F.lit(0)).cast("long").alias("n_only_rule"))
 
 
 def _oracle() -> str:
@@ -181,7 +181,7 @@ g AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words
   CAST(f0::INT + 2 * f1::INT + 4 * f2::INT + 8 * f3::INT + 16 * f4::INT + 32 * f5::INT + 64 * f6::INT + 128 * f7::INT AS BIGINT) AS failed FROM f),
 o AS (SELECT *, CASE failed WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeats' WHEN 4 THEN 'symbols' WHEN 8 THEN 'shouting' WHEN 16 THEN 'long_words'
   WHEN 32 THEN 'short_words' WHEN 64 THEN 'dup_lines' WHEN 128 THEN 'poor_words' END AS only_rule FROM g)
-SELECT *, CASE WHEN only_rule IS NOT NULL THEN count(*) OVER (PARTITION BY only_rule) END AS n_only_rule FROM o
+SELECT *, CASE WHEN only_rule IS NOT NULL THEN count(*) OVER (PARTITION BY only_rule) ELSE 0 END AS n_only_rule FROM o
 """
 
 
