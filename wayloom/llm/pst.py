@@ -421,7 +421,8 @@ def score(docs: DataFrame, tree: Tree, vocab: DataFrame, id_col: str = "doc_id",
         key = F.when(F.col("w").isNull(), F.col("ctx")).otherwise(_longer(F.col("ctx"), F.col("w")))
         word = F.concat(F.encode(F.concat(F.lit("\t"), kind.cast("string"), F.lit("\t")), "UTF-8"), F.unhex(F.lpad(F.hex(key), 16, "0")))
         facts = facts.union(tree.grams.select(word.alias("word"), F.lit(None).cast("long").alias("c"), "v"))
-    met = parts.join(facts, "word", "left")
+    # a look-up that finds nothing changes nothing; sums by position and by text share one shuffle
+    met = parts.join(facts, "word", "left").where((F.col("kind") == 0) | F.col("fact").isNotNull()).drop("word").repartition("row")
     word, level = F.col("kind") == 0, F.floor(F.col("kind") / 2)
     seen = F.when(word & (F.col("c") > 0), F.col("tf")).otherwise(0).cast("long")
     rest = F.when(word, F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + _ADD) / tree.total)).otherwise(0.0)
