@@ -69,17 +69,19 @@ def arrow_batches(spark: SparkSession, mb: int = 4) -> None:
 _written: dict[str, list[str]] = {}
 
 
-def written(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str = "table", keep: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """Cut lineage by a Parquet table in the shared folder; compressed, unlike a checkpoint.
 
+    ``by`` names columns whose values are folders, so that readers skip those that they don't ask for.
     ``release`` removes it, but for such as are to be kept.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=list(by))
     if not keep:
         _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.parquet(path)
+    # folders don't exist where there is no row, so the schema can't be read from them
+    return (spark.read.schema(df.schema) if by else spark.read).parquet(path)
 
 
 def release(spark: SparkSession) -> int:
