@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayloom.llm import bpe, chat, decontam, fm_quality, line_dedup, pii, pst, rules, simhash, warc
+from wayloom.llm import bpe, chat, decontam, exact_dedup, filter_audit, fm_quality, line_dedup, pii, pst, rules, search, simhash, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -15,10 +15,16 @@ QUERIES = {
     "op8_rules": rules.query,
     "op9_pst": pst.query,
     "op10_decontam": decontam.query,
+    "op11_search": search.query,
+    "op12_exact_dedup": exact_dedup.query,
+    "op13_filter_audit": filter_audit.query,
 }
 ORACLES = {
     "op1_warc": warc.ORACLE,
     "op2_line_dedup": line_dedup.ORACLE,
     "op7_chat": chat.ORACLE,
     "op8_rules": rules.ORACLE,
+    "op11_search": search.ORACLE,
+    "op12_exact_dedup": exact_dedup.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }
