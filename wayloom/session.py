@@ -80,8 +80,8 @@ def written(df: DataFrame, name: str = "table", keep: bool = False, by: tuple[st
     df.write.option("compression", "zstd").parquet(path, partitionBy=list(by))
     if not keep:
         _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    # folders don't exist where there is no row, so the schema can't be read from them
-    return (spark.read.schema(df.schema) if by else spark.read).parquet(path)
+    # with its schema, no file is opened for it, and folders may be missing where there is no row
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> int:
