@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from wayloom.functions import graphs as gr
 from wayloom.jobs import oracles, tables as t
-from wayloom.operators import analysis as an, components, network as nw, scenarios as sc, spatial as sp, statistics as st, traversal as tr
+from wayloom.operators import analysis as an, components, elimination as el, network as nw, scenarios as sc, spatial as sp, statistics as st, strong as sg, traversal as tr, weak as wk
 from wayloom.session import shared_dir, written
 from wayloom.sources import osm, reports
 
@@ -341,10 +341,8 @@ def c2(spark: SparkSession, d: str) -> DataFrame:
 @query("c3_components")
 def c3(spark: SparkSession, d: str) -> DataFrame:
     """Components of all areas at once, by star contraction over the whole table."""
-    key = lambda c: F.xxhash64("area_id", c)
-    n = t.area_nodes(spark, d).select("area_id", "node_id", key("node_id").alias("node"))
-    comp = components.components(t.area_streets(spark, d).select(key("u").alias("a"), key("v").alias("b")))
-    out = n.join(comp, "node", "left").select("area_id", "node_id", F.coalesce("component", "node").alias("label"))
+    comp = components.components(t.key_streets(spark, d))
+    out = t.node_keys(spark, d).join(comp, "node", "left").select("area_id", "node_id", F.coalesce("component", "node").alias("label"))
     size = out.groupBy("area_id", "label").agg(F.min("node_id").alias("component"), F.count("*").alias("size"))
     by = Window.partitionBy("area_id").orderBy(F.desc("size"), "component")
     giant = size.withColumn("giant", F.row_number().over(by) == 1)
@@ -357,8 +355,10 @@ def first_core(spark: SparkSession, d: str) -> DataFrame:
 
 @query("c4_reach")
 def c4(spark: SparkSession, d: str) -> DataFrame:
-    seeds = first_core(spark, d).select("area_id", F.lit(0).alias("scenario"), "node_id")
-    return tr.reached(t.area_arcs(spark, d), seeds)
+    """Nodes that the first core node reaches, and nodes that reach it."""
+    g, seeds = t.time_graph(spark, d), first_core(spark, d)
+    both = [t.searched(x, seeds, t.node_keys(spark, d)).withColumn("backward", F.lit(back)) for x, back in ((g, False), (g.turned(), True))]
+    return el.union(both).select("area_id", F.lit(0).alias("scenario"), "node_id", "backward")
 
 
 @query("c5_strong_components")
@@ -366,50 +366,89 @@ def c5(spark: SparkSession, d: str) -> DataFrame:
     return t.area_parts(spark, d).select("area_id", "node_id", "scc", "core")
 
 
+def hops(spark: SparkSession, d: str, sources: DataFrame) -> DataFrame:
+    found = t.searched(t.hop_graph(spark, d), sources.select("area_id", "node_id"), t.node_keys(spark, d))
+    return found.select("area_id", "node_id", F.col("d").cast("int").alias("hops"))
+
+
 @query("c6_hops_from_one")
 def c6(spark: SparkSession, d: str) -> DataFrame:
-    return tr.hops(t.area_streets(spark, d), first_core(spark, d))
+    return hops(spark, d, first_core(spark, d))
+
+
+@t.table
+def gate_hops(spark: SparkSession, d: str) -> DataFrame:
+    return hops(spark, d, t.gates(spark, d))
 
 
 @query("c7_hops_to_gateways")
 def c7(spark: SparkSession, d: str) -> DataFrame:
-    return tr.hops(t.area_streets(spark, d), t.gates(spark, d).select("area_id", "node_id"))
+    return gate_hops(spark, d)
 
 
 @t.table
 def od(spark: SparkSession, d: str) -> DataFrame:
-    nodes = nw.projected(t.area_nodes(spark, d).select("area_id", "node_id", "lat", "lon"), t.area_centres(spark, d))
-    return an.od_pairs(t.graph(spark, d), nodes)
+    """``area_id, rule, o, d``: extreme x + y among well-joined core nodes, extreme x in a window of y, double sweep."""
+    core = t.area_parts(spark, d).where("core").select("area_id", "node_id")
+    places = nw.projected(t.area_nodes(spark, d).select("area_id", "node_id", "lat", "lon"), t.area_centres(spark, d)).select("area_id", "node_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    at = core.join(nw.node_degrees(t.area_streets(spark, d)), ["area_id", "node_id"]).join(places, ["area_id", "node_id"])
+
+    def extreme(rows: DataFrame, score, rule: str) -> DataFrame:
+        top, low = F.min_by("node_id", F.struct(-score, "node_id")), F.min_by("node_id", F.struct(score, "node_id"))
+        return rows.groupBy("area_id").agg(F.lit(rule).alias("rule"), top.alias("o"), low.alias("d"))
+
+    def farthest(start: DataFrame) -> DataFrame:
+        found = t.searched(t.time_graph(spark, d), start, t.node_keys(spark, d)).join(core, ["area_id", "node_id"], "left_semi")
+        return written(found.groupBy("area_id").agg(F.min_by("node_id", F.struct(-F.round("d", 6), "node_id")).alias("node_id")), "far")
+
+    middle = at.join(at.groupBy("area_id").agg(F.round(F.avg("y"), 6).alias("mid")), "area_id").where("y > mid")
+    one = farthest(first_core(spark, d))
+    two = farthest(one).withColumnRenamed("node_id", "d")
+    sweep = one.join(two, "area_id").select("area_id", F.lit("sweep"), F.col("node_id"), "d")
+    return extreme(at.where("degree >= 3"), F.round(F.col("x") + F.col("y"), 5), "corner").union(extreme(middle, F.col("x"), "window")).union(sweep)
 
 
 @t.table
-def rounds(spark: SparkSession, d: str) -> DataFrame:
-    """Times from the origin of every rule, by rounds of relaxation."""
-    return tr.relax(t.area_arcs(spark, d), od(spark, d).select("area_id", "rule", "o", F.col("o").alias("node_id")))
+def od_times(spark: SparkSession, d: str) -> DataFrame:
+    """``area_id, rule, node_id, time_s``: times from the origin of every rule."""
+    start = od(spark, d).select("area_id", "rule", F.col("o").alias("node_id"))
+    return t.searched(t.time_graph(spark, d), start, t.node_keys(spark, d)).withColumnRenamed("d", "time_s")
 
 
 @query("c8_shortest_times")
 def c8(spark: SparkSession, d: str) -> DataFrame:
-    return rounds(spark, d).select("area_id", "rule", "o", "node_id", r6("time_s"))
+    return od_times(spark, d).join(od(spark, d).select("area_id", "rule", "o"), ["area_id", "rule"]).select("area_id", "rule", "o", "node_id", r6("time_s", 5))
 
 
 @query("c9_relaxation_check")
 def c9(spark: SparkSession, d: str) -> DataFrame:
-    """Times by rounds of joins against those by a heap for each origin."""
-    key = ["area_id", "rule", "o", "node_id"]
-    heap = an.shortest_times(t.graph(spark, d), od(spark, d)).select(*key, F.col("time_s").alias("heap_s"))
-    both = heap.join(rounds(spark, d), key, "full")
-    return both.groupBy("area_id", "rule").agg(F.count("*").alias("nodes"), F.count_if(F.abs(F.col("heap_s") - F.col("time_s")) < 1e-6).alias("equal"))
+    """Times over eliminated nodes against those by plain rounds of relaxation."""
+    plain = tr.relax(t.area_arcs(spark, d), od(spark, d).select("area_id", "rule", F.col("o").alias("node_id")))
+    key = ["area_id", "rule", "node_id"]
+    both = od_times(spark, d).join(plain.select(*key, F.col("time_s").alias("plain_s")), key, "full")
+    return both.groupBy("area_id", "rule").agg(F.count("*").alias("nodes"), F.count_if(F.abs(F.col("plain_s") - F.col("time_s")) < 1e-6).alias("equal"))
 
 
 @t.table
-def all_routes(spark: SparkSession, d: str) -> DataFrame:
-    return an.routes(t.graph(spark, d), od(spark, d))
+def od_paths(spark: SparkSession, d: str) -> DataFrame:
+    """``area_id, rule, pos, node_id``: the nodes of each rule's least-time path in order."""
+    search = F.concat_ws("/", "area_id", "rule").alias("search")
+    keys = t.node_keys(spark, d)
+    dist = written(od_times(spark, d).join(keys, ["area_id", "node_id"]).select(search, "node", F.col("time_s").alias("d")), "dist")
+    ends = t.keyed(od(spark, d).withColumnRenamed("d", "node_id"), keys, node="node_id").join(dist.select("search", "node"), ["node"]).where(F.col("search") == F.concat_ws("/", "area_id", "rule"))
+    legs = el.paths(el.predecessors(dist, t.key_arcs(spark, d)), ends.select("search", "node"))
+    named = od(spark, d).select(search, "rule")
+    return legs.join(named, "search").join(keys, "node").select("area_id", "rule", F.col("pos").cast("int").alias("pos"), "node_id")
 
 
 @query("c10_shortest_paths")
 def c10(spark: SparkSession, d: str) -> DataFrame:
-    return all_routes(spark, d).select("area_id", "rule", F.posexplode("path").alias("pos", "node_id"))
+    return od_paths(spark, d)
+
+
+@t.table
+def all_routes(spark: SparkSession, d: str) -> DataFrame:
+    return an.routes(t.graph(spark, d), od(spark, d))
 
 
 @query("c11_alternative_routes")
@@ -427,12 +466,33 @@ def c12(spark: SparkSession, d: str) -> DataFrame:
 
 @t.table
 def weak(spark: SparkSession, d: str) -> DataFrame:
-    return an.weak_points(t.graph(spark, d))
+    """``area_id, what, lo, hi``; an articulation has its node twice."""
+    pairs, tour = t.street_structure(spark, d)
+    found = wk.bridges(pairs, tour).select(F.lit("bridge").alias("what"), "lo", "hi")
+    found = found.union(wk.articulations(pairs, tour).select(F.lit("articulation"), "node", F.col("node")))
+    return t.named(found, t.node_keys(spark, d)).select("area_id", "what", "lo", "hi")
+
+
+def core_closures(core: DataFrame, streets: DataFrame) -> DataFrame:
+    """``group, lo, hi``: pairs with a street and nodes (twice) of the cores ``(group, node)``."""
+    inside = lambda c: core.select(F.col("node").alias(c))
+    pairs = streets.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
+    pairs = pairs.join(core.withColumnRenamed("node", "lo"), "lo").join(inside("hi"), "hi", "left_semi")
+    return pairs.select("group", "lo", "hi").union(core.select("group", "node", "node"))
+
+
+def keyed_core(parts: DataFrame, keys: DataFrame) -> DataFrame:
+    return written(parts.where("core").join(keys, ["area_id", "node_id"]).select(F.col("area_id").alias("group"), "node"), "core")
 
 
 @t.table
 def strong(spark: SparkSession, d: str) -> DataFrame:
-    return an.strong_points(t.graph(spark, d))
+    """``area_id, what, lo, hi`` of the strong cores."""
+    keys = t.node_keys(spark, d)
+    core = keyed_core(t.area_parts(spark, d), keys)
+    found = sg.breaking_closures(t.time_graph(spark, d), t.key_arcs(spark, d), core, core_closures(core, t.key_streets(spark, d)))
+    what = F.when(F.col("lo") == F.col("hi"), "articulation").otherwise("bridge")
+    return t.named(found.select(what.alias("what"), "lo", "hi"), keys).select("area_id", "what", "lo", "hi")
 
 
 @query("w1_bridges")
@@ -467,9 +527,32 @@ def w5(spark: SparkSession, d: str) -> DataFrame:
     return crossed(spark, d).groupBy("area_id", "what", "kind").agg(F.count("*").alias("n"))
 
 
+@t.table
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    """``area_id, node_id, dist, gate, place, n``: the giant component of each area with gateways; inner nodes in the order of their hops from them."""
+    gates = t.gates(spark, d).select("area_id", "node_id", F.lit(True).alias("gate"))
+    giant = t.area_parts(spark, d).where("giant").join(gates.select("area_id").distinct(), "area_id", "left_semi").select("area_id", "node_id")
+    rows = giant.join(gates, ["area_id", "node_id"], "left").join(gate_hops(spark, d), ["area_id", "node_id"], "left")
+    rows = rows.select("area_id", "node_id", F.coalesce("hops", F.lit(0)).alias("dist"), F.coalesce("gate", F.lit(False)).alias("gate"))
+    size = giant.groupBy("area_id").agg(F.count("*").alias("n"))
+    by = Window.partitionBy("area_id", "gate").orderBy(F.desc("dist"), "node_id")
+    return rows.withColumn("place", F.when(~F.col("gate"), F.row_number().over(by))).join(size, "area_id")
+
+
+def within_fraction(frac: float):
+    """Whether a candidate is in the source region of a fraction of its area's nodes."""
+    return F.coalesce(F.col("place") <= F.greatest(F.lit(1), F.bround(F.lit(frac) * F.col("n"))), F.lit(False))
+
+
 @t.table
 def lone_cuts(spark: SparkSession, d: str) -> DataFrame:
-    return an.single_cuts(t.graph(spark, d), FRACTIONS)
+    """``area_id, frac, lo, hi, side, side_pct``: streets that alone part the source region from all gateways."""
+    pairs, tour = t.street_structure(spark, d)
+    keys = t.node_keys(spark, d)
+    nodes = candidates(spark, d).join(keys, ["area_id", "node_id"]).join(tour.select("node", "top"), "node")
+    found = wk.single_cuts(pairs, tour, nodes, {str(i): within_fraction(f) for i, f in enumerate(FRACTIONS)})
+    frac = F.element_at(F.array(*map(F.lit, FRACTIONS)), F.col("pick").cast("int") + 1)
+    return t.named(found, keys).select("area_id", frac.alias("frac"), "lo", "hi", F.col("side").cast("long").alias("side"), F.round(100 * F.col("side") / F.col("n"), 1).alias("side_pct"))
 
 
 @query("w6_single_street_cuts")
@@ -566,7 +649,7 @@ def f2(spark: SparkSession, d: str) -> DataFrame:
 
 @t.table
 def regions(spark: SparkSession, d: str) -> DataFrame:
-    return an.source_regions(t.graph(spark, d), FRACTION)
+    return candidates(spark, d).where(within_fraction(FRACTION)).select("area_id", "node_id", "dist")
 
 
 @query("f3_split_capacities")
@@ -716,7 +799,11 @@ def x2(spark: SparkSession, d: str) -> DataFrame:
 def indicators(spark: SparkSession, d: str, clip: str) -> DataFrame:
     nodes_ = t.area_nodes(spark, d) if clip == "polygon" else box_nodes(spark, d)
     s, a = sp.clip(t.streets(spark, d), t.arcs(spark, d), nodes_)
-    parts = written(sc.per_area(sc.graph_rows(nodes_.withColumn("flags", F.lit(1)), a, s), t.parts, "node_id long, component long, scc long, giant boolean, core boolean"), "parts")
+    keys = written(t.numbered(nodes_), "keys")
+    ends = lambda x, **names: t.keyed(x.withColumnsRenamed({"u": "from", "v": "to"}), keys, **names)
+    by_key = written(ends(s, a="from", b="to").select("a", "b"), "streets")
+    g = el.eliminate(ends(a, u="from", v="to").select("u", "v", F.col("time_s").alias("w")))
+    parts = written(t.flagged_parts(keys, by_key, g), "parts")
     out = sp.gateways(t.streets(spark, d), nodes_, t.within_margin(spark, d))
     gates = out.join(parts.where("giant"), ["area_id", "node_id"], "left_semi")
     g = written(sc.graph_rows(t.flagged(nodes_, parts, gates), a, s), "clip")
@@ -986,7 +1073,8 @@ def r4(spark: SparkSession, d: str) -> DataFrame:
 @query("r5_route_lines")
 def r5(spark: SparkSession, d: str) -> DataFrame:
     """Points of the streets along each route, in travel order."""
-    legs = all_routes(spark, d).select("area_id", "rule", "path", F.posexplode("path").alias("pos", "a")).withColumn("b", F.get("path", F.col("pos") + 1)).where("b is not null").drop("path")
+    p = od_paths(spark, d)
+    legs = p.withColumnRenamed("node_id", "a").join(p.select("area_id", "rule", (F.col("pos") - 1).alias("pos"), F.col("node_id").alias("b")), ["area_id", "rule", "pos"])
     s = t.area_streets(spark, d)
     by = Window.partitionBy("area_id", "u", "v").orderBy("time_s", "street_id")
     lines = s.where("fwd").select("area_id", "u", "v", "time_s", "street_id", "path").union(s.where("bwd").select("area_id", "v", "u", "time_s", "street_id", F.reverse("path")))

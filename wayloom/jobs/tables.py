@@ -8,13 +8,14 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wayloom.functions import fixture, graphs as gr
-from wayloom.operators import network, spatial
-from wayloom.operators.scenarios import graph_rows, per_area
+from wayloom.operators import components as cc, elimination as el, network, spatial, strong, weak
+from wayloom.operators.scenarios import graph_rows
 from wayloom.session import written
 
 MARGIN_M = 300.0
 RADII = (0, 200, 400, 800)
 _kept: dict[tuple, DataFrame] = {}
+_sizes: dict[tuple, int] = {}
 
 
 def table(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -110,22 +111,112 @@ def exits(spark: SparkSession, sf_dir: str, margin_m: float = MARGIN_M) -> DataF
     return spatial.gateways(streets(spark, sf_dir), area_nodes(spark, sf_dir), within_margin(spark, sf_dir, margin_m))
 
 
-def parts(g: gr.AreaGraph) -> list[tuple]:
-    """Component and strong component of every node, and the flags of the largest of each."""
-    comps = gr.components(g.n, zip(g.su, g.sv))
-    strong = gr.strong_components(g.n, zip(g.au, g.av))
-    label = {u: c[0] for c in comps for u in c}
-    scc = {u: c[0] for c in strong for u in c}
-    giant, core = (set(x[0]) if x else set() for x in (comps, strong))
-    ids = g.ids.tolist()
-    return [(ids[u], ids[label[u]], ids[scc[u]], u in giant, u in core) for u in range(g.n)]
+@table
+def node_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``area_id, node_id, node``: one number for each area's node, in the order of both."""
+    return numbered(area_nodes(spark, sf_dir))
+
+
+def numbered(nodes_: DataFrame) -> DataFrame:
+    """Numbers come from sorted ranges, so the result has to be written before it is used twice."""
+    order = ["area_id", "node_id"]
+    return nodes_.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id())
+
+
+def keyed(ends: DataFrame, keys: DataFrame, **names: str) -> DataFrame:
+    """``ends`` with the number of each column of node ids that is named."""
+    for name, col in names.items():
+        ends = ends.join(keys.select("area_id", F.col("node_id").alias(col), F.col("node").alias(name)), ["area_id", col])
+    return ends
+
+
+def named(pairs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``pairs (lo, hi, ...)`` of numbers as pairs of an area's node ids."""
+    at = lambda c: keys.select("area_id", F.col("node_id").alias(f"_{c}"), F.col("node").alias(c))
+    both = pairs.join(at("lo"), "lo").join(at("hi"), ["area_id", "hi"]).drop("lo", "hi")
+    return both.withColumnsRenamed({"_lo": "lo", "_hi": "hi"})
+
+
+@table
+def key_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``area_id, a, b``: streets by the numbers of their ends."""
+    own = area_streets(spark, sf_dir).select("area_id", F.col("u").alias("from"), F.col("v").alias("to"))
+    return keyed(own, node_keys(spark, sf_dir), a="from", b="to").select("area_id", "a", "b")
+
+
+@table
+def key_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``u, v, w``: arcs by the numbers of their ends, with their times."""
+    own = area_arcs(spark, sf_dir).select("area_id", F.col("u").alias("from"), F.col("v").alias("to"), F.col("time_s").alias("w"))
+    return keyed(own, node_keys(spark, sf_dir), u="from", v="to").select("u", "v", "w")
+
+
+def _kept_graph(spark: SparkSession, sf_dir: str, name: str, arcs_: Callable[[], DataFrame]) -> el.Eliminated:
+    """A graph's elimination, written once a session and input, a folder a level."""
+    at = lambda what: (spark.sparkContext.applicationId, sf_dir, f"{name}_{what}")
+    if at("core") not in _kept:
+        g = el.eliminate(arcs_())
+        own = [x.withColumn("level", F.lit(i)) for i, x in enumerate(g.levels)]
+        none = g.core.select(F.col("u").alias("node"), F.col("v").alias("other"), "w", F.lit(True).alias("out"), F.lit(-1).alias("level")).limit(0)
+        _kept[at("levels")] = written(el.union([none, *own]), f"{name}-levels", keep=True, by=("level",))
+        _kept[at("core")] = written(g.core, f"{name}-core", keep=True)
+        _sizes[at("core")] = len(g.levels)
+    levels = _kept[at("levels")]
+    return el.Eliminated(tuple(levels.where(F.col("level") == i).drop("level") for i in range(_sizes[at("core")])), _kept[at("core")])
+
+
+def time_graph(spark: SparkSession, sf_dir: str) -> el.Eliminated:
+    """Arcs with their times."""
+    return _kept_graph(spark, sf_dir, "time_graph", lambda: key_arcs(spark, sf_dir))
+
+
+def hop_graph(spark: SparkSession, sf_dir: str) -> el.Eliminated:
+    """Streets both ways, each of length one."""
+    s = key_streets(spark, sf_dir)
+    return _kept_graph(spark, sf_dir, "hop_graph", lambda: s.select(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(1.0).alias("w")).union(s.select("b", "a", F.lit(1.0))))
+
+
+def searched(g: el.Eliminated, sources: DataFrame, keys: DataFrame) -> DataFrame:
+    """Columns of ``sources (area_id, node_id, ...)`` but its node, with ``node_id`` and ``d`` of all nodes reached; other columns tell searches apart."""
+    extra = [c for c in sources.columns if c not in ("area_id", "node_id")]
+    own = keyed(sources, keys, node="node_id")
+    found = el.distances(g, own.select(F.concat_ws("/", "area_id", *extra).alias("search"), "node", F.lit(0.0).alias("d")))
+    names = own.select(F.concat_ws("/", "area_id", *extra).alias("search"), *extra).distinct()
+    out = found.join(keys, "node").join(names, "search")
+    return out.select("area_id", *extra, "node_id", "d")
+
+
+def flagged_parts(keys: DataFrame, streets_: DataFrame, g: el.Eliminated) -> DataFrame:
+    """``area_id, node_id, component, scc, giant, core`` of numbered nodes: components by star contraction, strong ones by elimination."""
+    comp, scc = cc.components(streets_), strong.strong_components(g).withColumnRenamed("scc", "_scc")
+    rows = keys.join(comp.withColumnRenamed("component", "_component"), "node", "left").join(scc, "node", "left")
+    rows = written(rows.select("area_id", "node_id", *[F.coalesce(c, "node").alias(c) for c in ("_component", "_scc")]), "labels")
+    for label, flag in (("_component", "giant"), ("_scc", "core")):
+        # of the parts of an area the largest, and of such the one with the smallest number
+        size = rows.groupBy("area_id", label).agg(F.count("*").alias("size"), F.min("node_id").alias(label[1:]))
+        most = size.groupBy("area_id").agg(F.min_by(label, F.struct(-F.col("size"), label)).alias("most"))
+        rows = rows.join(size.drop("size").join(most, "area_id").select("area_id", label, label[1:], (F.col(label) == F.col("most")).alias(flag)), ["area_id", label])
+    return rows.select("area_id", "node_id", "component", "scc", "giant", "core")
 
 
 @table
 def area_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``area_id, node_id, component, scc, giant, core``."""
-    rows = graph_rows(area_nodes(spark, sf_dir).withColumn("flags", F.lit(gr.INSIDE)), area_arcs(spark, sf_dir), area_streets(spark, sf_dir))
-    return per_area(rows, parts, "node_id long, component long, scc long, giant boolean, core boolean")
+    return flagged_parts(node_keys(spark, sf_dir), key_streets(spark, sf_dir), time_graph(spark, sf_dir))
+
+
+def street_structure(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs of nodes with their numbers of streets, and the tour of a spanning forest of all areas."""
+    return tuple(fn(spark, sf_dir) for fn in (_pairs, _tour))
+
+
+@table
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak.pairs_of(key_streets(spark, sf_dir))
+
+
+@table
+def _tour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak.tour_of(_pairs(spark, sf_dir))
 
 
 @table

@@ -21,10 +21,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from wayloom.session import cut
+from wayloom.session import written
 
 #: Most arcs that the removal of a node may add, beyond those that it takes away.
 FILL = 12
+#: Arcs from which on a round is worth its while even if it takes a fiftieth of them.
+LARGE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -58,20 +60,21 @@ def _independent(arcs: DataFrame, turn: int, fill: int) -> DataFrame:
 def eliminate(arcs: DataFrame, fill: int = FILL, max_rounds: int = 400) -> Eliminated:
     """Rounds until few nodes can go; what is then left is searched by rounds over arcs that reach far."""
     least = lambda rows: rows.groupBy("u", "v").agg(F.min("w").alias("w"))
-    now, levels = cut(least(arcs.where("u <> v").select("u", "v", F.col("w").cast("double").alias("w")))), []
+    now, levels = written(least(arcs.where("u <> v").select("u", "v", F.col("w").cast("double").alias("w")))), []
     for turn in range(max_rounds):
         gone = _independent(now, turn, fill)
         at = lambda c: gone.select(F.col("node").alias(c), F.lit(True).alias(f"gone_{c}"))  # noqa: E731, B023
         out = F.col("gone_u").isNotNull()
         node, other = F.when(out, F.col("u")).when(F.col("gone_v"), F.col("v")), F.when(out, F.col("v")).otherwise(F.col("u"))
-        marked = cut(now.join(at("u"), "u", "left").join(at("v"), "v", "left").select("u", "v", "w", node.alias("node"), other.alias("other"), out.alias("out")))
+        marked = written(now.join(at("u"), "u", "left").join(at("v"), "v", "left").select("u", "v", "w", node.alias("node"), other.alias("other"), out.alias("out")))
         size, taken = marked.agg(F.count("*"), F.count("node")).first()
-        if taken * 50 < size or not size:
+        # rounds over few rows cost as much as those over a core that is left, so they stop earlier
+        if taken * (50 if size > LARGE else 5) < size or not size:
             break
         level = marked.where("node is not null").select("node", "other", "w", "out")
         around = level.where("not out").select("node", F.col("other").alias("u"), F.col("w").alias("w1"))
         around = around.join(level.where("out").select("node", F.col("other").alias("v"), F.col("w").alias("w2")), "node").where("u <> v").select("u", "v", (F.col("w1") + F.col("w2")).alias("w"))
-        now = cut(least(marked.where("node is null").select("u", "v", "w").union(around)))
+        now = written(least(marked.where("node is null").select("u", "v", "w").union(around)))
         levels.append(level)
     return Eliminated(tuple(levels), now)
 
@@ -79,16 +82,16 @@ def eliminate(arcs: DataFrame, fill: int = FILL, max_rounds: int = 400) -> Elimi
 def _up(g: Eliminated, sources: DataFrame, max_rounds: int) -> DataFrame:
     """Distances over arcs to later levels and those of the core, by rounds over what has improved."""
     arcs = [x.where("out").select(F.col("node").alias("u"), F.col("other").alias("v"), "w") for x in g.levels]
-    arcs = cut(union([g.core.select("u", "v", "w"), *arcs]))
+    arcs = written(union([g.core.select("u", "v", "w"), *arcs]))
     key, least = ["search", "node"], lambda c: F.min(c).alias(c)
-    best = cut(sources.groupBy(*key).agg(F.min("d").cast("double").alias("d")).withColumn("moved", F.lit(True)))
+    best = written(sources.groupBy(*key).agg(F.min("d").cast("double").alias("d")).withColumn("moved", F.lit(True)))
     for _ in range(max_rounds):
         front = best.where("moved").withColumnRenamed("node", "u")
         if front.isEmpty():
             return best.drop("moved")
         step = front.join(arcs, "u").select("search", F.col("v").alias("node"), (F.col("d") + F.col("w")).alias("d"), F.lit(None).cast("double").alias("old"))
         both = best.select(*key, "d", F.col("d").alias("old")).union(step).groupBy(*key).agg(least("d"), least("old"))
-        best = cut(both.select(*key, "d", F.expr("old is null or d < old").alias("moved")))
+        best = written(both.select(*key, "d", F.expr("old is null or d < old").alias("moved")))
     raise RuntimeError("distances did not settle")
 
 
@@ -101,7 +104,7 @@ def distances(g: Eliminated, sources: DataFrame, max_rounds: int = 2000) -> Data
         found = ins.join(union(settled).withColumnRenamed("node", "other"), "other").groupBy("search", "node").agg(F.min(F.col("d") + F.col("w")).alias("new"))
         # of a node that the way up has met, the smaller distance counts
         better = found.join(best, ["search", "node"], "left").select("search", "node", F.when(F.col("d") <= F.col("new"), None).otherwise(F.col("new")).alias("d"))
-        settled.append(cut(better.where("d is not null")))
+        settled.append(written(better.where("d is not null")))
     return union(settled).groupBy("search", "node").agg(F.min("d").alias("d"))
 
 
@@ -118,16 +121,16 @@ def paths(forest: DataFrame, targets: DataFrame, max_rounds: int = 60) -> DataFr
 
     ``forest (search, node, before)``, ``targets (search, node)``: one of a search.
     """
-    jump = cut(forest)
-    found = cut(targets.select("search", "node", F.lit(0).cast("long").alias("back")))
+    jump = written(forest)
+    found = written(targets.select("search", "node", F.lit(0).cast("long").alias("back")))
     span = 1
     for _ in range(max_rounds):
-        ahead = cut(found.join(jump, ["search", "node"]).select("search", F.col("before").alias("node"), (F.col("back") + span).alias("back")))
+        ahead = written(found.join(jump, ["search", "node"]).select("search", F.col("before").alias("node"), (F.col("back") + span).alias("back")))
         if ahead.isEmpty():
             break
-        found = cut(found.union(ahead))
+        found = written(found.union(ahead))
         far = jump.select("search", F.col("node").alias("before"), F.col("before").alias("before2"))
-        jump = cut(jump.join(far, ["search", "before"]).select("search", "node", F.col("before2").alias("before")))
+        jump = written(jump.join(far, ["search", "before"]).select("search", "node", F.col("before2").alias("before")))
         span *= 2
     else:
         raise RuntimeError("the paths are no paths of a forest")
