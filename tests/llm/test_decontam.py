@@ -1,7 +1,6 @@
+import itertools
 import random
 
-import pytest
-
 from wayloom.llm import decontam as dc
 
 ITEM = "A train leaves the old station with 120 people and after 3 hours it has covered 240 km while Maria waits at home for 3 letters"
@@ -128,8 +127,20 @@ def test_short_and_slot_heavy_items(spark):
     assert got == {0: [0], 1: [1], 2: [2], 5: [3]} and {r.doc_id for r in kept.collect()} == {3, 4}
 
 
-@pytest.mark.parametrize("shared", [dc.SHARED, 1000])
-def test_common_preamble(spark, shared):
+def test_templated_benchmark(spark):
+    """Each of many items is found whose windows all are those of other items, too."""
+    rng = random.Random(3)
+    slots = [["red", "blue", "green"], ["north", "south", "east"], ["apple", "pear", "plum"], ["slow", "quick", "steady"]]
+    text = lambda pick: "a {} cart went {} along the road that leads past the market with a load of {} and came back by {} steps at the end of day".format(*pick)
+    every = [text(p) for p in itertools.product(*slots)]
+    items = spark.createDataFrame(list(enumerate(every)), "item_id long, text string")
+    asked = rng.sample(range(len(every)), 30)
+    docs = spark.createDataFrame([(k, f"before {k} there was this : {every[i]} and then {k} more came") for k, i in enumerate(asked)], "doc_id long, text string")
+    got = {int(r.id): r.item_ids for r in dc.contaminated(docs, items).collect()}
+    assert all(i in got[k] for k, i in enumerate(asked))
+
+
+def test_common_preamble(spark):
     """Many items with one preamble: what they share is reported once, what is an item's own for that item."""
     lead = "Read the passage below with care and then choose the one best answer to the question that comes after it:"
     tails = [f"alpha{i} beta{i} gamma{i} delta{i}" for i in range(40)]
@@ -137,10 +148,10 @@ def test_common_preamble(spark, shared):
     docs = spark.createDataFrame([(1, lead), (2, f"{lead} {tails[7]}"), (3, tails[7])], "doc_id long, text string")
     ids = {r.item: r.item_id for r in items.selectExpr("xxhash64(text) AS item", "item_id").collect()}
     got = {}
-    for r in dc.matches(docs, items, shared=shared).collect():
+    for r in dc.matches(docs, items).collect():
         got.setdefault(int(r.id), {})[ids[r.item]] = r.words
     assert 3 not in got and got[2][7] == 24
-    assert len(got[1]) == (1 if shared == dc.SHARED else 40)
+    assert len(got[1]) == 40
 
 
 def test_null_and_repeated_ids(spark):

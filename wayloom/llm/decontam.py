@@ -20,11 +20,10 @@ or names is therefore caught, different uses of one value are not.
 An item with fewer words than a window is one window as a whole.  With fewer than
 ``LEAST`` words it has to be the whole text.
 
-A window that more than ``SHARED`` items have, such as a fixed preamble, is met in
-one of them at first, the one with the smallest hash, so that no text is expanded
-into all of them; alignments that have a window of an item's own get its shared
-windows too.  A text that holds nothing but what such items share is reported with
-that one item.
+A window that several items have, such as a fixed preamble or a template's words, is met
+in each of them: every item that a text holds is found, however many share its windows.
+Rows on the way are those of texts' windows and the items that have them, so a long
+passage of many items costs as many rows as the result has items.
 
 Texts are keyed by id and text, items by text: null ids take part, ids that repeat
 with other texts are told apart, and rows that repeat both share their result.
@@ -53,8 +52,6 @@ LITERALS = 4
 COVER = 13
 #: Items of fewer words have to be a whole text.
 LEAST = 3
-#: Items that a window is met in one by one.
-SHARED = 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 # fixed values: measuring units that count as such after a number
 UNITS = frozenset(
@@ -247,28 +244,13 @@ def _covered(ats: Column) -> Column:
     return F.aggregate(ats, begin, step)["n"]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", shared: int = SHARED) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, th, item, words)``: items, by the hash of their text, that a text holds, and the words that the best alignment covers."""
     texts = benchmark.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("item"), F.col(text).alias("text")).dropDuplicates(["item"])
     items = written(windows(texts, ["item"]), "items")
     short = tuple(sorted(r["width"] for r in items.where(F.col("width") < WINDOW).select("width").distinct().collect()))
     found = written(windows(_keyed(docs, id_col, text), ["id", "th"], bloom_filter(items), short), "found")
-    many = items.groupBy("hash", "width", "form").agg(F.count_distinct("item").alias("n"), F.min("item").alias("item")).where(F.col("n") > shared)
-    many = written(many.select("hash", "width", "form", "item"), "many")
-    window = ["hash", "width", "form"]
-    own, common = items.join(many.drop("item"), window, "left_anti"), items.join(many.drop("item"), window, "left_semi")
-    met = _aligned(found, own)
-    first = _aligned(found, common.join(many, [*window, "item"], "left_semi"))
-    # the shared windows of alignments that have one of an item's own
-    cols = [F.col(f"items.{c}") for c in ("hash", "width", "form", "slots", "n_words")]
-    asked = met.select(*_ALIGNED).distinct().join(common.alias("items"), "item").select(*_ALIGNED, F.col("pos").alias("at"), *cols)
-    there = found.join(many.drop("item"), window, "left_semi").select(F.col("id").alias("_id"), F.col("th").alias("_th"), *[F.col(c).alias(f"_{c}") for c in (*window, "pos", "slots")])
-    same_row = F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")) & (F.col("at") + F.col("shift") == F.col("_pos"))
-    extra = asked.join(there, same_row & (F.col("hash") == F.col("_hash")) & (F.col("width") == F.col("_width")) & (F.col("form") == F.col("_form"))).select(
-        *_ALIGNED, F.col("n_words").alias("item_words"), "form", "at",
-        ((F.col("form") == WORDS) | (F.col("slots") == F.col("_slots"))).alias("same"), F.arrays_zip(F.col("slots").alias("want"), F.col("_slots").alias("have")).alias("pairs"),
-    )
-    met = met.union(first.select(met.columns)).union(extra.select(met.columns))
+    met = _aligned(found, items)
     # a group is at most the windows of one item
     at = lambda cond: F.collect_set(F.when(cond, F.col("at")))
     pairs = lambda form: F.array_distinct(F.flatten(F.collect_set(F.when(F.col("form") == form, F.col("pairs")))))
