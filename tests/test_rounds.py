@@ -148,3 +148,23 @@ def test_breaking_closures(spark, rng, n, m):
 
     got = strong.breaking_closures(g, table, spark.createDataFrame(core, "group long, node long"), spark.createDataFrame(closures, "group long, lo long, hi long")).collect()
     assert {tuple(r) for r in got} == {c for c in closures if broken(*c)}
+
+
+def test_single_cuts(spark):
+    """A chain of two rings and a tail: bridges part sources from gates or not, whichever side is below."""
+    ring = lambda x: [(x, x + 1), (x + 1, x + 2), (x + 2, x)]
+    edges = [*ring(0), (2, 10), (10, 11), (11, 11), *ring(20), (11, 20), (21, 30), (2, 40)]
+    sources, gates = {"a": {0, 1}, "b": {30}, "c": {0, 40}, "d": {20}}, {22, 30}
+    nodes = sorted({x for e in edges for x in e})
+    flags = [(x, x in gates, *[x in s for s in sources.values()]) for x in nodes]
+    pairs, tour = weak.structure(spark.createDataFrame(edges, "a long, b long"))
+    table = spark.createDataFrame(flags, "node long, gate boolean, a boolean, b boolean, c boolean, d boolean").join(tour.select("node", "top"), "node")
+    got = {tuple(r) for r in weak.single_cuts(pairs, tour, table, {k: F.col(k) for k in sources}).collect()}
+    want = set()
+    for k, own in sources.items():
+        for lo, hi in {tuple(sorted(e)) for e in edges if e[0] != e[1]}:
+            label = together(nodes, [e for e in edges if tuple(sorted(e)) != (lo, hi)])
+            side = {x for x in nodes if label[x] in {label[s] for s in own}}
+            if not side & gates:
+                want.add((k, lo, hi, len(side), len(nodes)))
+    assert want and got == want

@@ -265,3 +265,36 @@ ORACLES["r3_cross_table"] = (
     "SELECT area_id, what, kind, coalesce(n, 0) AS n FROM (SELECT DISTINCT area_id FROM (" + ORACLES["p9_polygon_box"] + ")) CROSS JOIN (VALUES ('bridge'), ('articulation')) a(what) "
     f"CROSS JOIN (VALUES ('both'), ('strong_only'), ('weak_only')) b(kind) LEFT JOIN ({ORACLES['w5_weak_by_strong']}) USING (area_id, what, kind)"
 )
+
+
+# least times by rounds of relaxation; a key keeps its last row
+_OD = """,
+mt AS (SELECT area_id, u, v, min(time_s) AS w FROM aar WHERE u <> v GROUP BY 1, 2, 3),
+xy AS (SELECT an.area_id, an.node_id, round((lon - lon0) * cos(radians(lat0)) * 111320.0, 6) AS x, round((lat - lat0) * 110540.0, 6) AS y,
+    (SELECT count(*) FROM ast WHERE ast.area_id = an.area_id AND (u = an.node_id OR v = an.node_id)) AS degree
+  FROM an SEMI JOIN core USING (area_id, node_id) JOIN nn USING (node_id) JOIN ctr ON ctr.area_id = an.area_id),
+mid AS (SELECT area_id, round(avg(y), 6) AS mid FROM xy WHERE degree > 0 GROUP BY 1),
+f0 AS (SELECT area_id, min(node_id) AS node_id FROM core GROUP BY 1),
+s1(area_id, node_id, t) USING KEY (area_id, node_id) AS (SELECT area_id, node_id, 0.0::DOUBLE FROM f0 UNION SELECT mt.area_id, mt.v, min(s1.t + mt.w)
+  FROM s1 JOIN mt ON mt.area_id = s1.area_id AND mt.u = s1.node_id LEFT JOIN recurring.s1 r ON r.area_id = mt.area_id AND r.node_id = mt.v WHERE r.t IS NULL OR s1.t + mt.w < r.t GROUP BY 1, 2),
+f1 AS (SELECT area_id, arg_min(node_id, (-round(t, 6), node_id)) AS node_id FROM s1 SEMI JOIN core USING (area_id, node_id) GROUP BY 1),
+s2(area_id, node_id, t) USING KEY (area_id, node_id) AS (SELECT area_id, node_id, 0.0::DOUBLE FROM f1 UNION SELECT mt.area_id, mt.v, min(s2.t + mt.w)
+  FROM s2 JOIN mt ON mt.area_id = s2.area_id AND mt.u = s2.node_id LEFT JOIN recurring.s2 r ON r.area_id = mt.area_id AND r.node_id = mt.v WHERE r.t IS NULL OR s2.t + mt.w < r.t GROUP BY 1, 2),
+f2 AS (SELECT area_id, arg_min(node_id, (-round(t, 6), node_id)) AS node_id FROM s2 SEMI JOIN core USING (area_id, node_id) GROUP BY 1),
+od AS (SELECT area_id, 'corner' AS rule, arg_min(node_id, (-round(x + y, 5), node_id)) AS o, arg_min(node_id, (round(x + y, 5), node_id)) AS d FROM xy WHERE degree >= 3 GROUP BY 1
+  UNION ALL SELECT area_id, 'window', arg_min(node_id, (-x, node_id)), arg_min(node_id, (x, node_id)) FROM xy JOIN mid USING (area_id) WHERE degree > 0 AND y > mid GROUP BY 1
+  UNION ALL SELECT f1.area_id, 'sweep', f1.node_id, f2.node_id FROM f1 JOIN f2 USING (area_id)),
+sp(area_id, rule, node_id, t) USING KEY (area_id, rule, node_id) AS (SELECT area_id, rule, o, 0.0::DOUBLE FROM od UNION SELECT mt.area_id, sp.rule, mt.v, min(sp.t + mt.w)
+  FROM sp JOIN mt ON mt.area_id = sp.area_id AND mt.u = sp.node_id LEFT JOIN recurring.sp r ON r.area_id = mt.area_id AND r.rule = sp.rule AND r.node_id = mt.v WHERE r.t IS NULL OR sp.t + mt.w < r.t GROUP BY 1, 2, 3)"""
+ORACLES["c12_od_rules"] = _sql("SELECT area_id, rule, o, d FROM od", *_FULL, _OD)
+ORACLES["c8_shortest_times"] = _sql("SELECT area_id, rule, o, node_id, round(t, 5) AS time_s FROM sp JOIN od USING (area_id, rule)", *_FULL, _OD)
+ORACLES["c9_relaxation_check"] = _sql("SELECT area_id, rule, count(*) AS nodes, count(*) AS equal FROM sp GROUP BY 1, 2", *_FULL, _OD)
+# back from the target over the first of the least ways into each node
+ORACLES["c10_shortest_paths"] = _sql(
+    "SELECT area_id, rule, CAST(max(back) OVER (PARTITION BY area_id, rule) - back AS INT) AS pos, node_id FROM walk_back",
+    *_FULL, _OD,
+    "pre AS (SELECT a.area_id, a.rule, mt.v AS node_id, arg_min(mt.u, (round(a.t + mt.w, 6), mt.u)) AS u FROM sp a JOIN mt ON mt.area_id = a.area_id AND mt.u = a.node_id "
+    "JOIN sp b ON b.area_id = a.area_id AND b.rule = a.rule AND b.node_id = mt.v WHERE b.t > 0 GROUP BY 1, 2, 3)",
+    "walk_back AS (SELECT od.area_id, od.rule, od.d AS node_id, 0 AS back FROM od JOIN sp ON sp.area_id = od.area_id AND sp.rule = od.rule AND sp.node_id = od.d "
+    "UNION ALL SELECT w.area_id, w.rule, pre.u, back + 1 FROM walk_back w JOIN pre USING (area_id, rule, node_id))",
+)

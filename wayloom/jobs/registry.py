@@ -1091,4 +1091,4 @@ def r6_(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["f7_access_flow"](spark, sf_dir)
+    return QUERIES["c5_strong_components"](spark, sf_dir)

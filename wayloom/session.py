@@ -52,7 +52,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared checkpoint folder and read it from there."""
+    """Cut lineage: write ``df`` to the shared checkpoint folder and read it from there.
+
+    A checkpoint keeps its plan's estimate of sizes, which multiplies with every join; many rounds need ``written``.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
