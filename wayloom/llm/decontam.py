@@ -22,8 +22,8 @@ An item with fewer words than a window is one window as a whole.  With fewer tha
 
 A window that several items have, such as a fixed preamble or a template's words, is met
 in each of them: every item that a text holds is found, however many share its windows.
-Rows on the way are those of texts' windows and the items that have them, so a long
-passage of many items costs as many rows as the result has items.
+Rows on the way are those of texts' windows and the items that have them: a long passage
+of many items costs a row for each of its windows and each item that has it.
 
 Texts are keyed by id and text, items by text: null ids take part, ids that repeat
 with other texts are told apart, and rows that repeat both share their result.
