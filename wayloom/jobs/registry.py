@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from wayloom.functions import graphs as gr
 from wayloom.jobs import oracles, tables as t
-from wayloom.operators import analysis as an, components, elimination as el, network as nw, scenarios as sc, spatial as sp, statistics as st, strong as sg, traversal as tr, weak as wk
+from wayloom.operators import analysis as an, betweenness as bt, components, elimination as el, network as nw, scenarios as sc, spatial as sp, statistics as st, strong as sg, traversal as tr, weak as wk
 from wayloom.session import shared_dir, written
 from wayloom.sources import osm, reports
 
@@ -22,6 +22,8 @@ MARGINS = (200.0, 400.0, 800.0)
 DRAWS, PIECE = 40, 60
 CLOSURES = (1, 2, 4, 8, 16)
 RADIUS_LEVEL = 3
+#: Rows of sources and nodes that a batch of betweenness holds at most, some sources more or less.
+BATCH_ROWS = 1 << 30
 
 
 def query(name: str):
@@ -566,13 +568,30 @@ def w7(spark: SparkSession, d: str) -> DataFrame:
 
 
 @t.table
+def path_shares(spark: SparkSession, d: str) -> DataFrame:
+    """``area_id, u, v, share, n`` of the strong core's arcs, and of its nodes where ``v`` is null."""
+    core = t.area_parts(spark, d).where("core").select("area_id", "node_id").join(t.node_keys(spark, d), ["area_id", "node_id"])
+    size = core.groupBy("area_id").agg(F.count("*").alias("n"))
+    rows = size.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+    keys = core.select("node")
+    arcs = t.key_arcs(spark, d).join(keys.withColumnRenamed("node", "u"), "u", "left_semi").join(keys.withColumnRenamed("node", "v"), "v", "left_semi")
+    # between nodes of a strong component no path leaves it, so the whole graph's elimination serves
+    nodes, pairs = bt.betweenness(t.time_graph(spark, d), written(arcs), keys, batches=rows // BATCH_ROWS + 1, keep=keys)
+    at = lambda c, to: core.select("area_id", F.col("node").alias(c), F.col("node_id").alias(to))
+    own = nodes.join(at("node", "u"), "node").select("area_id", "u", F.lit(None).cast("long").alias("v"), "share")
+    named = pairs.withColumnsRenamed({"u": "_u", "v": "_v"}).join(at("_u", "u"), "_u").join(at("_v", "v"), ["area_id", "_v"]).select("area_id", "u", "v", "share")
+    return own.union(named).join(size, "area_id")
+
+
 def node_scores(spark: SparkSession, d: str) -> DataFrame:
-    return an.betweenness(t.graph(spark, d))[0]
+    n, share = F.col("n"), F.col("share")
+    own = path_shares(spark, d).where("v is null")
+    return own.select("area_id", F.col("u").alias("node_id"), F.when(n > 2, share / ((n - 1) * (n - 2))).otherwise(share).alias("score"), "n")
 
 
-@t.table
 def arc_scores(spark: SparkSession, d: str) -> DataFrame:
-    return an.betweenness(t.graph(spark, d))[1]
+    n, share = F.col("n"), F.col("share")
+    return path_shares(spark, d).where("v is not null").select("area_id", "u", "v", F.when(n > 1, share / (n * (n - 1))).otherwise(share).alias("score"))
 
 
 @query("w8_cut_ends_central")

@@ -87,11 +87,21 @@ def written(df: DataFrame, name: str = "table", keep: bool = False, by: tuple[st
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Remove the tables that were written on the way, once what was returned has been read; gives their number."""
+def standing(spark: SparkSession) -> int:
+    """How many tables were written on the way and not removed yet."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0, last: int = 0) -> int:
+    """Remove the tables that were written on the way, once what was returned has been read; gives their number.
+
+    ``since`` (of ``standing``) leaves older ones, ``last`` as many of the newest.
+    """
     sc = spark.sparkContext
-    paths = _written.pop(sc.applicationId, [])
-    for path in paths:
+    paths = _written.get(sc.applicationId, [])
+    gone = paths[since : len(paths) - last]
+    _written[sc.applicationId] = [*paths[:since], *paths[len(paths) - last :]]
+    for path in gone:
         where = sc._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
-    return len(paths)
+    return len(gone)
