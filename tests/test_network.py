@@ -1,5 +1,7 @@
 """Network build, spatial joins and statistics on hand-made inputs."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +118,41 @@ def test_concave_polygon_and_distance(spark):
     assert dist[2] == dist[3] == 0 and 4 not in dist and dist[1] == pytest.approx(0.01 * nw.KY, rel=0.01)
 
 
+def test_distances_by_cells_equal_all_edges(spark):
+    """A star of random spikes with a hole and an upright edge; nodes near, far, and in its gulfs."""
+    import random
+
+    rng = random.Random(3)
+    turn = [(k / 23 * 2 * math.pi, rng.uniform(0.002, 0.02)) for k in range(23)]
+    rings = [[(r * math.cos(a), 0.3 + r * math.sin(a)) for a, r in turn], [(0.0305, 0.3), (0.0305, 0.304), (0.034, 0.304), (0.034, 0.3)]]
+    pts = [(7, k, i, x, y) for k, ring in enumerate(rings) for i, (x, y) in enumerate([*ring, ring[0]])]
+    own = {k: (rng.uniform(-0.05, 0.06), rng.uniform(0.26, 0.34)) for k in range(400)}
+    nodes = spark.createDataFrame([(k, y, x) for k, (x, y) in own.items()], "node_id long, lat double, lon double")
+    points = spark.createDataFrame(pts, "area_id long, ring_id int, seq int, lon double, lat double")
+    inside = {r.node_id for r in sp.points_in_areas(nodes, points).collect()}
+    kx = math.cos(math.radians(sum(p[4] for p in pts) / len(pts))) * nw.KX
+    flat = lambda p: (p[0] * kx, p[1] * nw.KY)
+
+    def apart(p, a, b):
+        (px, py), (ax, ay), (bx, by) = flat(p), flat(a), flat(b)
+        l2 = (bx - ax) ** 2 + (by - ay) ** 2
+        t = max(0.0, min(1.0, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / l2))
+        return math.hypot(px - ax - t * (bx - ax), py - ay - t * (by - ay))
+
+    xs, ys = [flat(p[3:])[0] for p in pts], [flat(p[3:])[1] for p in pts]
+    want = {}
+    for k, p in own.items():
+        x, y = flat(p)
+        if k in inside:
+            want[k] = 0.0
+        elif math.hypot(max(min(xs) - x, 0, x - max(xs)), max(min(ys) - y, 0, y - max(ys))) <= 1500:
+            want[k] = min(apart(p, a, b) for ring in rings for a, b in zip(ring, [*ring[1:], ring[0]]))
+    for first in (20.0, 128.0):
+        got = {r.node_id: r.dist_m for r in sp.distance_to_areas(nodes, points, 1500.0, first).collect()}
+        assert got.keys() == want.keys() and inside and max(want.values()) > 500
+        assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
 def test_components_match_union_find(spark):
     import random
 

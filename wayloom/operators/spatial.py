@@ -6,9 +6,12 @@ are tested.  Nothing is broadcast, so neither side is bounded.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wayloom.operators.network import KX, KY, projected
+from wayloom.session import written
 
 CELL = 0.01
 #: Degrees of latitude of a strip in which nodes meet edges.
@@ -66,22 +69,51 @@ def points_in_areas(nodes: DataFrame, points: DataFrame) -> DataFrame:
     return near.join(inside, ["area_id", "node_id"], "left_semi")
 
 
-def distance_to_areas(nodes: DataFrame, points: DataFrame, cap_m: float) -> DataFrame:
-    """``area_id, node_id, dist_m`` of nodes up to ``cap_m`` by the area's box: 0 inside, else metres to the boundary."""
-    near = in_box(nodes, expand_box(polygon_boxes(points), cap_m * 1.01 + 1))
-    inner = points_in_areas(nodes, points).select("area_id", "node_id", F.lit(0.0).alias("zero"))
-    kx = points.groupBy("area_id").agg((F.cos(F.radians(F.avg("lat"))) * KX).alias("kx"))
-    e = near.join(kx, "area_id").join(boundary_edges(points), "area_id")
-    px, py, ax, ay = F.col("lon") * F.col("kx"), F.col("lat") * KY, F.col("x1") * F.col("kx"), F.col("y1") * KY
-    dx, dy = (F.col("x2") - F.col("x1")) * F.col("kx"), (F.col("y2") - F.col("y1")) * KY
-    l2 = dx * dx + dy * dy
-    t = F.when(l2 == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / l2)))
-    d = F.sqrt(F.pow(px - ax - t * dx, 2) + F.pow(py - ay - t * dy, 2))
-    box_x = F.greatest(F.min(F.least("x1", "x2") * F.col("kx")) - F.first(px), F.lit(0.0), F.first(px) - F.max(F.greatest("x1", "x2") * F.col("kx")))
-    box_y = F.greatest(F.min(F.least("y1", "y2") * KY) - F.first(py), F.lit(0.0), F.first(py) - F.max(F.greatest("y1", "y2") * KY))
-    far = e.groupBy("area_id", "node_id").agg(F.min(d).alias("d"), F.sqrt(box_x * box_x + box_y * box_y).alias("box"))
-    both = far.join(inner, ["area_id", "node_id"], "left")
-    return both.where(f"zero is not null or box <= {cap_m}").select("area_id", "node_id", F.coalesce("zero", "d").alias("dist_m"))
+def _cells_passed(edges: DataFrame, size: float) -> DataFrame:
+    """``edges (ax, ay, bx, by, ...)`` once for each cell ``cx, cy`` that they pass through."""
+    left, right = F.least("ax", "bx"), F.greatest("ax", "bx")
+    at = lambda x: F.when(F.col("bx") == F.col("ax"), F.col("ay")).otherwise(F.col("ay") + (F.col("by") - F.col("ay")) * (x - F.col("ax")) / (F.col("bx") - F.col("ax")))
+    rows = edges.withColumn("cx", F.explode(F.sequence(F.floor(left / size), F.floor(right / size))))
+    y1, y2 = at(F.greatest(left, F.col("cx") * size)), at(F.least(right, (F.col("cx") + 1) * size))
+    upright = F.col("ax") == F.col("bx")
+    low, high = F.when(upright, F.least("ay", "by")).otherwise(F.least(y1, y2)), F.when(upright, F.greatest("ay", "by")).otherwise(F.greatest(y1, y2))
+    return rows.withColumn("cy", F.explode(F.sequence(F.floor((low - 1e-6) / size), F.floor((high + 1e-6) / size))))
+
+
+def distance_to_areas(nodes: DataFrame, points: DataFrame, cap_m: float, first_m: float = 128.0, max_rounds: int = 30) -> DataFrame:
+    """``area_id, node_id, dist_m`` of nodes up to ``cap_m`` by the area's box: 0 inside, else metres to the boundary.
+
+    Nodes meet the edges in their own and the eight cells around; what is found no farther than a
+    cell's size is the nearest.  Other nodes go on to cells four times as large, so that a node meets
+    edges of its surroundings only, and the few that are far from all edges meet far ones.
+    """
+    inner = points_in_areas(nodes, points).select("area_id", "node_id", F.lit(0.0).alias("dist_m"))
+    near = in_box(nodes, expand_box(polygon_boxes(points), cap_m * 1.01 + 1)).join(inner, ["area_id", "node_id"], "left_anti")
+    plane = polygon_boxes(points).join(points.groupBy("area_id").agg((F.cos(F.radians(F.avg("lat"))) * KX).alias("kx")), "area_id")
+    px, py, kx = F.col("lon") * F.col("kx"), F.col("lat") * KY, F.col("kx")
+    beyond = lambda p, lo, hi: F.greatest(lo - p, F.lit(0.0), p - hi)
+    box_x, box_y = beyond(px, F.col("w") * kx, F.col("e") * kx), beyond(py, F.col("s") * KY, F.col("n") * KY)
+    open_ = written(near.join(plane, "area_id").where(F.sqrt(box_x * box_x + box_y * box_y) <= cap_m).select("area_id", "node_id", px.alias("px"), py.alias("py")))
+    edges = boundary_edges(points).join(plane, "area_id")
+    ends = {"ax": F.col("x1") * kx, "ay": F.col("y1") * KY, "bx": F.col("x2") * kx, "by": F.col("y2") * KY}
+    dx, dy = (F.col("x2") - F.col("x1")) * kx, (F.col("y2") - F.col("y1")) * KY
+    edges = written(edges.select("area_id", *[c.alias(k) for k, c in ends.items()], dx.alias("dx"), dy.alias("dy")))
+    l2 = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")
+    t = F.when(l2 == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("px") - F.col("ax")) * F.col("dx") + (F.col("py") - F.col("ay")) * F.col("dy")) / l2)))
+    d = F.sqrt(F.pow(F.col("px") - F.col("ax") - t * F.col("dx"), 2) + F.pow(F.col("py") - F.col("ay") - t * F.col("dy"), 2))
+    around, found, size = F.array(*[F.lit(k) for k in (-1, 0, 1)]), [inner], first_m
+    for _ in range(max_rounds):
+        cells = open_.withColumn("kx", F.explode(around)).withColumn("ky", F.explode(around))
+        cells = cells.withColumns({"cx": F.floor(F.col("px") / size) + F.col("kx"), "cy": F.floor(F.col("py") / size) + F.col("ky")})
+        met = cells.join(_cells_passed(edges, size), ["area_id", "cx", "cy"]).groupBy("area_id", "node_id").agg(F.min(d).alias("dist_m"))
+        both = written(open_.join(met, ["area_id", "node_id"], "left"))
+        sure = F.coalesce(F.col("dist_m") <= size * 0.999, F.lit(False))
+        found.append(both.where(sure).select("area_id", "node_id", "dist_m"))
+        open_ = both.where(~sure).drop("dist_m")
+        if open_.isEmpty():
+            return reduce(DataFrame.union, found)
+        size *= 4
+    raise RuntimeError("nodes without an edge of their area")
 
 
 def clip(street: DataFrame, arcs: DataFrame, inside: DataFrame) -> tuple[DataFrame, DataFrame]:
