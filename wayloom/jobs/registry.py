@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from wayloom.functions import graphs as gr
 from wayloom.jobs import oracles, tables as t
-from wayloom.operators import analysis as an, betweenness as bt, components, elimination as el, network as nw, scenarios as sc, spatial as sp, statistics as st, strong as sg, traversal as tr, weak as wk
+from wayloom.operators import analysis as an, betweenness as bt, components, elimination as el, flow as fl, network as nw, scenarios as sc, spatial as sp, statistics as st, strong as sg, traversal as tr, weak as wk
 from wayloom.session import shared_dir, written
 from wayloom.sources import osm, reports
 
@@ -680,9 +680,53 @@ def f3(spark: SparkSession, d: str) -> DataFrame:
     return inner.union(directed_caps(spark, d).select("area_id", 2 * F.col("a") + 1, 2 * F.col("b"), big))
 
 
+def _numbered_streets(spark: SparkSession, d: str) -> DataFrame:
+    """``area_id, u, v, cap``: a unit a street, both ways, by numbers of nodes."""
+    s = t.key_streets(spark, d)
+    one = F.lit(1).alias("cap")
+    return s.select("area_id", F.col("a").alias("u"), F.col("b").alias("v"), one).union(s.select("area_id", "b", "a", one))
+
+
+def _access_ends(spark: SparkSession, d: str, fracs: tuple[float, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``area_id, frac, node`` of the source regions and of the gateways, and ``area_id, node`` of the giant components that have such."""
+    own = candidates(spark, d).join(t.node_keys(spark, d), ["area_id", "node_id"])
+    own = own.withColumn("frac", F.explode(F.array(*[F.struct(F.lit(f).alias("frac"), within_fraction(f).alias("source")) for f in fracs])))
+    pick = lambda of: own.where(of).select("area_id", F.col("frac.frac").alias("frac"), "node")
+    return pick("frac.source"), pick("gate"), own.select("area_id", "node").distinct()
+
+
+def _solved(arcs: DataFrame, sources: DataFrame, sinks: DataFrame, *key: str) -> tuple[DataFrame, DataFrame]:
+    """Settled rows of the problems that ``key`` tells apart, and ``problem`` with ``key``."""
+    name = F.concat_ws("/", *key).alias("problem")
+    rows = fl.least_cuts(arcs.select(name, "u", "v", "cap"), sources.select(name, "node"), sinks.select(name, "node"))
+    return rows, sinks.select(name, *key).distinct()
+
+
 @t.table
 def counts4(spark: SparkSession, d: str) -> DataFrame:
-    return an.four_counts(t.graph(spark, d), FRACTION)
+    """``area_id, unit, directed, flow, cut_size, cut_capacity`` from the source region to the gateways, for streets and for intersections."""
+    sources, gates, giant = _access_ends(spark, d, (FRACTION,))
+    way = t.key_arcs(spark, d).select("u", "v").join(t.node_keys(spark, d).select("area_id", F.col("node").alias("u")), "u").select("area_id", "u", "v", F.lit(1).alias("cap"))
+    inside = lambda c: giant.select("area_id", F.col("node").alias(c))
+    both = _numbered_streets(spark, d).withColumn("directed", F.lit(False)).union(way.withColumn("directed", F.lit(True)))
+    both = written(both.join(inside("u"), ["area_id", "u"], "left_semi").join(inside("v"), ["area_id", "v"], "left_semi"), "arcs")
+    # an intersection is entered at twice its number and left at the next
+    free = sources.select("area_id", "node").union(gates.select("area_id", "node")).withColumn("free", F.lit(True))
+    big, modes = F.lit(gr.BIG), F.array(F.lit(False), F.lit(True))
+    through = giant.join(free, ["area_id", "node"], "left").select("area_id", (2 * F.col("node")).alias("u"), (2 * F.col("node") + 1).alias("v"), F.when(F.col("free"), big).otherwise(1).alias("cap"), F.explode(modes).alias("directed"))
+    between = both.where("u <> v").select("area_id", (2 * F.col("u") + 1).alias("u"), (2 * F.col("v")).alias("v"), big.alias("cap"), "directed").distinct()
+    arcs = both.withColumn("unit", F.lit("streets")).unionByName(between.unionByName(through).withColumn("unit", F.lit("intersections")))
+
+    def ends(nodes: DataFrame, last: int) -> DataFrame:
+        place = F.when(F.col("unit") == "streets", F.col("node")).otherwise(2 * F.col("node") + last)
+        units = F.array(F.lit("streets"), F.lit("intersections"))
+        return nodes.select("area_id", "node", F.explode(units).alias("unit")).select("*", F.explode(modes).alias("directed")).withColumn("node", place)
+
+    key = ("area_id", "unit", "directed")
+    rows, names = _solved(arcs, ends(sources, 0), ends(gates, 1), *key)
+    every = t.area_nodes(spark, d).select("area_id").distinct().select("area_id", F.explode(F.array(F.lit("streets"), F.lit("intersections"))).alias("unit")).select("*", F.explode(modes).alias("directed"))
+    found = every.join(names, list(key), "left").join(fl.values(rows), "problem", "left")
+    return found.select(*key, "flow", "cut_size", "cut_capacity").na.fill(0)
 
 
 @query("f4_flow_equals_cut")
@@ -703,12 +747,21 @@ def f6(spark: SparkSession, d: str) -> DataFrame:
 
 @t.table
 def access_flows(spark: SparkSession, d: str) -> DataFrame:
-    return an.access(t.graph(spark, d), FRACTIONS)
+    """``area_id, frac, flow, cut_size, n_source, n_gateways, side, cut_capacity`` from the source regions to the gateways, by streets."""
+    sources, gates, giant = _access_ends(spark, d, FRACTIONS)
+    streets = _numbered_streets(spark, d).join(giant.withColumnRenamed("node", "u"), ["area_id", "u"], "left_semi")
+    arcs = streets.withColumn("frac", F.explode(F.array(*map(F.lit, FRACTIONS))))
+    rows, names = _solved(arcs, sources, gates, "area_id", "frac")
+    size = lambda nodes, n: nodes.groupBy("area_id", "frac").agg(F.count("*").alias(n))
+    every = t.area_nodes(spark, d).select("area_id").distinct().withColumn("frac", F.explode(F.array(*map(F.lit, FRACTIONS))))
+    found = every.join(names, ["area_id", "frac"], "left").join(fl.values(rows), "problem", "left")
+    found = found.join(size(sources, "n_source"), ["area_id", "frac"], "left").join(size(gates, "n_gateways"), ["area_id", "frac"], "left")
+    return found.select("area_id", "frac", "flow", "cut_size", "n_source", "n_gateways", "side", "cut_capacity").na.fill(0)
 
 
 @query("f7_access_flow")
 def f7(spark: SparkSession, d: str) -> DataFrame:
-    return an.access(t.graph(spark, d), (FRACTION,)).select("area_id", "frac", "flow", "cut_size", "n_source", "n_gateways", "side")
+    return access_flows(spark, d).where(F.col("frac") == FRACTION).select("area_id", "frac", "flow", "cut_size", "n_source", "n_gateways", "side")
 
 
 @query("f8_region_flow")
