@@ -102,6 +102,27 @@ def test_similar_texts(spark):
     assert {r.doc_id for r in kept} & {1, 7} == set() and None not in {r.doc_id for r in kept}
 
 
+def test_equal_blocks_meet_once(spark):
+    """Blocks of one value meet once, not in each head and variant that they share; each pair of a variant is still there."""
+    rng = random.Random(5)
+    base = [rng.getrandbits(32) for _ in range(2)]
+    rows = [(i + 1, [b for b in base]) for i in range(200)]
+    met = sh._meetings(sh._block_variants(spark.createDataFrame(rows, "fp long, blocks array<long>")), 16, 1, sh.LIMIT, True)
+    assert met.count() <= 2 * 2 * 200
+    assert {(r.fp, r.lo) for r in met.collect()} == {(i, j) for i in range(2, 201) for j in (1, i - 1)}
+    rows = [(rng.getrandbits(40), [b ^ sum(1 << k for k in rng.sample(range(32), rng.choice([0, 0, 1, 1, 2]))) for b in base]) for _ in range(60)]
+    for limit in (sh.LIMIT, 100):
+        sent = sh._block_variants(spark.createDataFrame(rows, "fp long, blocks array<long>"))
+        got = {(r.fp, r.lo) for r in sh._meetings(sent, 16, 1, limit, True).collect()}
+        for block in range(2):
+            at = {}
+            for fp, values in sorted(rows):
+                for k in range(-1, 32):
+                    at.setdefault(values[block] ^ (1 << k if k >= 0 else 0), []).append(fp)
+            for own in at.values():
+                assert {p for i in range(1, len(own)) for p in ((own[i], own[0]), (own[i], own[i - 1]))} <= got
+
+
 def test_wide_fingerprint():
     """Each block pair is the majority of mixed hashes of all shingles."""
     text = " ".join(f"w{i % 37}" for i in range(300))

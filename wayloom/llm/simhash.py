@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -113,11 +113,24 @@ def _masks(bits: int, flips: int) -> np.ndarray:
     return np.array([sum(1 << b for b in some) for n in range(min(flips, bits) + 1) for some in combinations(range(bits), n)], np.uint64)
 
 
-def _met(fp: np.ndarray, base: np.ndarray, left: np.ndarray, bits: int, limit: int, chain: bool = False) -> Iterator[np.ndarray]:
-    """Pairs ``(fp, lo)`` of fingerprints that meet in a variant: each with the smallest, and with ``chain`` with the one before it too.
+def _pairs(group: np.ndarray, own: np.ndarray, chain: bool) -> np.ndarray:
+    """Pairs within groups: each with the smallest, and with ``chain`` with the one before it too."""
+    order = np.lexsort((own, group))
+    group, own = group[order], own[order]
+    first = np.maximum.accumulate(np.where(np.r_[True, group[1:] != group[:-1]], np.arange(len(group)), 0))
+    pairs = np.stack([order, order[first]], 1)
+    if chain:
+        pairs = np.concatenate([pairs, np.stack([order[1:], order[:-1]], 1)[group[1:] == group[:-1]]])
+    return pairs
+
+
+def _met(fp: np.ndarray, base: np.ndarray, left: np.ndarray, bits: int, limit: int, value: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Pairs ``(fp, lo)`` of fingerprints that meet in a variant: each with the smallest, and where blocks have a ``value`` with the one before it too.
 
     ``base`` is a variant whose lowest ``bits`` bits may change in ``left`` more places.
     Too many variants at once are worked off by the next digit of eight bits.
+    Equal values have all their variants in common; such pairs are left to ``_same``,
+    which gives them once.
     """
     sizes = np.array([len(_masks(bits, k)) for k in range(int(left.max()) + 1)]) if len(left) else np.zeros(1, int)
     if len(fp) < 2:
@@ -129,7 +142,7 @@ def _met(fp: np.ndarray, base: np.ndarray, left: np.ndarray, bits: int, limit: i
             d = np.bitwise_count(digit ^ np.uint64(j)).astype(left.dtype)
             ok = d <= left
             if ok.sum() > 1:
-                yield from _met(fp[ok], base[ok] ^ ((digit[ok] ^ np.uint64(j)) << low), left[ok] - d[ok], bits - 8, limit, chain)
+                yield from _met(fp[ok], base[ok] ^ ((digit[ok] ^ np.uint64(j)) << low), left[ok] - d[ok], bits - 8, limit, None if value is None else value[ok])
         return
     parts = [(np.nonzero(left == k)[0], _masks(bits, k)) for k in range(len(sizes))]
     variants = np.concatenate([(base[at][:, None] ^ masks[None, :]).ravel() for at, masks in parts])
@@ -144,39 +157,53 @@ def _met(fp: np.ndarray, base: np.ndarray, left: np.ndarray, bits: int, limit: i
     some = np.nonzero(seen[(variants & np.uint64((1 << 22) - 1)).astype(np.int64)])[0]
     at = np.minimum(np.searchsorted(twice, variants[some]), len(twice) - 1)
     hit = twice[at] == variants[some]
-    group, own = at[hit], fp[owner[some[hit]]]
-    order = np.lexsort((own, group))
-    group, own = group[order], own[order]
-    first = np.maximum.accumulate(np.where(np.r_[True, group[1:] != group[:-1]], np.arange(len(group)), 0))
-    pairs = np.stack([own, own[first]], 1)
-    if chain:
-        pairs = np.concatenate([pairs, np.stack([own[1:], own[:-1]], 1)[group[1:] == group[:-1]]])
-    yield np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+    own = owner[some[hit]]
+    pairs = own[_pairs(at[hit], fp[own], value is not None)]
+    if value is not None:
+        pairs = pairs[value[pairs[:, 0]] != value[pairs[:, 1]]]
+    yield np.unique(fp[pairs[pairs[:, 0] != pairs[:, 1]]], axis=0)
 
 
-def _meetings(sent: DataFrame, low: int, half: int, limit: int, chain: bool) -> DataFrame:
-    """``(fp, lo)`` that meet: rows ``(fp, head, base, spent)`` have a variant whose lowest ``low`` bits may change in ``half - spent`` places."""
+def _same(fp: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Pairs ``(fp, lo)`` of one value: each with the smallest and the one before it.
+
+    If in a variant the smallest, or the one before, has the same value, it is the same one here.
+    """
+    pairs = fp[_pairs(value, fp, True)]
+    return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+
+
+def _meetings(sent: DataFrame, low: int, half: int, limit: int, blocks: bool) -> DataFrame:
+    """``(fp, lo)`` that meet, some more than once: rows ``(fp, head, base, mask)`` have a variant, with the changes ``mask`` above its lowest ``low`` bits, which may change in as many places as are left of ``half``.
+
+    Blocks of other fingerprints can have one value; distinct fingerprints are their own.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
         n = 0
 
-        def flush(fp: np.ndarray, head: np.ndarray, base: np.ndarray, spent: np.ndarray) -> Iterator[pd.DataFrame]:
-            left = half - spent.astype(np.int64)
+        def flush(fp: np.ndarray, head: np.ndarray, base: np.ndarray, mask: np.ndarray) -> Iterator[pd.DataFrame]:
+            left = half - np.bitwise_count(mask).astype(np.int64)
             cost = np.cumsum(np.array([len(_masks(low, k)) for k in range(half + 1)])[left])
             fp, base = fp.view(np.uint64), base.view(np.uint64)
+            value = base ^ (mask.astype(np.uint64) << np.uint64(low)) if blocks else None
             edges = np.r_[np.nonzero(np.r_[True, head[1:] != head[:-1]])[0], len(head)]
             start = 0
             while start < len(edges) - 1:  # as many groups of one head as go at once
                 done = cost[edges[start] - 1] if edges[start] else 0
                 end = max(start + 1, int(np.searchsorted(cost[edges[1:] - 1], done + limit, side="right")))
                 s, e = edges[start], edges[end]
-                for pairs in _met(fp[s:e], base[s:e], left[s:e], low, limit, chain):
+                found = _met(fp[s:e], base[s:e], left[s:e], low, limit, value[s:e] if blocks else None)
+                if blocks:
+                    own = s + np.nonzero(mask[s:e] == 0)[0]
+                    found = chain([_same(fp[own], base[own])], found)
+                for pairs in found:
                     yield pd.DataFrame({c: np.ascontiguousarray(pairs[:, k]).view(np.int64) for k, c in enumerate(("fp", "lo"))})
                 start = end
 
         for b in batches:
-            rows = tuple(b[c].to_numpy() for c in ("fp", "head", "base", "spent"))
+            rows = tuple(b[c].to_numpy() for c in ("fp", "head", "base", "mask"))
             if not len(rows[0]):
                 continue
             held.append(rows)
@@ -190,7 +217,7 @@ def _meetings(sent: DataFrame, low: int, half: int, limit: int, chain: bool) ->
             yield from flush(*(np.concatenate(x) for x in zip(*held)))
 
     parts = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sent.repartition(parts, "head").sortWithinPartitions("head").mapInPandas(run, "fp long, lo long").distinct()
+    return sent.repartition(parts, "head").sortWithinPartitions("head").mapInPandas(run, "fp long, lo long")
 
 
 def _columns(masks: np.ndarray) -> Column:
@@ -205,8 +232,8 @@ def links(fps: DataFrame, radius: int = 4, prefix: int = PREFIX, limit: int = LI
     # a variant is sent by its first bits; how its other bits vary is worked out where it arrives
     sent = _spread(fps.select("fp")).select("fp", F.explode(_columns(_masks(prefix, half))).alias("mask"))
     sent = sent.withColumn("base", F.col("fp").bitwiseXOR(F.shiftleft("mask", low)))
-    sent = sent.select("fp", F.shiftrightunsigned("base", low).alias("head"), "base", F.bit_count("mask").alias("spent"))
-    return _meetings(sent, low, half, limit, False)
+    sent = sent.select("fp", F.shiftrightunsigned("base", low).alias("head"), "base", F.col("mask").cast("int").alias("mask"))
+    return _meetings(sent, low, half, limit, False).distinct()
 
 
 def near_groups(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
@@ -225,6 +252,13 @@ def near_groups(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text:
     return rows.join(named.union(alone), "fp").select("id", "th", "fp", "component")
 
 
+def _block_variants(rows: DataFrame) -> DataFrame:
+    """Rows ``(fp, head, base, mask)`` of ``(fp, blocks)`` for each change of at most one of the 16 high bits of each block."""
+    sent = rows.select("fp", F.posexplode("blocks").alias("block", "value")).select("fp", "block", "value", F.explode(_columns(_masks(16, 1))).alias("mask"))
+    sent = sent.withColumn("base", F.shiftleft(F.col("block").cast("long"), 32).bitwiseOR(F.col("value").bitwiseXOR(F.shiftleft("mask", 16))))
+    return sent.select("fp", F.shiftrightunsigned("base", 16).alias("head"), "base", F.col("mask").cast("int").alias("mask"))
+
+
 def candidates(texts: DataFrame, shingle: int = 5, blocks: int = BLOCKS, limit: int = LIMIT) -> DataFrame:
     """Pairs ``(fp, lo)`` of rows ``(th, text)`` whose wide fingerprints differ in at most two bits of some block, and a quarter of all.
 
@@ -239,10 +273,7 @@ def candidates(texts: DataFrame, shingle: int = 5, blocks: int = BLOCKS, limit:
 
     arrow_batches(texts.sparkSession)
     rows = cut(texts.select(F.col("th").alias("fp"), wide("text").alias("blocks")))
-    sent = _spread(rows).select("fp", F.posexplode("blocks").alias("block", "value")).select("fp", "block", "value", F.explode(_columns(_masks(16, 1))).alias("mask"))
-    sent = sent.withColumn("base", F.shiftleft(F.col("block").cast("long"), 32).bitwiseOR(F.col("value").bitwiseXOR(F.shiftleft("mask", 16))))
-    sent = sent.select("fp", F.shiftrightunsigned("base", 16).alias("head"), "base", F.bit_count("mask").alias("spent"))
-    met = written(_meetings(sent, 16, 1, limit, True), "met")
+    met = written(_meetings(_block_variants(_spread(rows)), 16, 1, limit, True).distinct(), "met")
     side = lambda name, c: rows.select(F.col("fp").alias(name), F.col("blocks").alias(c))
     apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     return met.join(side("fp", "a"), "fp").join(side("lo", "b"), "lo").where(apart <= 8 * blocks).select("fp", "lo")
