@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from wayloom.llm import pst
+from wayloom.llm import bloom, pst
 
 
 def frame(spark, texts):
@@ -115,6 +115,33 @@ def test_contexts_help_where_order_matters(spark):
     assert tree.grams.where("w is not null and c > 200").count() <= 3  # the end after 40 words only
 
 
+def test_filter_rows_are_pages(spark, monkeypatch):
+    """What tasks send of a filter is bounded by its pages and doesn't grow with the rows."""
+    from pyspark.sql import functions as F
+
+    sent = []
+    rows = spark.range(200_000, numPartitions=3).select(F.xxhash64("id").alias("hash"))
+    whole = type(rows).mapInPandas
+
+    def counted(self, *args, **more):
+        out = whole(self, *args, **more)
+        sent.append(out)
+        return out
+
+    monkeypatch.setattr(type(rows), "mapInPandas", counted)
+    packed = bloom.bloom_filter(rows)
+    monkeypatch.undo()
+    assert len(packed) == 1 << 19 and sent[0].count() <= 3 * 32
+    h = rows.toPandas()["hash"].to_numpy().view("uint64")
+    assert bloom.passes(packed, h).all()
+    plain = [0] * len(packed)
+    for x in h.tolist():
+        for at in (x & 8 * len(packed) - 1, x >> 32 & 8 * len(packed) - 1):
+            plain[at >> 3] |= 1 << (at & 7)
+    assert packed.tolist() == plain
+    assert not bloom.bloom_filter(rows.limit(0)).any()
+
+
 def test_large_ids_beside_null(spark):
     rows = spark.createDataFrame([((1 << 60) + 1, "a b"), (None, "a b"), ((1 << 60) + 3, None)], "doc_id long, text string").coalesce(1)
     tree, vocab = pst.fit(rows.select("text"))

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Most bits of a filter, a power of two; 8 MB.
 MOST_BITS = 1 << 26
+#: Bytes of a filter that are one row when tasks' filters are put together.
+PAGE = 1 << 14
 
 
 def _bits(h: np.ndarray, n_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -27,21 +29,44 @@ def passes(packed: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ((packed[x >> 3] >> (x & 7)) & (packed[y >> 3] >> (y & 7)) & 1).astype(bool)
 
 
-def bloom_filter(items: DataFrame, col: str = "hash", most_bits: int = MOST_BITS) -> np.ndarray:
-    """The filter's bytes; it has 16 bits a row, within bounds.  Each task sends only the bytes that it set."""
+def add(packed: np.ndarray, h: np.ndarray) -> None:
+    """Put unsigned hashes into a filter."""
+    for at in _bits(h, len(packed) * 8):
+        np.bitwise_or.at(packed, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+
+def n_bytes(rows: int, most_bits: int = MOST_BITS) -> int:
+    """Bytes of a filter with 16 bits a row, within bounds."""
     n_bits = 1 << 16
-    rows = items.count()
     while n_bits < min(most_bits, 16 * rows):
         n_bits *= 2
+    return n_bits >> 3
+
+
+def bloom_filter(items: DataFrame, col: str = "hash", most_bits: int = MOST_BITS) -> np.ndarray:
+    """The filter's bytes.  Each task sends the pages in which it set bits, whatever the number of its rows."""
+    size = n_bytes(items.count(), most_bits)
+    page = min(size, PAGE)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packed = np.zeros(size, np.uint8)
+        for b in batches:
+            add(packed, b["hash"].to_numpy(np.int64).view(np.uint64))
+        pages = packed.reshape(-1, page)
+        some = np.nonzero(pages.any(1))[0]
+        yield pd.DataFrame({"page": some.astype(np.int32), "bits": pd.Series([pages[i].tobytes() for i in some], dtype=object)})
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pages: dict[int, np.ndarray] = {}
         for b in batches:
-            x, y = _bits(b["hash"].to_numpy(np.int64).view(np.uint64), n_bits)
-            both = np.unique(np.r_[x, y])
-            byte, start = np.unique(both >> 3, return_index=True)
-            yield pd.DataFrame({"byte": byte.astype(np.int32), "bits": np.bitwise_or.reduceat(1 << (both & 7), start).astype(np.int16) if len(both) else np.zeros(0, np.int16)})
-
-    got = items.select(F.col(col).alias("hash")).mapInPandas(run, "byte int, bits short").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toArrow()
-    packed = np.zeros(n_bits >> 3, np.uint8)
-    packed[got["byte"].to_numpy()] = got["bits"].to_numpy().astype(np.uint8)
+            for i, bits in zip(b["page"], b["bits"]):
+                own = pages.setdefault(i, np.zeros(page, np.uint8))
+                own |= np.frombuffer(bits, np.uint8)
+        yield pd.DataFrame({"page": np.array(list(pages), np.int32), "bits": pd.Series([x.tobytes() for x in pages.values()], dtype=object)})
+
+    schema = "page int, bits binary"
+    got = items.select(F.col(col).alias("hash")).mapInPandas(run, schema).repartition("page").mapInPandas(merge, schema).toArrow()
+    packed = np.zeros(size, np.uint8)
+    for i, bits in zip(got["page"].to_pylist(), got["bits"].to_pylist()):
+        packed[i * page : (i + 1) * page] = np.frombuffer(bits, np.uint8)
     return packed

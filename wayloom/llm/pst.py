@@ -39,7 +39,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wayloom.llm.bloom import bloom_filter, passes
+from wayloom.llm.bloom import add, bloom_filter, n_bytes, passes
 from wayloom.session import arrow_batches, written
 
 DEPTH = 5
@@ -318,15 +318,25 @@ def fit(texts: DataFrame, head: int = HEAD, **params) -> tuple[Tree, DataFrame]:
     return grow(texts, vocab, head_of(vocab, head), **params), vocab
 
 
-def _at(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+def _sieve(keys: np.ndarray) -> np.ndarray:
+    """A small filter of sorted keys: most that are looked for are not there, and a search costs far more."""
+    packed = np.zeros(n_bytes(len(keys)), np.uint8)
+    add(packed, keys)
+    return packed
+
+
+def _at(keys: np.ndarray, sieve: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Places in sorted keys, or -1."""
-    if not len(keys):
-        return np.full(len(wanted), -1, np.int64)
-    p = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[p] == wanted, p, -1)
+    out = np.full(len(wanted), -1, np.int64)
+    if len(keys):
+        some = np.nonzero(passes(sieve, wanted))[0]
+        own = wanted[some]
+        p = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        out[some] = np.where(keys[p] == own, p, -1)
+    return out
 
 
-def _gains(tree: Tree, h: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+def _gains(tree: Tree, sieves: dict[int, np.ndarray], h: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
     """What contexts add to the unigram score at each position, as far as it is known here, and what is to be looked up.
 
     Look-ups are arrays of position, kind and key, and of what longer contexts add if
@@ -345,11 +355,11 @@ def _gains(tree: Tree, h: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, li
         at = np.nonzero(ok[:-1])[0]
         if own in tree.filters:
             at = at[passes(tree.filters[own], key[at])]
-        place = _at(tree.near[own], key[at])
+        place = _at(tree.near[own], sieves[own], key[at])
         if own not in tree.filters:  # all kept contexts are here
             at, place = at[place >= 0], place[place >= 0]
         ctx, wide = key[at], _turned(key[at], h[at + 1])
-        found = _at(tree.near[listing], wide)
+        found = _at(tree.near[listing], sieves[listing], wide)
         there = found >= 0
         v = np.where(there, tree.logs[listing][found] if len(tree.logs[listing]) else 0.0, 0.0)
         # a word that the context doesn't list takes its share of the rest
@@ -376,6 +386,7 @@ def score(docs: DataFrame, tree: Tree, vocab: DataFrame, id_col: str = "doc_id",
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree = shared.value
         words = Words({w: i for i, w in enumerate(tree.words)})
+        sieves = {k: _sieve(keys) for k, keys in tree.near.items()}
         logs = np.log10((np.r_[tree.counts, tree.end_count] + _ADD) / tree.total)
         row = TaskContext.get().partitionId() << 40
         columns = ["row", "pos", "kind", "word", "tf", "over", "flat", "info"]
@@ -383,7 +394,7 @@ def score(docs: DataFrame, tree: Tree, vocab: DataFrame, id_col: str = "doc_id",
             num, sizes = words.numbers(b["text"].tolist())
             rank, ends = words.rank[num], np.cumsum(sizes)
             rank[num == 0] = len(tree.counts)
-            gain, asks = _gains(tree, words.hash[num], num > 0)
+            gain, asks = _gains(tree, sieves, words.hash[num], num > 0)
             starts = ends - sizes
             base = np.add.reduceat(np.where(rank >= 0, logs[rank], 0.0), starts) if len(sizes) else np.zeros(0)
             more = np.add.reduceat(gain, starts) if len(sizes) else np.zeros(0)
