@@ -154,3 +154,49 @@ def test_odd_rows(spark, odd, none):
     assert pst.score(none, tree, vocab).count() == 0
     empty, v = pst.fit(none.select("text"))
     assert pst.score(odd, empty, v).count() == odd.count()
+
+
+def test_tasks_send_packed_rows(spark, monkeypatch):
+    """What tasks send is a row a bucket and batch of texts, whatever the number of look-ups and counts."""
+    rng = random.Random(3)
+    train = [" ".join(f"w{rng.randrange(300)}" for _ in range(200)) for _ in range(300)]
+    tree, vocab = pst.fit(frame(spark, train), head=3, head_grams=0, gain=0.5, min_count=5)
+    assert tree.filters
+    sent = []
+    docs = frame(spark, train).coalesce(2)
+    whole = type(docs).mapInPandas
+
+    def counted(self, *args, **more):
+        out = whole(self, *args, **more)
+        sent.append(out)
+        return out
+
+    monkeypatch.setattr(type(docs), "mapInPandas", counted)
+    pst.score(docs, tree, vocab)
+    pst.gram_counts(pst.symbols_of(docs), range(1, 3), tree, *[pst.bloom_filter(vocab, "w")] * 2)
+    monkeypatch.undo()
+    assert sent and all(x.count() <= 40 for x in sent)
+
+
+def test_packs_give_back_arrays():
+    import numpy as np
+
+    from wayloom.llm import packs
+
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2))
+    some = [packs.steps(keys), np.array([1.5, np.nan]), np.zeros(0, np.uint32), np.array([-1, 7], np.int32), np.array([3], np.uint8)]
+    got = packs.unpack(packs.pack(*some))
+    assert [x.dtype for x in got] == [x.dtype for x in some] and all(np.array_equal(a, b, equal_nan=a.dtype.kind == "f") for a, b in zip(got, some))
+    assert (packs.whole(got[0]) == keys).all() and (packs.whole(packs.steps(keys[::-1])) == keys[::-1]).all()
+    assert packs.n_buckets(0) == 1 and packs.n_buckets(3 << 20) == 4
+    assert (np.diff(packs.bucket_of(keys, 8)) >= 0).all() and packs.bucket_of(keys, 8).max() == 7
+
+
+def test_totals_part_contexts_with_equal_keys():
+    """Two pairs of a context and a word with the same key of both, lying mixed, are two."""
+    import numpy as np
+
+    ctx = np.array([5, 9, 5, 9, 5], np.uint64)
+    turned = (ctx << np.uint64(13)) | (ctx >> np.uint64(51))
+    c, w, n = pst._totals(ctx, turned ^ np.uint64(77), np.ones(5, np.uint32))
+    assert sorted(zip(c.tolist(), n.tolist())) == [(5, 3), (9, 2)]
