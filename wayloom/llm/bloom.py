@@ -26,7 +26,11 @@ def _bits(h: np.ndarray, n_bits: int) -> tuple[np.ndarray, np.ndarray]:
 def passes(packed: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Which unsigned hashes may be in a filter."""
     x, y = _bits(h, len(packed) * 8)
-    return ((packed[x >> 3] >> (x & 7)) & (packed[y >> 3] >> (y & 7)) & 1).astype(bool)
+    out = ((packed[x >> 3] >> (x & 7).astype(np.uint8)) & 1).astype(bool)
+    some = np.nonzero(out)[0]  # few are left where most are not there
+    y = y[some]
+    out[some] = (packed[y >> 3] >> (y & 7).astype(np.uint8)) & 1
+    return out
 
 
 def add(packed: np.ndarray, h: np.ndarray) -> None:
@@ -43,9 +47,12 @@ def n_bytes(rows: int, most_bits: int = MOST_BITS) -> int:
     return n_bits >> 3
 
 
-def bloom_filter(items: DataFrame, col: str = "hash", most_bits: int = MOST_BITS) -> np.ndarray:
-    """The filter's bytes.  Each task sends the pages in which it set bits, whatever the number of its rows."""
-    size = n_bytes(items.count(), most_bits)
+def bloom_filter(items: DataFrame, col: str = "hash", most_bits: int = MOST_BITS, rows: int | None = None) -> np.ndarray:
+    """The filter's bytes.  Each task sends the pages in which it set bits, whatever the number of its rows.
+
+    ``rows`` saves counting them, if it is known.
+    """
+    size = n_bytes(items.count() if rows is None else rows, most_bits)
     page = min(size, PAGE)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

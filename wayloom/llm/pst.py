@@ -382,7 +382,7 @@ def grow(symbols: DataFrame, vocab: DataFrame, tree: Tree, depth: int = DEPTH, m
     table = levels[0]
     for more in levels[1:]:
         table = table.union(more)
-    tree.grams, tree.depth = written(table, "tree"), depth
+    tree.grams, tree.depth = written(table, "tree", by=("level",)), depth
     release(symbols.sparkSession, since, 1)  # what the tree was made of
     return _near(tree, head_grams)
 
@@ -393,22 +393,23 @@ def _kind(level: Column, w: Column) -> Column:
 
 def _near(tree: Tree, head_grams: int) -> Tree:
     """Take the rows with the highest counts to be broadcast; contexts' own rows, which every word that they don't list needs, first."""
-    rows = tree.grams.select(_kind(F.col("level"), F.col("w")).alias("kind"), F.when(F.col("w").isNull(), F.col("ctx")).otherwise(_longer(F.col("ctx"), F.col("w"))).alias("key"), F.col("v").cast("float").alias("v"), "c")
+    rows = tree.grams.select("level", _kind(F.col("level"), F.col("w")).alias("kind"), F.when(F.col("w").isNull(), F.col("ctx")).otherwise(_longer(F.col("ctx"), F.col("w"))).alias("key"), F.col("v").cast("float").alias("v"), "c")
     own, listing = rows.where("kind % 2 = 1"), rows.where("kind % 2 = 0")
     some = [(part, _least(part, most)) for part, most in ((own, head_grams // 4), (listing, head_grams - head_grams // 4))]
     some = [(part, least if least is not None else 1 << 62) for part, least in some]
     top = [part.where(F.col("c") >= least) for part, least in some]
     far = [part.where(F.col("c") < least) for part, least in some]
-    tree.far = far[0].union(far[1]).drop("c")
-    got = top[0].union(top[1]).drop("c").toArrow()
+    tree.far = far[0].union(far[1]).select("kind", "key", "v")
+    got = top[0].union(top[1]).select("kind", "key", "v").toArrow()
     kinds, keys, logs = (got[c].to_numpy() for c in ("kind", "key", "v"))
     have = rows.groupBy("kind").count().collect()
     for k in have:
         mine = np.nonzero(kinds == k["kind"])[0]
         order = mine[np.argsort(keys[mine].view(np.uint64))]
         tree.near[k["kind"]], tree.logs[k["kind"]] = keys[order].view(np.uint64), logs[order]
-    part = [k["kind"] for k in have if len(tree.near[k["kind"]]) < k["count"]]
-    tree.filters = {k: bloom_filter(rows.where(F.col("kind") == k), "key") for k in part}
+    part = {k["kind"]: k["count"] for k in have if len(tree.near[k["kind"]]) < k["count"]}
+    # a level is a folder of the tree's table, so each reads its own
+    tree.filters = {k: bloom_filter(rows.where((F.col("level") == k // 2) & (F.col("kind") == k)), "key", rows=n) for k, n in part.items()}
     return tree
 
 
@@ -562,13 +563,13 @@ def _answers(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 def score_symbols(symbols: DataFrame, tree: Tree, vocab: DataFrame) -> DataFrame:
     """``(id, n_tokens, n_known, base_score, score)`` of every text of encoded ones; ids are strings."""
-    shared = symbols.sparkSession.sparkContext.broadcast(replace(tree, grams=None, far=None))
+    sieves = {k: _sieve(keys) for k, keys in tree.near.items()}
+    shared = symbols.sparkSession.sparkContext.broadcast((replace(tree, grams=None, far=None), sieves))
     n = n_buckets(int(symbols.agg(F.sum("n")).first()[0] or 0) + tree.v)
     total = tree.total
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree = shared.value
-        sieves = {k: _sieve(keys) for k, keys in tree.near.items()}
+        tree, sieves = shared.value
         logs = np.log10((np.r_[tree.counts, tree.end_count] + _ADD) / tree.total)
         for b in batches:
             for batch, ids, data in zip(b["batch"], b["ids"], b["data"]):
