@@ -102,6 +102,58 @@ def test_similar_texts(spark):
     assert {r.doc_id for r in kept} & {1, 7} == set() and None not in {r.doc_id for r in kept}
 
 
+def test_crowded_variants_are_compared_whole(spark):
+    """Similar texts that share a variant with many others are linked, though neither is the smallest there nor follows the other."""
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(150):
+        own = list(base)
+        for k in range(3):  # two of these have a similarity of some 0.75
+            own[rng.randrange(len(own))] = f"v{i}-{k}"
+        twin = list(own)
+        for k in range(3):  # and a twin of about 0.8, far from it in the order
+            twin[rng.randrange(len(own))] = f"t{i}-{k}"
+        texts += [" ".join(own), " ".join(twin)]
+    texts = texts[::2] + texts[1::2] + ["", " ", "\n"]
+    blocks = np.array([sh.wide_fingerprint(t, 5, 2) for t in texts])
+    shared, want = set(), set()
+    for i in range(len(texts)):
+        apart = np.bitwise_count(blocks ^ blocks[i])
+        near = (apart.min(1) <= 2) & (apart.sum(1) <= 16)
+        shared |= {(i, int(j)) for j in np.nonzero(near)[0] if j > i}
+    want = {(i, j) for i, j in shared if jaccard(texts[i], texts[j]) >= 0.8}
+    assert len(shared) > 5 * len(want) > 500
+    df = spark.createDataFrame(list(enumerate(texts)), "th long, text string")
+    got = {(r.lo, r.fp) for r in sh.similar(df, blocks=2).collect()}
+    assert all(jaccard(texts[i], texts[j]) >= 0.8 for i, j in got)
+    root = list(range(len(texts)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, j in got:
+        root[max(find(i), find(j))] = min(find(i), find(j))
+    assert [p for p in sorted(want) if find(p[0]) != find(p[1])] == []
+
+
+def test_rest_finds_all_similar_pairs(spark):
+    """Of texts of different components all similar pairs come by their rarest shingles, few others, and none of one component."""
+    rng = random.Random(13)
+    texts = []
+    for _ in range(30):
+        base = rng.choices([f"w{i}" for i in range(60)], k=rng.randint(1, 120))
+        for _ in range(4):
+            own = base[: rng.randint(max(1, len(base) - 8), len(base))]
+            own[rng.randrange(-8, 0) if len(own) > 8 else 0] = rng.choice("abc")
+            texts.append(" ".join(own))
+    texts += ["", " ", base[0], base[0].upper()]
+    comp = [rng.randrange(8) for _ in texts]
+    alike = {(i, j) for j in range(len(texts)) for i in range(j) if comp[i] != comp[j] and jaccard(texts[i], texts[j]) >= 0.8}
+    df = spark.createDataFrame(list(enumerate(texts)), "th long, text string")
+    asked = spark.createDataFrame(list(enumerate(comp)), "th long, comp long")
+    got = [(r.lo, r.fp) for r in sh.rest(df, asked).collect()]
+    assert alike <= set(got) and len(got) == len(set(got)) < len(texts) ** 2 / 10
+    assert all(comp[i] != comp[j] for i, j in got) and len(alike) > 20
+
+
 def test_equal_blocks_meet_once(spark):
     """Blocks of one value meet once, not in each head and variant that they share; each pair of a variant is still there."""
     rng = random.Random(5)

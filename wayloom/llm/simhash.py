@@ -259,11 +259,10 @@ def _block_variants(rows: DataFrame) -> DataFrame:
     return sent.select("fp", F.shiftrightunsigned("base", 16).alias("head"), "base", F.col("mask").cast("int").alias("mask"))
 
 
-def candidates(texts: DataFrame, shingle: int = 5, blocks: int = BLOCKS, limit: int = LIMIT) -> DataFrame:
-    """Pairs ``(fp, lo)`` of rows ``(th, text)`` whose wide fingerprints differ in at most two bits of some block, and a quarter of all.
+def met_texts(texts: DataFrame, shingle: int = 5, blocks: int = BLOCKS, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
+    """``(fp, blocks)`` of rows ``(th, text)``, and pairs ``(fp, lo)`` whose wide fingerprints differ in at most two bits of some block.
 
-    Texts with a similarity of 0.8 differ in about 0.15 of all bits; a quarter of 512 is
-    six standard deviations more.
+    In a variant each meets the smallest and the one before it; others that share it are ``rest``'s.
     """
 
     @F.pandas_udf("array<long>")
@@ -273,23 +272,33 @@ def candidates(texts: DataFrame, shingle: int = 5, blocks: int = BLOCKS, limit:
 
     arrow_batches(texts.sparkSession)
     rows = cut(texts.select(F.col("th").alias("fp"), wide("text").alias("blocks")))
-    met = written(_meetings(_block_variants(_spread(rows)), 16, 1, limit, True).distinct(), "met")
+    return rows, written(_meetings(_block_variants(_spread(rows)), 16, 1, limit, True).distinct(), "met")
+
+
+def candidates(rows: DataFrame, met: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """Pairs of ``met`` that differ in at most a quarter of all bits.
+
+    Texts with a similarity of 0.8 differ in about 0.15 of all bits; a quarter of 512 is
+    six standard deviations more.
+    """
     side = lambda name, c: rows.select(F.col("fp").alias(name), F.col("blocks").alias(c))
     apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     return met.join(side("fp", "a"), "fp").join(side("lo", "b"), "lo").where(apart <= 8 * blocks).select("fp", "lo")
 
 
-def similar(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, blocks: int = BLOCKS) -> DataFrame:
-    """Links ``(fp, lo)`` between texts ``(th, text)`` whose sets of word shingles have that Jaccard similarity."""
-
+def _sets(shingle: int):
     @F.pandas_udf("array<long>")
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for own in batches:
             yield pd.Series([np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, shingle)])).view(np.int64) for t in own], dtype=object)
 
-    pairs = written(candidates(texts, shingle, blocks), "pairs")
+    return sets
+
+
+def _alike(texts: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Those of ``pairs`` of texts whose sets of shingles have that similarity."""
     asked = pairs.select(F.explode(F.array("fp", "lo")).alias("th")).distinct()
-    some = written(texts.join(asked, "th").select("th", sets("text").alias("set")), "sets")
+    some = written(texts.join(asked, "th").select("th", _sets(shingle)("text").alias("set")), "sets")
     # the set of a text that many others are compared with is repeated, once for each thousand of them
     many = pairs.groupBy("lo").agg(F.ceil(F.count("*") / 1000).cast("int").alias("salts"))
     left = pairs.join(many, "lo").withColumn("salt", F.pmod(F.hash("fp"), F.col("salts"))).select("fp", "lo", "salt")
@@ -300,6 +309,72 @@ def similar(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, blocks:
     return both.where((common >= similarity) | ((F.size("a") == 0) & (F.size("b") == 0))).select("fp", "lo")
 
 
+def crowded(met: DataFrame, comp: DataFrame) -> DataFrame:
+    """``(th, comp)`` of texts that may share a variant with others that they didn't meet, and are not yet of one component with.
+
+    Of a variant's texts all meet the smallest; where three or more did, and not all of
+    these are linked, two of them may not have met.
+    """
+    root = comp.select(F.col("node").alias("fp"), "component")
+    ends = met.join(root, "fp", "left").select("fp", "lo", F.coalesce("component", "fp").alias("comp"))
+    some = ends.groupBy("lo").agg(F.count("*").alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("n > 2 and least < most")
+    return ends.join(some.select("lo"), "lo", "left_semi").select(F.col("fp").alias("th"), "comp").distinct()
+
+
+def rest(texts: DataFrame, asked: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """All pairs ``(fp, lo)`` of ``asked (th, comp)`` of two components that can have that similarity, by their rarest shingles.
+
+    With shingles ordered by how many texts have them, the rarest first, the first one that
+    two similar sets share has so few before it in both that the others can still be enough.
+    So a text sends only its first, and only those that texts of two components have meet.
+    """
+    own = written(texts.join(asked, "th").select("th", "comp", _sets(shingle)("text").alias("set")), "crowded")
+    # texts without a word have one set, that of a shingle of their own
+    own = own.withColumn("set", F.when(F.size("set") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.col("set")))
+    each = own.select("th", F.explode("set").alias("gram"))
+    often = each.groupBy("gram").agg(F.count("*").alias("n"))
+    # a shingle of one text alone comes first and meets none: it is counted, not sent
+    shared = each.join(often.where("n > 1"), "gram").groupBy("th").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("grams"))
+    size = F.col("size")
+    # the epsilon: a product that is whole has to stay so
+    last = (1 - similarity) * size + 1e-6
+    sent = own.select("th", "comp", F.size("set").alias("size")).join(shared, "th").withColumn("alone", size - F.size("grams"))
+    sent = sent.select("th", "comp", "size", "alone", F.posexplode("grams").alias("at", "gram")).select("th", "comp", "size", (F.col("at") + F.col("alone")).alias("at"), F.col("gram.gram").alias("gram"))
+    sent = written(sent.where(F.col("at") <= last), "rare")
+    # of a shingle's texts those of the largest component are not compared with each other
+    parts = sent.groupBy("gram", "comp").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    at = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("th", "comp", "size", "at")]
+    a = sent.join(parts, "gram").where("comp <> most").select("gram", "most", *at("a"))
+    b = sent.join(parts, "gram").select("gram", *at("b"))
+    need = similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6
+    left = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    once = (F.col("comp_b") == F.col("most")) | (F.col("th_a") > F.col("th_b"))
+    both = a.join(b, "gram").where((F.col("comp_a") != F.col("comp_b")) & once & (left >= need))
+    return both.select(F.greatest("th_a", "th_b").alias("fp"), F.least("th_a", "th_b").alias("lo")).distinct()
+
+
+def _linked(texts: DataFrame, similarity: float, shingle: int, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Links ``(fp, lo)`` between similar texts, and components ``(node, component)`` of these."""
+    rows, met = met_texts(texts, shingle, blocks)
+    links = written(_alike(texts, written(candidates(rows, met, blocks), "pairs"), similarity, shingle), "links")
+    comp = written(components(links, "fp", "lo"), "comp")
+    asked = written(crowded(met, comp), "asked")
+    if asked.isEmpty():
+        return links, comp
+    more = written(_alike(texts, written(rest(texts, asked, similarity, shingle), "rest"), similarity, shingle), "more")
+    if more.isEmpty():
+        return links, comp
+    return links.union(more), components(comp.select(F.col("node").alias("fp"), F.col("component").alias("lo")).union(more), "fp", "lo")
+
+
+def similar(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, blocks: int = BLOCKS) -> DataFrame:
+    """Links ``(fp, lo)`` between texts ``(th, text)`` whose sets of word shingles have that Jaccard similarity.
+
+    Of texts that share a variant of a block, any two of that similarity are in one component of these.
+    """
+    return _linked(texts, similarity, shingle, blocks)[0]
+
+
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text: str = "text", blocks: int = BLOCKS) -> DataFrame:
     """One text of each group of similar texts: that with the smallest id, of such the one with the smallest hash; columns stay as they are.
 
@@ -315,7 +390,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int
     # copies of a text are one; the first row of each has the smallest id, null last
     ids = rows.groupBy("th").agg(F.min("id").alias("least"))
     texts = rows.dropDuplicates(["th"]).select("th", "text")
-    comp = components(similar(texts, similarity, shingle, blocks), "fp", "lo")
+    comp = _linked(texts, similarity, shingle, blocks)[1]
     salts = 64
     grouped = cut(ids.join(comp.withColumnRenamed("node", "th"), "th", "left").select("th", "least", F.coalesce("component", "th").alias("root")))
     order = F.struct(F.col("least").isNull().alias("none"), "least", "th")
