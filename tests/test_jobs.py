@@ -65,3 +65,21 @@ def test_matches_duckdb(spark, q):
         got = q[name](spark, DATA).toPandas()[list(want.columns)]
         key = list(want.columns)
         assert want.astype(str).sort_values(key).values.tolist() == got.astype(str).sort_values(key).values.tolist(), name
+
+
+def test_one_fraction_is_not_solved_with_all(spark, q, monkeypatch):
+    """Queries of one fraction don't wait for the flows of the others."""
+    from wayloom.jobs import registry
+
+    class Asked(Exception):
+        pass
+
+    def ends(spark, d, fracs):
+        raise Asked(fracs)
+
+    monkeypatch.setattr(registry, "_access_ends", ends)
+    for name, fracs in (("f7_access_flow", (registry.FRACTION,)), ("x2_fraction_sweep", registry.FRACTIONS)):
+        monkeypatch.setattr(registry, "lone_cuts", lambda spark, d: spark.createDataFrame([], "area_id long, frac double"))
+        with pytest.raises(Asked) as got:
+            q[name](spark, "/tmp/nowhere")
+        assert got.value.args == (fracs,)
