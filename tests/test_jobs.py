@@ -83,3 +83,23 @@ def test_one_fraction_is_not_solved_with_all(spark, q, monkeypatch):
         with pytest.raises(Asked) as got:
             q[name](spark, "/tmp/nowhere")
         assert got.value.args == (fracs,)
+
+
+def test_batches_of_betweenness_bound_the_disk(spark, monkeypatch):
+    """9,000 nodes of one strong core are 81 million rows on the way, which don't go at once."""
+    from wayloom.jobs import registry as r
+
+    class Asked(Exception):
+        pass
+
+    def asked(g, arcs, sources, batches=1, keep=None):
+        raise Asked(batches)
+
+    n = 9000
+    own = spark.range(n).selectExpr("0L as area_id", "id as node_id", "id as node", "true as core")
+    monkeypatch.setattr(r.bt, "betweenness", asked)
+    for name, rows in (("area_parts", own.drop("node")), ("node_keys", own.drop("core")), ("key_arcs", own.selectExpr("node as u", "node as v", "1.0 as w")), ("time_graph", None)):
+        monkeypatch.setattr(r.t, name, lambda spark, d, rows=rows: rows)
+    with pytest.raises(Asked) as got:
+        r.path_shares.__wrapped__(spark, "/tmp/nowhere")
+    assert n * n * 128 <= got.value.args[0] * (10 << 30) and got.value.args[0] > 1
