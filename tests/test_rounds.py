@@ -166,3 +166,16 @@ def test_single_cuts(spark):
             if not side & gates:
                 want.add((k, lo, hi, len(side), len(nodes)))
     assert want and got == want
+
+
+def test_single_cuts_join_bridges_once(spark):
+    """More picks are more columns of one join of the bridges, not another join each."""
+    pairs, tour = weak.structure(spark.createDataFrame([(0, 1), (1, 2)], "a long, b long"))
+    nodes = tour.select("node", "top", (F.col("node") == 0).alias("gate"))
+
+    def joins(n):
+        found = weak.single_cuts(pairs, tour, nodes, {str(k): F.col("node") == 2 for k in range(n)})
+        assert {tuple(r) for r in found.collect()} == {(str(k), lo, lo + 1, 2 - lo, 3) for k in range(n) for lo in (0, 1)}
+        return found._jdf.queryExecution().optimizedPlan().toString().count("Join")
+
+    assert joins(8) == joins(1)
